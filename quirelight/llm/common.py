@@ -10,6 +10,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def slices(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, int]]:
     lengths = None
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
-            own = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            own = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
             lengths = own if lengths is None else lengths + own
     if lengths is None:
         yield 0, batch.num_rows
