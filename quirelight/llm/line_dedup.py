@@ -81,7 +81,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, te
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = []
         for lost in batch.column(1).to_pylist():
-            bits = np.ones(max(lost) + 1, np.uint8)
+            bits = np.ones(max(lost) // 8 * 8 + 8, np.uint8)
             bits[lost] = 0
             packed.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "keep_bitmap"])

@@ -92,11 +92,11 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     item = "array<struct<ord:int,start:long,quota:long>>"
     nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("ord", F.lit(0).cast("long").alias("start"), "quota"))).cast(item).alias("items")).select(F.lit(1).cast("long").alias("node"), "items")
     while shards > 1:
-        node, items = F.col("node"), F.col("items")
+        items = F.col("items")
         total = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["quota"])
 
-        def give(s, x, node=node):
-            left = hypergeometric(s["pool"], x["quota"], s["draws"], _uniform(F.lit(seed), node, x["ord"]))
+        def give(s, x):
+            left = hypergeometric(s["pool"], x["quota"], s["draws"], _uniform(F.lit(seed), F.col("node"), x["ord"]))
             return F.struct((s["pool"] - x["quota"]).alias("pool"), (s["draws"] - left).alias("draws"), F.concat(s["left"], F.array(left)).alias("left"))
 
         start = F.struct(total.alias("pool"), F.floor(total / 2).cast("long").alias("draws"), F.array().cast("array<long>").alias("left"))
@@ -104,7 +104,7 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         part = lambda f: F.zip_with(F.col("items"), F.col("left"), f)
         left = part(lambda x, n: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), n.alias("quota")))
         right = part(lambda x, n: F.struct(x["ord"].alias("ord"), (x["start"] + n).alias("start"), (x["quota"] - n).alias("quota")))
-        nodes = split.select(F.explode(F.array(F.struct((node * 2).alias("node"), left.cast(item).alias("items")), F.struct((node * 2 + 1).alias("node"), right.cast(item).alias("items")))).alias("c")).select("c.*")
+        nodes = split.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.cast(item).alias("items")), F.struct((F.col("node") * 2 + 1).alias("node"), right.cast(item).alias("items")))).alias("c")).select("c.*")
         shards //= 2
     return nodes.select("node", F.explode("items").alias("x")).groupBy("x.ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x.start"))), lambda x: x["start"]).alias("starts"))
 
