@@ -306,11 +306,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
         own = [codec.unpack(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string())], ["key", "text"])
 
-    return map_batches(df.select(df[key].cast("long").alias("key"), df[ids].alias("ids")), kernel, "key long, ids array<int>".replace("ids array<int>", "text string")).withColumnRenamed("key", key)
+    return map_batches(df.select(df[key].cast("long").alias("key"), df[ids].alias("ids")), kernel, "key long, text string").withColumnRenamed("key", key)
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode and decode in one pass, with digests of both: ``key, n_tokens, ids_sha256, decoded_sha256``."""
+def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass, with digests of both: ``key, n_tokens, ids_sha256,
+    decoded_sha256``, and ``ids`` if asked for."""
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.load(path)
@@ -322,8 +324,9 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
                 pa.array([len(p) // 4 for p in packed], pa.int64()),
                 pa.array([digest(p) for p in packed]),
                 pa.array([digest(codec.unpack(p).encode()) for p in packed]),
+                *([_ids_array(packed)] if with_ids else []),
             ],
-            ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
+            names,
         )
 
-    return map_batches(df.select(df[key].cast("long").alias("key"), df[text].alias("text")), kernel, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return map_batches(df.select(df[key].cast("long").alias("key"), df[text].alias("text")), kernel, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import bpe, exact_dedup, line_dedup, mixing
+from quirelight.llm import bpe, embeddings, exact_dedup, line_dedup, lm, mixing, quality, simhash, token_counts
 from quirelight.llm.common import table
 
 #: The tokenizer file; a parameter, since vocabularies are not part of this repository.
@@ -34,8 +34,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_lines_of_lines").alias("n_lines"), F.col("n_dropped_of_lines").alias("n_dropped"), kept.alias("kept_sha256"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_mix_sources, op4_exact_dedup, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_mix_sources, op4_exact_dedup, op5_line_dedup, op6_lm_scores, op7_section_tokens, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_quality_classifier)}
 
 
 #: White space and words as RE2 classes.
