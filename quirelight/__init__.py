@@ -1,0 +1 @@
+"""Bibliographic metadata from positioned-word page layouts, in batch over many documents."""
