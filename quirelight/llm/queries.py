@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import bpe, embeddings, exact_dedup, line_dedup, lm, mixing, quality, simhash, token_counts
+from quirelight.llm import bpe, embeddings, exact_dedup, line_dedup, lm, mixing, quality, simhash, suffix_dedup, token_counts
 from quirelight.llm.common import table
 
 #: The tokenizer file; a parameter, since vocabularies are not part of this repository.
@@ -20,6 +20,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +60,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_mix_sources, op4_exact_dedup, op5_line_dedup, op6_lm_scores, op7_section_tokens, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_suffix_dedup, op3_mix_sources, op4_exact_dedup, op5_line_dedup, op6_lm_scores, op7_section_tokens, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_quality_classifier)}
 
 
 #: White space and words as RE2 classes.
