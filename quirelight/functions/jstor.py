@@ -10,7 +10,8 @@ from quirelight.functions.text import nullif_empty
 #: Fixed values of the cover page.
 URL_PREFIX = "Stable URL: http://www.jstor.org/stable/"
 URL = r"Stable URL: (http://www.jstor\.org/stable/(\S+))"
-ANY = "((?s:.*))"
+#: From the start of the text, so that a text without the marks is read once and not from every place.
+ANY = r"\A((?s:.*))"
 SHORT = r"((?s:.*?))\n(?:Book |Published by: )"
 ARTICLE = (
     # pattern, group of the title, of the authors (None: no authors), of the source line

@@ -17,8 +17,9 @@ def kind(name):
 
 def line(text, y=0.0, x=72.0, size=10.0, font=1, bold=False, flow=0, block=0, height=None):
     words, at = [], x
-    for t in text.split(" "):
-        words.append(d.Word(at, y, at + 5 * len(t), y + (height or size), size, True, y + size - 2, bold, font, t))
+    parts = text.split(" ")
+    for k, t in enumerate(parts):
+        words.append(d.Word(at, y, at + 5 * len(t), y + (height or size), size, k + 1 < len(parts), y + size - 2, bold, font, t))
         at += 5 * len(t) + 5
     return d.Line(flow, block, words)
 
@@ -113,9 +114,10 @@ def test_abstracts():
     flow = [line("Abstract We saw it-", 0), line("self in the field", 12), line("and it is so.", 24)]
     assert d.abstract([page(*flow)]) == "We saw itself in the field and it is so."
     assert d.abstract([page(line("Abstract no stop here", 0))]) is None
-    assert d.abstract([page(line("Abstract no stop here Keywords: a", 0))]) == "no stop here"
+    assert d.abstract([page(line("Abstract no stop", 0), line("here Keywords: a", 12))]) == "no stop here"
+    assert d.abstract([page(line("Abstract right of its heading only.", 0))]) is None
     structured = [line("Background one two", 0), line("Methods three", 12), line("Conclusions four five.", 24)]
-    assert d.abstract([page(*structured)]) == "Background one two \nMethods three \nConclusions four five."
+    assert d.abstract([page(*structured)]) == "Background one two\nMethods three\nConclusions four five."
     assert d.abstract([page(line("Background one.", 0))]) is None
 
 
@@ -134,13 +136,14 @@ def test_first_page_and_range():
 
 def test_headers_repeat_within_two_pages():
     pages = [d.Page(612, 792, [line("Journal", 30, flow=1), line(f"text {p}", 300)]) for p in range(3)]
-    assert d.headfoot_text(pages) == "\nJournal \n"
+    assert d.headfoot_text(pages) == "\nJournal\n"
     assert d.headfoot_text([d.Page(612, 792, [line("Journal", 5)]) for _ in range(3)]) == ""
 
 
 def test_wrong_kinds_count_as_zero():
     word = [1, 2, 3, 4, 10, True, 5, 0, 0, 1.5, 0, 0, "x", "Word"]
-    pages = d.parse_pages([[612, 792, [[[[0, 0, 1, 1, [[[word]], [[]]]]]]], None])
+    lines = [[[word]], [[]]]
+    pages = d.parse_pages([[612, 792, [[[[0, 0, 1, 1, lines]]]]], None])
     (only,) = pages[0].lines
     assert not only.words[0].space and not only.words[0].bold and only.words[0].font == 0
     assert pages[1].lines == [] and json.dumps(pages[1].width) == "0.0"
