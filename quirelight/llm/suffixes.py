@@ -36,6 +36,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     t = np.zeros(n + 3, np.int64)
     t[:n] = text
+    if t.max() >= 1 << 31:  # two symbols must fit 63 bits
+        t[:n] = _rank(t[:n])[0]
     top = int(t.max()) + 1
     # A sampled position just past the end keeps suffixes of either class apart when n % 3 == 1.
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
