@@ -1,7 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import pytest
-from conftest import DATA
+from places import DATA, ROOT
 
 from quirelight.queries import ORACLES, QUERIES
 
@@ -34,7 +34,6 @@ def test_entry_imports_without_llm(tmp_path):
     import subprocess
     import sys
 
-    from conftest import ROOT
 
     shutil.copytree(f"{ROOT}/quirelight", tmp_path / "quirelight", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
