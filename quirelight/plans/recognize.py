@@ -9,6 +9,7 @@ and no document meets another. A malformed payload keeps its row, with ``malform
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,6 +90,14 @@ def _titled(doc_id: int, body: str | None, start: int | None, types: list | None
     return {"doc_id": doc_id, "title": title, "authors": authors and [{"firstName": " ".join(a[:-1]) or None, "lastName": a[-1]} for a in authors]}
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Written once to the session's shared checkpoint folder, as many branches read it."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def titles(payloads: DataFrame, known: DataFrame, words: DataFrame) -> DataFrame:
     """``doc_id, title, authors``; ``known`` is ``facts``, ``words`` the dictionary."""
     asked = known.select("doc_id", F.explode("names").alias("word_key"))
@@ -99,7 +108,7 @@ def titles(payloads: DataFrame, known: DataFrame, words: DataFrame) -> DataFrame
 
 def recognize(payloads: DataFrame, registry: DataFrame, journals: DataFrame, words: DataFrame) -> DataFrame:
     """One row per payload (doc_id, body): ``doc_id, malformed`` and the result fields."""
-    known = facts(payloads)
+    known = _cut(facts(payloads))
     text = F.col("text")
     cover = jstor.parse_cover(F.col("jstor_text"))
     base = known.select("*", cover.alias("j"), identifiers.isbn(text).alias("isbn"), identifiers.arxiv(text).alias("arxiv"), identifiers.issn(text).alias("issn"), F.coalesce(normalize(text), F.lit("")).alias("norm_text"))
