@@ -9,7 +9,8 @@ an anchor, its short gram of least hash, and equal strings have equal ones at th
 3. different items of one gram meet in a task, which builds the suffix array of their text by the
    difference-cover method (`suffixes.suffix_array`) and compares adjacent suffixes;
 4. items of a gram with over ``HOT`` occurrences, too many for one task, are compared by 128-bit
-   hashes of their strings instead, summed before they are shuffled;
+   hashes of their strings instead, summed before they are shuffled; so are, within their task, those
+   of a gram with more than ``SORT_BYTES`` of different text;
 5. documents get their marks back and drop the covered bytes.
 
 Steps 1 and 2 lose no repeat; they keep the suffix sort, which would take many times the input on
@@ -38,9 +39,9 @@ from quirelight.llm.common import checkpoint, map_batches
 
 LENGTH, GRAM_POWER = 200, 5
 GRAM = 1 << GRAM_POWER
-#: Occurrences of a gram from which its items are compared by hashes of strings.
-HOT = 1024
-#: Bytes whose suffixes a task sorts at once.
+#: Occurrences of a gram beyond which its items are too many for one task.
+HOT = 1 << 15
+#: Bytes whose suffixes a task sorts at once; a gram with more compares hashes of its strings.
 SORT_BYTES = 2 << 20
 NO_ID = -(1 << 63)
 
@@ -136,22 +137,40 @@ def _compare(length: int):
         out = [_marks(found[s : s + n - length + 1]) for s, n in zip(first.tolist(), sizes.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(items, pa.int64()), pa.array(out, pa.binary())], ["gram", "item", "found"])
 
+    def by_hash(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        grams, items, bodies = zip(*held)
+        counts = [len(b) - length + 1 for b in bodies]
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[k : k + length]) for b, n in zip(bodies, counts) for k in range(n)), "V16")
+        _, back, times = np.unique(digests, return_inverse=True, return_counts=True)
+        found = np.split(times[back] > 1, np.cumsum(counts)[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(items, pa.int64()), pa.array([_marks(f) for f in found], pa.binary())], ["gram", "item", "found"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes]] = []
         held: list[tuple[int, int, bytes]] = []
         size = 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            own = sum(len(g[2]) for g in group)
+            if len(group) < 2:  # a single item has nothing to compare with
+                return
+            if own > SORT_BYTES:
+                yield by_hash(group)
+                return
+            if size + own > SORT_BYTES:
+                yield flush(held)
+                held, size = [], 0
+            held += group
+            size += own
+
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "item", "body"))):
                 if group and group[-1][0] != row[0]:
-                    # A single item has nothing to compare with.
-                    held += group if len(group) > 1 else []
-                    size += sum(len(g[2]) for g in group) if len(group) > 1 else 0
+                    yield from ended()
                     group = []
-                    if size > SORT_BYTES:
-                        yield flush(held)
-                        held, size = [], 0
                 group.append(row)
-        held += group if len(group) > 1 else []
+        yield from ended()
         if held:
             yield flush(held)
 

@@ -49,7 +49,7 @@ def by_hand(rows, length):
 
 
 @pytest.mark.parametrize("hot", [1024, 1])
-@pytest.mark.parametrize("sort_bytes", [2 << 20, 500])
+@pytest.mark.parametrize("sort_bytes", [2 << 20, 700])
 def test_by_brute_force(spark, monkeypatch, hot, sort_bytes):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort_bytes)
