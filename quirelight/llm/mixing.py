@@ -27,19 +27,29 @@ from quirelight.llm.common import WORD_PATTERN, checkpoint
 #: Documents a block holds at most on average, and blocks a source has at least.
 BLOCK_ROWS = 4096
 LEAST_BLOCKS = 64
+#: Words a shard holds, and limits of the number of shards.
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 24, 64, 8192
 
 
 def _uniform(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0**-53)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated, and stands in the plan, only once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _log_factorial(x: Column) -> Column:
     """ln x! by Stirling's series at x + 8."""
-    y = x + 9.0
-    small = x + 1.0
-    for i in range(2, 9):
-        small = small * (x + float(i))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(small)
+
+    def of(x: Column) -> Column:
+        small = x + 1.0
+        for i in range(2, 9):
+            small = small * (x + float(i))
+        return _let(x + 9.0, lambda y: (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)) - F.log(small)
+
+    return _let(x, of)
 
 
 def _log_choose(n: Column, k: Column) -> Column:
@@ -49,23 +59,33 @@ def _log_choose(n: Column, k: Column) -> Column:
 def hypergeometric(total: Column, marked: Column, draws: Column, uniform: Column) -> Column:
     """A draw of how many of ``marked`` among ``total`` fall in ``draws``, by inversion over the
     support within ten standard deviations."""
-    n, k, d = (c.cast("double") for c in (total, marked, draws))
+    given = F.struct(total.cast("double").alias("n"), marked.cast("double").alias("k"), draws.cast("double").alias("d"), uniform.alias("u"))
+    return _let(given, _draw)
+
+
+def _draw(g: Column) -> Column:
+    n, k, d = g["n"], g["k"], g["d"]
     mean = F.when(n > 0, d * k / n).otherwise(0.0)
-    sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / n) * (n - d) / (n - 1)))).otherwise(0.0)
-    low = F.greatest(F.lit(0.0), d + k - n, F.floor(mean - 10 * sd - 1))
-    high = F.least(k, d, F.ceil(mean + 10 * sd + 1))
-    first = F.exp(_log_choose(k, low) + _log_choose(n - k, d - low) - _log_choose(n, d))
-    walk = F.aggregate(
-        F.sequence(low.cast("long"), F.greatest(low, high).cast("long")),
-        F.struct(first.alias("p"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("pick")),
-        lambda s, i: F.struct(
-            F.when(i < high, s["p"] * (k - i) * (d - i) / ((i + 1) * (n - k - d + i + 1))).otherwise(0.0).alias("p"),
-            (s["sum"] + s["p"]).alias("sum"),
-            F.when((s["pick"] < 0) & (s["sum"] + s["p"] >= uniform), i).otherwise(s["pick"]).alias("pick"),
-        ),
-        lambda s: F.when(s["pick"] >= 0, s["pick"]).otherwise(high.cast("long")),
-    )
-    return walk
+
+    def bounds(mean: Column) -> Column:
+        sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / n) * (n - d) / (n - 1)))).otherwise(0.0)
+        return _let(sd, lambda sd: F.struct(F.greatest(F.lit(0.0), d + k - n, F.floor(mean - 10 * sd - 1)).alias("low"), F.least(k, d, F.ceil(mean + 10 * sd + 1)).alias("high")))
+
+    def walk(b: Column) -> Column:
+        low, high = b["low"], b["high"]
+        first = F.exp(_log_choose(k, low) + _log_choose(n - k, d - low) - _log_choose(n, d))
+        return F.aggregate(
+            F.sequence(low.cast("long"), F.greatest(low, high).cast("long")),
+            F.struct(first.alias("p"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("pick")),
+            lambda s, i: F.struct(
+                F.when(i < high, s["p"] * (k - i) * (d - i) / ((i + 1) * (n - k - d + i + 1))).otherwise(0.0).alias("p"),
+                (s["sum"] + s["p"]).alias("sum"),
+                F.when((s["pick"] < 0) & (s["sum"] + s["p"] >= g["u"]), i).otherwise(s["pick"]).alias("pick"),
+            ),
+            lambda s: F.when(s["pick"] >= 0, s["pick"]).otherwise(high.cast("long")),
+        )
+
+    return _let(_let(mean, bounds), walk)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -97,7 +117,7 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def give(s, x):
             left = hypergeometric(s["pool"], x["quota"], s["draws"], _uniform(F.lit(seed), F.col("node"), x["ord"]))
-            return F.struct((s["pool"] - x["quota"]).alias("pool"), (s["draws"] - left).alias("draws"), F.concat(s["left"], F.array(left)).alias("left"))
+            return _let(left, lambda n: F.struct((s["pool"] - x["quota"]).alias("pool"), (s["draws"] - n).alias("draws"), F.concat(s["left"], F.array(n)).alias("left")))
 
         start = F.struct(total.alias("pool"), F.floor(total / 2).cast("long").alias("draws"), F.array().cast("array<long>").alias("left"))
         split = nodes.select("node", "items", F.aggregate(items, start, give, lambda s: s["left"]).alias("left"))
@@ -109,16 +129,19 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("node", F.explode("items").alias("x")).groupBy("x.ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x.start"))), lambda x: x["start"]).alias("starts"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int = 64, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, draws, taken``; ``draws`` lists
-    (copy, shard, words) of each time the mix takes it. ``shards`` is a power of two."""
+def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, draws, taken``; ``draws``
+    lists (copy, shard, words) of each time the mix takes it. ``shards`` is a power of two; without
+    it a shard gets about SHARD_WORDS, within LEAST_SHARDS and MOST_SHARDS."""
     size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = checkpoint(docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), size.alias("size")))
-    blocks_each = max(LEAST_BLOCKS, -(-sized.count() // BLOCK_ROWS))
+    rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks_each = max(LEAST_BLOCKS, -(-rows // BLOCK_ROWS))
+    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, 1 << int(share * words / SHARD_WORDS).bit_length()))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks_each)).cast("int"))
     blocks = checkpoint(dealt.groupBy("source", "block").agg(F.sum("size").alias("words")))
     aimed = (
-        targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("blocks")).select("source", "source_size", "blocks").drop("blocks"), weights, share, most)
+        targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("long"))
     )
@@ -158,7 +181,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     return inside.unionAll(others).select("doc_id", "source", "size", "source_size", "target", draws.alias("draws")).withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
 
-def mix(docs: DataFrame, seed: int = 7, shards: int = 64, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, shards: int | None = None, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The mixed rows: the columns of ``docs``, once per draw, with ``mix_shard``; a draw of fewer
     words than the text has holds its first words. Rows of a shard come in hashed order. Names
     ending in ``_of_mix`` are used inside and must not be among the columns."""
