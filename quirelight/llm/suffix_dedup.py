@@ -120,10 +120,16 @@ def _marks(starts: np.ndarray) -> bytes:
 
 
 def _compare(length: int):
-    """Marks of the different items of each gram, by suffix arrays of a few megabytes at a time."""
+    """Marks of the different items of each gram, by suffix arrays of a few megabytes at a time.
+    Items that occur twice (whole) take part but need no marks; those without marks get no row."""
 
-    def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        grams, items, bodies = zip(*held)
+    def marked(held: list[tuple[int, int, bool, bytes]], found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = [(g, item, _marks(f)) for (g, item, whole, _), f in zip(held, found) if not whole and f.any()]
+        types = (pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["gram", "item", "found"])
+
+    def flush(held: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+        bodies = [h[3] for h in held]
         sizes = np.array([len(b) for b in bodies])
         data = np.frombuffer(b"".join(b + b"\0" for b in bodies), np.uint8)
         first = np.cumsum(sizes + 1) - sizes - 1
@@ -134,25 +140,23 @@ def _compare(length: int):
             valid[s + n - length + 1 : s + n + 1] = False
         order = suffixes.suffix_array(symbols)
         found = suffixes.repeats(data, order[valid[order]], length)
-        out = [_marks(found[s : s + n - length + 1]) for s, n in zip(first.tolist(), sizes.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(items, pa.int64()), pa.array(out, pa.binary())], ["gram", "item", "found"])
+        return marked(held, [found[s : s + n - length + 1] for s, n in zip(first.tolist(), sizes.tolist())])
 
-    def by_hash(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        grams, items, bodies = zip(*held)
+    def by_hash(held: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+        bodies = [h[3] for h in held]
         counts = [len(b) - length + 1 for b in bodies]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[k : k + length]) for b, n in zip(bodies, counts) for k in range(n)), "V16")
         _, back, times = np.unique(digests, return_inverse=True, return_counts=True)
-        found = np.split(times[back] > 1, np.cumsum(counts)[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(items, pa.int64()), pa.array([_marks(f) for f in found], pa.binary())], ["gram", "item", "found"])
+        return marked(held, np.split(times[back] > 1, np.cumsum(counts)[:-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, int, bytes]] = []
-        held: list[tuple[int, int, bytes]] = []
+        group: list[tuple[int, int, bool, bytes]] = []
+        held: list[tuple[int, int, bool, bytes]] = []
         size = 0
 
         def ended() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            own = sum(len(g[2]) for g in group)
+            own = sum(len(g[3]) for g in group)
             if len(group) < 2:  # a single item has nothing to compare with
                 return
             if own > SORT_BYTES:
@@ -165,7 +169,7 @@ def _compare(length: int):
             size += own
 
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "item", "body"))):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "item", "whole", "body"))):
                 if group and group[-1][0] != row[0]:
                     yield from ended()
                     group = []
@@ -178,33 +182,41 @@ def _compare(length: int):
 
 
 def _strings(length: int):
-    """``w1, w2, gram, item, offset`` of every string of an item."""
+    """``w1, w2, gram, item, whole, offset`` of every string of an item."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(5)]
-        for g, item, body in zip(*(batch.column(n).to_pylist() for n in ("gram", "item", "body"))):
+        out: list[list] = [[] for _ in range(6)]
+        for g, item, whole, body in zip(*(batch.column(n).to_pylist() for n in ("gram", "item", "whole", "body"))):
             for k in range(len(body) - length + 1):
                 h = xxhash.xxh3_128_intdigest(body[k : k + length])
-                for column, v in zip(out, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), g, item, k)):
+                for column, v in zip(out, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), g, item, whole, k)):
                     column.append(v)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.int32())], ["w1", "w2", "gram", "item", "offset"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["w1", "w2", "gram", "item", "whole", "offset"])
 
     return kernel
 
 
+def _apart(grouped: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with ``keys`` computed anew, so that a join on them deals both sides out again.
+    Otherwise the join would take over the partitions of the aggregation, and adaptive execution
+    could neither split a key that holds many rows of the other side nor broadcast these if few."""
+    return grouped.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The packed documents, and ``doc, mark, spans``: lists of (low, starts, found) whose marked
     starts begin strings that occur elsewhere; ``found`` is null if all do."""
     anchors = _anchors(docs, length, text, key)
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram", (F.col("n") > HOT).cast("int").alias("hot"))
-    flagged = checkpoint(anchors.join(grams, "gram").groupBy("doc", "mark").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.col("hot")).alias("places")))
+    flagged = checkpoint(anchors.join(_apart(grams, "gram"), "gram").groupBy("doc", "mark").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.col("hot")).alias("places")))
     packed = _packed(docs, text, key)
     texts = _items(flagged, packed, length, True)
-    distinct = texts.groupBy("gram", "item").agg(F.count("*").alias("copies"), F.max("hot").alias("hot"), F.first("body").alias("body"))
-    cold = distinct.where(~F.col("hot")).select("gram", "item", "body").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "gram long, item long, found binary")
-    strings = map_batches(distinct.where("hot").select("gram", "item", "body"), _strings(length), "w1 long, w2 long, gram long, item long, offset int")
+    distinct = texts.groupBy("gram", "item").agg((F.count("*") > 1).alias("whole"), F.max("hot").alias("hot"), F.first("body").alias("body"))
+    cold = distinct.where(~F.col("hot")).select("gram", "item", "whole", "body").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "gram long, item long, found binary")
+    strings = map_batches(distinct.where("hot").select("gram", "item", "whole", "body"), _strings(length), "w1 long, w2 long, gram long, item long, whole boolean, offset int")
     shared = strings.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    offsets = strings.join(shared, ["w1", "w2"]).groupBy("gram", "item").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    offsets = strings.where(~F.col("whole")).join(_apart(shared, "w1", "w2"), ["w1", "w2"]).groupBy("gram", "item").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -215,10 +227,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["gram", "item", "found"])
 
     hot = map_batches(offsets, kernel, "gram long, item long, found binary")
-    copies = distinct.where("copies > 1").select("gram", "item", F.lit(None).cast("binary").alias("found"))
-    found = copies.unionAll(cold).unionAll(hot).groupBy("gram", "item").agg(F.max(F.col("found").isNull()).alias("whole"), F.max("found").alias("found"))
+    copies = distinct.where("whole").select("gram", "item", F.lit(None).cast("binary").alias("found"))
+    found = copies.unionAll(cold).unionAll(hot)  # one row an item, as each comes from one of the three
     light = _items(flagged, packed, length, False)
-    spans = light.join(found, ["gram", "item"]).select("doc", "mark", F.struct("low", "starts", F.when(~F.col("whole"), F.col("found")).alias("found")).alias("span"))
+    spans = light.join(found, ["gram", "item"]).select("doc", "mark", F.struct("low", "starts", "found").alias("span"))
     return packed, spans.groupBy("doc", "mark").agg(F.collect_set("span").alias("spans"))
 
 
