@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.llm import suffixes
-from quirelight.llm.common import checkpoint, map_batches
+from quirelight.llm.common import checkpoint, map_batches, slices
 
 LENGTH, GRAM_POWER = 200, 5
 GRAM = 1 << GRAM_POWER
@@ -44,6 +44,8 @@ HOT = 1 << 15
 #: Bytes whose suffixes a task sorts at once; a gram with more compares hashes of its strings.
 SORT_BYTES = 2 << 20
 NO_ID = -(1 << 63)
+#: Bytes of texts hashed together.
+TOGETHER = 1 << 15
 
 
 def _packed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -59,11 +61,29 @@ def _packed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return map_batches(docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("doc"), docs[text].alias("text")), kernel, "doc long, mark long, body binary")
 
 
-def _anchors_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Places and grams of the anchors of all strings, and first start and number of the strings of each."""
-    hashes = suffixes.gram_hashes(np.frombuffer(data, np.uint8), GRAM_POWER) if len(data) >= length else np.zeros(0, np.uint64)
-    at, low, starts = suffixes.anchors(hashes, length - GRAM + 1)
-    return at, hashes[at].view(np.int64), low, starts
+def _anchors_of(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text, places and grams of the anchors of all its strings, and first start and number
+    of the strings of each. Short texts are hashed together, as windows never look outside one."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
+            size += len(texts[stop])
+            stop += 1
+        part = texts[at:stop]
+        data = np.frombuffer(b"".join(part), np.uint8)
+        ends = np.cumsum([len(t) for t in part])
+        begins = np.concatenate([[0], ends[:-1]])
+        hashes = suffixes.gram_hashes(data, GRAM_POWER) if size >= length else np.zeros(0, np.uint64)
+        inside = np.ones(max(0, size - length + 1), bool)
+        for e in ends[:-1].tolist():
+            inside[max(0, e - length + 1) : e] = False
+        place, low, starts = suffixes.anchors(hashes, length - GRAM + 1, inside)
+        grams = hashes[place].view(np.int64)
+        cuts = np.searchsorted(low, ends)
+        for b, first, last in zip(begins.tolist(), [0, *cuts[:-1].tolist()], cuts.tolist()):
+            yield place[first:last] - b, grams[first:last], low[first:last] - b, starts[first:last]
+        at = stop
 
 
 def _anchors(docs: DataFrame, length: int, text: str, key: str) -> DataFrame:
@@ -71,9 +91,8 @@ def _anchors(docs: DataFrame, length: int, text: str, key: str) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, places, rows, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
-        for t in batch.column(1).to_pylist():
-            data = (t or "").encode()
-            at, gram, _, _ = _anchors_of(data, length)
+        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        for data, (at, gram, _, _) in zip(texts, _anchors_of(texts, length)):
             grams.append(gram)
             places.append(at)
             rows.append(len(at))
@@ -84,13 +103,13 @@ def _anchors(docs: DataFrame, length: int, text: str, key: str) -> DataFrame:
     return map_batches(docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("doc"), docs[text].alias("text")), kernel, "gram long, doc long, mark long, pos int")
 
 
-def items_of(data: bytes, places: list[int], length: int) -> Iterator[tuple[int, bool, int, int]]:
-    """(gram, hot, first start, number of starts) of the strings whose anchor's gram repeats;
-    ``places``: twice the anchor's place, and 1 more if its gram is hot."""
-    hot = {p >> 1: bool(p & 1) for p in places}
-    for p, *own in zip(*(x.tolist() for x in _anchors_of(data, length))):
-        if p in hot:
-            yield own[0], hot[p], own[1], own[2]
+def items_of(texts: list[bytes], places: list[list[int]], length: int) -> Iterator[list[tuple[int, bool, int, int]]]:
+    """For each text, (gram, hot, first start, number of starts) of the strings whose anchor's gram
+    repeats; ``places``: twice the anchor's place, and 1 more if its gram is hot."""
+    for own, (at, gram, low, starts) in zip(places, _anchors_of(texts, length)):
+        own = np.sort(np.array(own, np.int64))
+        rows = np.searchsorted(at, own >> 1)
+        yield list(zip(gram[rows].tolist(), (own & 1).astype(bool).tolist(), low[rows].tolist(), starts[rows].tolist()))
 
 
 def _items(flagged: DataFrame, packed: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -100,11 +119,12 @@ def _items(flagged: DataFrame, packed: DataFrame, length: int, with_text: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds the rows held, as items are longer than their text
+            for at, stop in slices(batch, 1 << 18):  # bounds the rows held, as items are longer than their text
                 out: list[list] = [[] for _ in range(7 + with_text)]
-                for doc, mark, body, places in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    data = open_(body)
-                    for g, is_hot, low, starts in items_of(data, places, length):
+                docs, marks, bodies, places = (c.to_pylist() for c in batch.slice(at, stop - at).columns)
+                texts = [open_(b) for b in bodies]
+                for doc, mark, data, found in zip(docs, marks, texts, items_of(texts, places, length)):
+                    for g, is_hot, low, starts in found:
                         own = data[low : low + starts + length - 1]
                         for column, v in zip(out, (g, xxhash.xxh64_intdigest(own) - (1 << 63), is_hot, doc, mark, low, starts, own)):
                             column.append(v)

@@ -145,15 +145,20 @@ def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
 PLACE_BITS = 32
 
 
-def anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(hashes: np.ndarray, width: int, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions that hold the least hash of some window of ``width`` positions (the first one on a
     tie), and for each the first window it is the least of and the number of those windows, which
-    follow one another. What a window's anchor is depends on nothing outside it."""
+    follow one another. What a window's anchor is depends on nothing outside it. ``inside``: which
+    windows count; the others lie across two texts."""
     if len(hashes) < width:
         none = np.zeros(0, np.int64)
         return none, none, none
     low = np.uint64((1 << PLACE_BITS) - 1)
     keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     place = (_slide(keys, width, np.minimum) & low).astype(np.int64)
+    windows = np.arange(len(place)) if inside is None else np.flatnonzero(inside)
+    if not len(windows):
+        return windows, windows, windows
+    place = place[windows]
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return place[first], first, np.diff(np.append(first, len(place)))
+    return place[first], windows[first], np.diff(np.append(first, len(place)))
