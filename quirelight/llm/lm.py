@@ -1,12 +1,17 @@
 """Operator 6: language-model scores by masked pseudo-likelihood.
 
-Words fall into classes: the most frequent ones have one each, the others share hashed ones, and
-the outside of a text has its own. Two passes over all documents count words and (left, middle,
-right) class triples; a network with a window of one word to each side, trained in numpy on all
-triples with their counts, predicts the class of every word from both neighbours. The probability
-of a word is that of its class times its share of the class in the corpus. A third pass sums
-the conditional log-probabilities. Counts are summed in tables of fixed size (word slots and
-triples), so that what reaches the driver is bounded while what is gathered follows the input.
+Words are told apart by 64-bit hashes; nothing has a fixed number of slots. The probability of a
+word given both neighbours is the mean of two estimates, by the exact counts of (left, word) and of
+(word, right) in all documents, each smoothed with PRIOR occurrences of a base distribution over
+all words. The base is a network with a window of one word to each side, trained in numpy on the
+counts of all (left, middle, right) class triples, times the exact share of the word in its class;
+classes are the most frequent words, hashed groups of the others, and the outside of a text.
+
+Documents are dealt by hash into blocks. A block asks once for each of its distinct words and
+pairs; equal keys meet in the part of their range, and totals go back to the block, which sums the
+log-probabilities. Blocks and parts grow in number with the corpus and hold about BLOCK_BYTES of
+text each, so that a common word or pair has one row of a block and never fills a task. Only class
+totals, the most frequent words and class triples, all of fixed size, reach the driver.
 
 Defined results: a null or empty text and one without words have no words, log-probability 0 and a
 null mean; rows that repeat are counted and scored alike; an empty table gives an empty result.
@@ -14,6 +19,7 @@ null mean; rows that repeat are counted and scored alike; an empty table gives a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +27,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import ASCII_LOWER, map_batches, slices
+from quirelight.llm.common import ASCII_LOWER, slices
 
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
 SHARED = 16
 CLASSES = 64
 OUTSIDE = CLASSES - 1
+TOP = CLASSES - 1 - SHARED
 HIDDEN = 32
-_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+#: Occurrences that the base distribution counts for in each context.
+PRIOR = 1.0
+#: Bytes of text in a block, and of the corpus in a part of the counts; blocks and parts at least.
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
+#: The id of the outside of a text.
+NO_WORD = np.uint64(0)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
+def _mix(value: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        value = (value ^ (value >> np.uint64(shift))) * np.uint64(factor)
+    return value ^ (value >> np.uint64(31))
+
+
 def word_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash slot of every word of all texts, and the number of words of each text."""
+    """The 64-bit id of every word of all texts, and the number of words of each text."""
     body = b"\n".join(texts).translate(ASCII_LOWER)
     data = np.frombuffer(body, np.uint8)
     inside = np.zeros(len(data) + 2, np.int8)
@@ -45,67 +62,243 @@ def word_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     borders = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], borders])))
     if not len(starts):
-        return np.zeros(0, np.int64), counts
+        return np.zeros(0, np.uint64), counts
     lengths = ends - starts
     letters = data[inside[1:-1].view(bool)].astype(np.uint64) + np.uint64(1)
     first = np.cumsum(lengths) - lengths
-    place = (np.arange(len(letters)) - np.repeat(first, lengths)) & 255
-    value = np.add.reduceat(letters * _POWERS[place], first)
-    value ^= value >> np.uint64(29)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    return (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), counts
+    powers = np.cumprod(np.full(int(lengths.max()), _FACTOR), dtype=np.uint64)
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    return _mix(np.add.reduceat(letters * powers[place], first)), counts
+
+
+def _parts(batch: pa.RecordBatch, column: int = 0) -> Iterator[list[bytes]]:
+    for start, stop in slices(batch, 1 << 20):
+        yield [(t or "").encode() for t in batch.column(column).slice(start, stop - start).to_pylist()]
+
+
+def _word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``id, n`` of every distinct word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            ids, n = np.unique(np.concatenate(kept), return_counts=True)
+            for at in range(0, len(ids), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 65536].view(np.int64)), pa.array(n[at : at + 65536])], ["id", "n"])
+
+        for batch in batches:
+            for part in _parts(batch):
+                kept.append(word_slots(part)[0])
+                size += len(kept[-1])
+                if size > 1 << 22:
+                    yield from told()
+                    kept, size = [], 0
+        if size:
+            yield from told()
+
+    return docs.select(docs[text].alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _vocabulary(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the TOP most frequent words, sorted, and occurrences and distinct words by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total = np.zeros((2, SHARED), np.int64)
+        for batch in batches:
+            own, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            group = (own % np.uint64(SHARED)).astype(np.int64)
+            np.add.at(total[0], group, count)
+            total[1] += np.bincount(group, minlength=SHARED)
+            ids, n = np.concatenate([ids, own]), np.concatenate([n, count])
+            best = np.lexsort((ids, -n))[:TOP]
+            ids, n = ids[best], n[best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.full(len(ids), -1), np.arange(SHARED)])), pa.array(np.concatenate([ids.view(np.int64), total[1]])), pa.array(np.concatenate([n, total[0]]))], ["kind", "id", "n"]
+        )
+
+    found = words.select("id", "n").mapInArrow(run, "kind long, id long, n long").toArrow()  # CLASSES rows a partition at most
+    kind, ids, n = (found.column(c).to_numpy() for c in ("kind", "id", "n"))
+    occurrences, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    for k in range(SHARED):
+        occurrences[TOP + k], types[TOP + k] = n[kind == k].sum(), ids[kind == k].sum()
+    ids, n = ids[kind < 0].view(np.uint64), n[kind < 0]
+    best = np.lexsort((ids, -n))[:TOP]
+    ids, n = ids[best], n[best]
+    order = np.argsort(ids)
+    ids, n = ids[order], n[order]
+    group = (ids % np.uint64(SHARED)).astype(np.int64) + TOP
+    np.subtract.at(occurrences, group, n)
+    np.subtract.at(types, group, 1)
+    occurrences[: len(ids)], types[: len(ids)] = n, 1
+    return ids, occurrences, types
+
+
+def classes_of(ids: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The class of each word."""
+    out = (ids % np.uint64(SHARED)).astype(np.int64) + TOP
+    if len(top):
+        place = np.minimum(np.searchsorted(top, ids), len(top) - 1)
+        own = top[place] == ids
+        out[own] = place[own]
+    return out
 
 
-def _totals(docs: DataFrame, text: str, size: int, count) -> DataFrame:
-    """Sums over all documents of what ``count`` (slots, words per text) finds in each slice."""
+def _triples(docs: DataFrame, text: str, top: np.ndarray) -> np.ndarray:
+    """How often each class triple occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            for start, stop in slices(batch, 1 << 20):
-                part = [(t or "").encode() for t in batch.column(0).slice(start, stop - start).to_pylist()]
-                total += np.bincount(count(*word_slots(part)), minlength=size)
+            for part in _parts(batch):
+                ids, counts = word_slots(part)
+                if len(ids):
+                    own = classes_of(ids, top)
+                    left, right = _neighbours(own, counts)
+                    total += np.bincount((left * CLASSES + own) * CLASSES + right, minlength=CLASSES**3)
         cells = np.flatnonzero(total)
         for at in range(0, len(cells), 65536):
             some = cells[at : at + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def _dense(totals: DataFrame, size: int) -> np.ndarray:
-    found = totals.toArrow()
-    out = np.zeros(size, np.float64)
+    found = docs.select(docs[text].alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES**3, np.float64)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def _neighbours(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    left = np.concatenate([[OUTSIDE], classes[:-1]])
-    right = np.concatenate([classes[1:], [OUTSIDE]])
+def _neighbours(own: np.ndarray, counts: np.ndarray, outside=OUTSIDE) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.full(1, outside, own.dtype)
+    left = np.concatenate([edge, own[:-1]])
+    right = np.concatenate([own[1:], edge])
     counts = counts[counts > 0]
     last = np.cumsum(counts) - 1
-    right[last] = OUTSIDE
-    left[(last + 1)[:-1]] = OUTSIDE
+    right[last] = outside
+    left[(last + 1)[:-1]] = outside
     return left, right
 
 
+class Block:
+    """The words of some texts, and their distinct words and pairs with counts, in order of keys."""
+
+    def __init__(self, texts: list[bytes]):
+        self.ids, self.counts = word_slots(texts)
+        self.left, self.right = _neighbours(self.ids, self.counts, NO_WORD) if len(self.ids) else (self.ids, self.ids)
+        # Pairs of a word and its right neighbour; those of the outside and a first word follow.
+        self.first = np.flatnonzero(self.left == NO_WORD)
+        self.last = np.flatnonzero(self.right == NO_WORD)
+        pairs = np.concatenate([self._pair(self.ids, self.right), self._pair(self.left[self.first], self.ids[self.first])])
+        self.pairs, self.pair_at, self.pair_n = np.unique(pairs, return_inverse=True, return_counts=True)
+        self.words, self.word_at, n = np.unique(self.ids, return_inverse=True, return_counts=True)
+        edges = [np.bincount(self.word_at[x], minlength=len(n)) for x in (self.first, self.last)]
+        #: Occurrences, and how many of them begin and end a text.
+        self.word_n = np.stack([n, *edges])
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix(a * _FACTOR + _mix(b + _FACTOR))
+
+    def cuts(self, keys: np.ndarray, parts: int) -> np.ndarray:
+        """Where each part's range of the sorted keys starts, and the end."""
+        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+
+    def values(self, model: Model, pair_n: np.ndarray, word_n: np.ndarray) -> np.ndarray:
+        """log P(word | left, right) of every word, by the corpus' counts of the block's keys."""
+        n, begins, ends = (x[self.word_at] for x in word_n)
+        own = classes_of(self.ids, model.top)
+        left, right = _neighbours(own, self.counts)
+        base = np.exp(model.table[left, own, right]) * (n + 0.5) / (model.occurrences + 0.5 * (model.types + 1))[own]
+        of_pair = pair_n[self.pair_at]
+        after = of_pair[: len(n)].astype(np.float64)
+        before = np.concatenate([[0.0], after[:-1]])
+        before[self.first] = of_pair[len(n) :]
+        # How often the left neighbour has a word after it, and the right one a word before it.
+        outside = model.texts
+        of_left = np.concatenate([[0], (n - ends)[:-1]])
+        of_left[self.first] = outside
+        of_right = np.concatenate([(n - begins)[1:], [0]])
+        of_right[self.last] = outside
+        return np.log(0.5 * (before + PRIOR * base) / (of_left + PRIOR) + 0.5 * (after + PRIOR * base) / (of_right + PRIOR))
+
+
+def _number(docs: DataFrame, text: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
+    return max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
+
+
+def _dealt(docs: DataFrame, text: str, key: str, blocks: int) -> DataFrame:
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return [(t or "").encode() for t in table.column("text").to_pylist()]
+
+
+def _packed(dealt: DataFrame, parts: int, counted: bool, asked: bool) -> DataFrame:
+    """A row for each block and part: the block's keys of the part's range and their counts."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        own = Block(_texts(table))
+        pair_cuts, word_cuts = own.cuts(own.pairs, parts), own.cuts(own.words, parts)
+        rows = []
+        for i in range(parts):
+            a, b, c, d = pair_cuts[i], pair_cuts[i + 1], word_cuts[i], word_cuts[i + 1]
+            if b > a or d > c:
+                pair_n, word_n = own.pair_n[a:b].astype("<i4"), own.word_n[:, c:d].astype("<i4")
+                n = zlib.compress(pair_n.tobytes() + word_n.tobytes(), 1) if counted else None
+                rows.append((i, own.pairs[a:b].tobytes(), own.words[c:d].tobytes(), n))
+        part, pairs, words, n = zip(*rows) if rows else ((), (), (), ())
+        block = table.column("block")[0].as_py()
+        return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "part": pa.array(part, pa.int32()), "asked": pa.array([asked] * len(rows), pa.bool_()), "pairs": pa.array(pairs, pa.binary()), "words": pa.array(words, pa.binary()), "n": pa.array(n, pa.binary())})
+
+    return dealt.groupBy("block").applyInArrow(pack, "block int, part int, asked boolean, pairs binary, words binary, n binary")
+
+
+def _totals(packed: DataFrame, parts: int) -> DataFrame:
+    """The corpus' counts of the keys of each row that asks: ``block, part, n``."""
+
+    def total(table: pa.Table) -> pa.Table:
+        pairs, words = ([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] for c in ("pairs", "words"))
+        pair_n, word_n = [], []
+        for p, w, n in zip(pairs, words, table.column("n").to_pylist()):
+            found = np.frombuffer(zlib.decompress(n), "<i4") if n is not None else np.zeros(len(p) + 3 * len(w), "<i4")
+            pair_n.append(found[: len(p)])
+            word_n.append(found[len(p) :].reshape(3, len(w)))
+        of_pair = np.unique(np.concatenate(pairs), return_inverse=True)[1]
+        of_word = np.unique(np.concatenate(words), return_inverse=True)[1]
+        pair_n = np.bincount(of_pair, np.concatenate(pair_n))[of_pair].astype("<i8") if len(of_pair) else of_pair
+        word_n = np.stack([np.bincount(of_word, x)[of_word] for x in np.concatenate(word_n, axis=1)]).astype("<i8") if len(of_word) else np.zeros((3, 0), "<i8")
+        out, p, w = [], 0, 0
+        for a, b, asked in zip(map(len, pairs), map(len, words), table.column("asked").to_pylist()):
+            if asked:
+                out.append(zlib.compress(pair_n[p : p + a].tobytes() + word_n[:, w : w + b].tobytes(), 1))
+            p, w = p + a, w + b
+        rows = table.filter(table.column("asked"))
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "pairs": pa.array([len(x) // 8 for x in rows.column("pairs").to_pylist()], pa.int32()), "n": pa.array(out, pa.binary())})
+
+    return packed.repartition(parts, "part").groupBy("part").applyInArrow(total, "block int, part int, pairs int, n binary")
+
+
 class Model:
-    """Classes of slots, log share of each slot in its class, and log P(middle | left, right)."""
+    """The documents whose exact counts are asked for, and what has a fixed size: the most frequent
+    words, occurrences and distinct words by class, texts with words, and log P(middle | left, right)."""
+
+    def __init__(self, docs: DataFrame, text: str, parts: int, top: np.ndarray, occurrences: np.ndarray, types: np.ndarray, texts: float, table: np.ndarray):
+        self.docs, self.text, self.parts = docs, text, parts
+        self.top, self.occurrences, self.types, self.texts, self.table = top, occurrences, types, texts, table
 
-    def __init__(self, class_of: np.ndarray, share: np.ndarray, table: np.ndarray):
-        self.class_of, self.share, self.table = class_of, share, table
+    def fixed(self) -> Model:
+        """The model without its documents, for executors."""
+        return Model(None, self.text, self.parts, self.top, self.occurrences, self.types, self.texts, self.table)
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        slots, counts = word_slots(texts)
-        if not len(slots):
-            return np.zeros(len(texts)), counts
-        classes = self.class_of[slots]
-        left, right = _neighbours(classes, counts)
-        values = self.table[left, classes, right] + self.share[slots]
-        ends = np.concatenate([[0.0], np.cumsum(values)])
-        stop = np.cumsum(counts)
-        return ends[stop] - ends[stop - counts], counts
+        """Log-probability and number of words of a few texts."""
+        rows = self.docs.sparkSession.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+        found = sorted(score(rows, self).select("doc_id", "log_prob", "n_words").collect())
+        return np.array([r[1] for r in found]), np.array([r[2] for r in found], np.int64)
 
 
 def train(triples: np.ndarray, steps: int = 120, rate: float = 0.08, seed: int = 3) -> np.ndarray:
@@ -142,36 +335,41 @@ def train(triples: np.ndarray, steps: int = 120, rate: float = 0.08, seed: int =
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model of all documents."""
-    counts = _dense(_totals(docs, text, SLOTS, lambda slots, _: slots), SLOTS)
-    class_of = np.arange(SLOTS) % SHARED + (CLASSES - 1 - SHARED)
-    top = np.argsort(-counts, kind="stable")[: CLASSES - 1 - SHARED]
-    class_of[top] = np.arange(len(top))
-
-    def triples(slots: np.ndarray, words: np.ndarray) -> np.ndarray:
-        if not len(slots):
-            return slots
-        own = class_of[slots]
-        left, right = _neighbours(own, words)
-        return (left * CLASSES + own) * CLASSES + right
-
-    table = train(_dense(_totals(docs, text, CLASSES**3, triples), CLASSES**3))
-    smoothed = counts + 0.5
-    share = np.log(smoothed / np.bincount(class_of, smoothed, CLASSES)[class_of])
-    return Model(class_of, share, table)
+    top, occurrences, types = _vocabulary(_word_counts(docs, text))
+    triples = _triples(docs, text, top)
+    texts = triples.reshape(CLASSES, -1)[OUTSIDE].sum()
+    return Model(docs, text, _number(docs, text), top, occurrences, types, texts, train(triples))
 
 
 def score(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_words, log_prob, mean_log_prob`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))  # SLOTS and CLASSES bound its size
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums, words = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for start, stop in slices(batch, 1 << 20):
-            s, n = shared.value.scores([(t or "").encode() for t in batch.column(1).slice(start, stop - start).to_pylist()])
-            sums.append(s)
-            words.append(n)
-        total, n = np.concatenate(sums), np.concatenate(words)
-        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return map_batches(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), kernel, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    model = model or fit(docs, text)
+    same = model.docs is docs and model.text == text
+    blocks = model.parts if same else _number(docs, text)
+    dealt = _dealt(docs, text, key, blocks)
+    packed = _packed(dealt, model.parts, same, True)
+    if not same:
+        corpus = model.docs.select(F.lit(None).cast("long").alias("doc_id"), model.docs[model.text].alias("text"))
+        spread = corpus.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(model.parts)).cast("int")).repartition(model.parts, "block")
+        packed = packed.unionAll(_packed(spread, model.parts, True, False))
+    totals = _totals(packed, model.parts)
+    shared = docs.sparkSession.sparkContext.broadcast(model.fixed())  # CLASSES bounds its size
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Block(_texts(table))
+        values = np.zeros(0)
+        if len(own.ids):
+            pair_n, word_n = [], []
+            answers = answers.sort_by("part")
+            for pairs, n in zip(answers.column("pairs").to_pylist(), answers.column("n").to_pylist()):
+                found = np.frombuffer(zlib.decompress(n), "<i8")
+                pair_n.append(found[:pairs])
+                word_n.append(found[pairs:].reshape(3, -1))
+            values = own.values(shared.value, np.concatenate(pair_n), np.concatenate(word_n, axis=1))
+        ends = np.concatenate([[0.0], np.cumsum(values)])
+        stop, n = np.cumsum(own.counts), own.counts
+        total = ends[stop] - ends[stop - n]
+        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(total), "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    back = totals.repartition(blocks, "block")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")

@@ -148,6 +148,40 @@ def test_lm_scores(spark, awkward, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_tells_neighbours_of_rare_words_apart(spark):
+    # More words than the network has classes, all of one frequency: only exact pairs tell them apart.
+    docs = spark.createDataFrame([(i, f"left{i} right{i}") for i in range(400)] + [(i, "the end") for i in range(400, 440)], "doc_id long, text string")
+    model = lm.fit(docs)
+    seen, n = model.scores([f"left{i} right{i}".encode() for i in range(100)])
+    swapped, _ = model.scores([f"left{i} right{(i + 16) % 400}".encode() for i in range(100)])
+    assert (n == 2).all() and (seen > swapped + 1).all()
+
+
+def test_lm_counts_are_exact(spark):
+    texts = ["a b c", "a b", "B c  a", "", "d", "x" * 300 + "yz x", "x" * 300 + "zy x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.fit(docs)
+    words = [t.lower().split() for t in texts]
+    count = lambda values: {v: values.count(v) for v in values}
+    of = count([w for t in words for w in t])
+    pairs = count([p for t in words for p in zip([None, *t], [*t, None])])
+    ids = {w: int(lm.word_slots([w.encode()])[0][0]) for w in of}
+    assert len(set(ids.values())) == len(of) and model.texts == 6
+    cls = {w: int(lm.classes_of(np.array([i], np.uint64), model.top)[0]) for w, i in ids.items()} | {None: lm.OUTSIDE}
+
+    def by_hand(l, w, r):
+        c = cls[w]
+        base = math.exp(model.table[cls[l], c, cls[r]]) * (of[w] + 0.5) / (model.occurrences[c] + 0.5 * (model.types[c] + 1))
+        follow = sum(n for (a, b), n in pairs.items() if a == l and b is not None)
+        precede = sum(n for (a, b), n in pairs.items() if b == r and a is not None)
+        return math.log(0.5 * (pairs[l, w] + lm.PRIOR * base) / (follow + lm.PRIOR) + 0.5 * (pairs[w, r] + lm.PRIOR * base) / (precede + lm.PRIOR))
+
+    for row in lm.score(docs, model).collect():
+        own = words[row.doc_id]
+        assert row.n_words == len(own)
+        assert math.isclose(row.log_prob, sum(by_hand(*x) for x in zip([None, *own], own, [*own[1:], None])), abs_tol=1e-9)
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_pipeline_stages_keep_columns(spark, awkward, stage, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
