@@ -11,8 +11,9 @@ least ``least_chars`` code points found in at least ``least_docs`` documents los
 except in the largest doc_id that holds them.
 
 Defined results: a null or empty text is one empty line; rows of equal doc_id are one document
-for counting, and all of them get the union of the lines dropped at their positions; null doc_ids
-count as one document, smaller than any other; an empty table gives an empty result.
+for counting, but each loses only lines of its own text, since bitmaps belong to (doc_id, hash of
+the text); null doc_ids count as one document, smaller than any other; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +31,17 @@ from quirelight.llm.common import WHITE, ascii_lower, checkpoint, map_batches
 NO_ID = -(1 << 63)
 
 
+def _mark(text) -> F.Column:
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _lines(docs: DataFrame, least_chars: int, text: str, key: str) -> DataFrame:
     split = F.split(F.coalesce(docs[text], F.lit("")), "\n", -1)
-    lines = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("doc"), split.alias("lines")).select("doc", F.posexplode("lines").alias("pos", "line"))
+    lines = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("doc"), _mark(docs[text]).alias("mark"), split.alias("lines")).select("doc", "mark", F.posexplode("lines").alias("pos", "line"))
     line = F.trim(ascii_lower(F.col("line")), F.lit(WHITE))
-    keyed = lines.select("doc", "pos", line.alias("line")).where(F.length("line") >= least_chars)
-    return keyed.select(F.xxhash64(F.lit(1), "line").alias("hi"), F.xxhash64(F.lit(2), "line").alias("lo"), "doc", "pos")
+    keyed = lines.select("doc", "mark", "pos", line.alias("line")).where(F.length("line") >= least_chars)
+    return keyed.select(F.xxhash64(F.lit(1), "line").alias("hi"), F.xxhash64(F.lit(2), "line").alias("lo"), "doc", "mark", "pos")
 
 
 def _stream(least_docs: int):
@@ -66,8 +72,9 @@ def _stream(least_docs: int):
 
 
 def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc, keep_bitmap`` of each document that loses a line: zlib-compressed bits, lowest first,
-    1 for lines to keep; lines beyond the last bit are kept. ``doc`` is NO_ID for a null id."""
+    """``doc, mark, keep_bitmap`` of each text that loses a line: zlib-compressed bits, lowest first,
+    1 for lines to keep; lines beyond the last bit are kept. ``doc`` is NO_ID for a null id
+    and ``mark`` the hash of the text."""
     lines = checkpoint(_lines(docs, least_chars, text, key))
     ranged = lines.select("hi", "lo", "doc", "pos").repartitionByRange("hi", "lo", "doc").sortWithinPartitions("hi", "lo", "doc", "pos")
     common = (
@@ -76,24 +83,25 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, te
         .agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))
         .where(F.col("n") >= least_docs)
     )
-    lost = lines.join(common, ["hi", "lo"]).where(F.col("doc") != F.col("largest")).groupBy("doc").agg(F.collect_list("pos").alias("lost"))
+    lost = lines.join(common, ["hi", "lo"]).where(F.col("doc") != F.col("largest")).groupBy("doc", "mark").agg(F.collect_set("pos").alias("lost"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = []
-        for lost in batch.column(1).to_pylist():
+        for lost in batch.column(2).to_pylist():
             bits = np.ones(max(lost) // 8 * 8 + 8, np.uint8)
             bits[lost] = 0
             packed.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "keep_bitmap"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "mark", "keep_bitmap"])
 
-    return map_batches(lost, kernel, "doc long, keep_bitmap binary")
+    return map_batches(lost, kernel, "doc long, mark long, keep_bitmap binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the lines that bitmaps drop taken out of ``text``, and n_lines and n_dropped
     in columns of these names with ``_of_lines`` added (a null text stays null)."""
-    marks = bitmaps.select(F.col("doc").alias("doc_of_lines"), "keep_bitmap")
-    joined = docs.join(marks, F.coalesce(docs[key].cast("long"), F.lit(NO_ID)) == F.col("doc_of_lines"), "left").drop("doc_of_lines")
+    marks = bitmaps.select(F.col("doc").alias("doc_of_lines"), F.col("mark").alias("mark_of_lines"), "keep_bitmap")
+    own = (F.coalesce(docs[key].cast("long"), F.lit(NO_ID)) == F.col("doc_of_lines")) & (_mark(docs[text]) == F.col("mark_of_lines"))
+    joined = docs.join(marks, own, "left").drop("doc_of_lines", "mark_of_lines")
     names = docs.columns
     at = names.index(text)
 

@@ -184,3 +184,11 @@ def test_embeddings_by_brute_force(spark, monkeypatch):
     doubles = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert {r.vec_id: tuple(r) for r in embeddings.near_duplicates(doubles).collect()} == got
     assert embeddings.near_duplicates(doubles.limit(0)).count() == 0
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    common, own = "a line that many documents hold", "a line that nobody else holds"
+    rows = [(None, f"{common}\nx"), (None, f"{own}\nx"), (1, f"{common}\ny"), (1, f"{own} either\ny"), (1, f"{common}\ny"), (2, common), (3, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text, r.n_dropped_of_lines) for r in line_dedup.line_dedup(docs).collect())
+    assert got == sorted([("None", "x", 1), ("None", f"{own}\nx", 0), ("1", "y", 1), ("1", "y", 1), ("1", f"{own} either\ny", 0), ("2", "", 1), ("3", common, 0)])
