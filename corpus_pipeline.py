@@ -37,10 +37,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id_that_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("id_that_stays")), "left_semi")
+    """One row of each group of near-duplicates: the smallest id, ids before nulls, then the
+    smallest hash of the row."""
+    return simhash.one_of_each(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,14 +49,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long, the id cast to ``kind``."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], ["doc_id", "fp"])
 
-    return map_batches(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), kernel, "doc_id long, fp long")
+    return map_batches(docs.select(docs[key].cast(kind).alias("doc_id"), docs[text].alias("text")), kernel, f"doc_id {kind}, fp long")
 
 
 def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
@@ -131,6 +131,27 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return work.select("i", "j", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _named(marked: DataFrame, radius: int) -> DataFrame:
+    """``fp, component`` of every fingerprint of ``marked``."""
+    found = components(links(marked, radius)).select(F.col("node").alias("fp_of_node"), "component")
+    fps = marked.select("fp").distinct()
+    return fps.join(found, fps["fp"] == found["fp_of_node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, that of the smallest doc_id (nulls
+    last) and then of the smallest hash of the row. Names ending in ``_of_row`` are used inside."""
+    first, second = (F.xxhash64(F.lit(i), *[docs[c] for c in docs.columns]) for i in (1, 2))
+    own = docs.withColumns({"hi_of_row": first, "lo_of_row": second})
+    ids = F.struct(own[key].isNull().alias("none"), own[key].cast("long").alias("id"), F.col("hi_of_row").alias("hi"), F.col("lo_of_row").alias("lo"))
+    marked = checkpoint(fingerprints(own.withColumn("id_of_row", ids), width, seed, text, "id_of_row", "struct<none:boolean,id:long,hi:long,lo:long>"))
+    # By fingerprint first, so that a large group of copies is a few rows in the join.
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    stay = classes.join(_named(marked, radius), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.hi").alias("hi_of_row"), F.col("first.lo").alias("lo_of_row"))
+    return own.join(stay, ["hi_of_row", "lo_of_row"], "left_semi").dropDuplicates(["hi_of_row", "lo_of_row"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest doc_id reachable)."""
     marked = checkpoint(fingerprints(docs, width, seed, text, key))

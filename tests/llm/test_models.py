@@ -195,3 +195,13 @@ def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, DATA)
     assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() > 50
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = ("one text about the sea and its ships", "another text on hills and their sheep", "a third one of rivers and old mills", "the fourth tells of winter and snow")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (None, a, "x"), (None, b, "x"), (None, b, "x"), (None, c, "x"), (1, d, "x"), (3, d, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pipeline.near_duplicate_stage(spark, docs, DATA).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", a), ("None", b), ("None", c), ("1", d)])
+    assert pipeline.near_duplicate_stage(spark, empty, DATA).count() == 0
