@@ -5,9 +5,13 @@ The layout takes every word of every document: pages of 200 words, lines of 10,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelight.operators.rows import map_rows
+
 WORDS, LINE, BLOCK_LINES = 200, 10, 5
 
 
@@ -47,20 +51,70 @@ FROM (SELECT doc_id, (i // 200)::INT AS page_no, (i % 200 // 10)::INT AS l, (i %
 """
 
 
-def payloads(words: DataFrame, title: str | None = None) -> DataFrame:
-    """Recognition requests (``doc_id, body``: JSON) of a ``words`` table."""
-    number = lambda c: F.col(c).cast("string")
-    flag = lambda c: F.col(c).cast("int").cast("string")
-    quoted = F.substr(F.to_json(F.struct(F.col("text").alias("t"))), F.lit(6))
-    word = F.concat(F.lit("["), F.concat_ws(",", number("x_min"), number("y_min"), number("x_max"), number("y_max"), number("font_size"), flag("space"), number("baseline"), F.lit("0,0"), flag("bold"), F.lit("0,0"), number("font")), F.lit(","), F.substr(quoted, F.lit(1), F.length(quoted) - 1), F.lit("]"))
-    level = words.select("*", word.alias("json"))
-    keys = ["page_no", "flow_no", "block_no", "line_no", "word_no"]
-    box = ("x_min", "y_min", "x_max", "y_max")
-    while keys:
-        last = keys.pop()
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(last, "json"))), lambda x: x["json"]), ",")
-        bounds = [F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max")]
-        level = level.groupBy("doc_id", *keys).agg(joined.alias("json"), *bounds)
-        wrap = {"word_no": F.concat(F.lit("[["), "json", F.lit("]]")), "line_no": F.concat(F.lit("["), F.concat_ws(",", *map(number, box)), F.lit(",["), F.col("json"), F.lit("]]")), "block_no": F.concat(F.lit("[["), "json", F.lit("]]")), "flow_no": F.concat(F.lit("[612.0,792.0,["), "json", F.lit("]]")), "page_no": F.col("json")}[last]
-        level = level.withColumn("json", wrap)
-    return level.select("doc_id", F.concat(F.lit('{"metadata":{' + (f'"Title":"{title}"' if title else "") + '},"totalPages":'), F.lit("9"), F.lit(',"pages":['), "json", F.lit("]}")).alias("body"))
+def words_of(text: str | None) -> list[str]:
+    return [t for t in (text or "").replace("\n", " ").split(" ") if t]
+
+
+def word(x: float, y: float, text: str, size: float, font: int, space: bool = True, bold: bool = False, height: float = 10, drop: float = 8) -> list:
+    """A word of a request: its positional array."""
+    return [x, y, x + 5 * len(text), y + height, size, int(space), y + drop, 0, 0, int(bold), 0, 0, font, text]
+
+
+def block(lines: list[list[list]]) -> list:
+    """A block of lines of words."""
+    of = [w for line in lines for w in line]
+    return [min(w[0] for w in of), min(w[1] for w in of), max(w[2] for w in of), max(w[3] for w in of), [[line] for line in lines]]
+
+
+def text_block(y: float, text: str, size: float, font: int, x: float = 72.0) -> list:
+    """A block of one line, words 50 units apart; a word that starts with ^ is a raised footnote mark
+    of the one before it."""
+    line: list[list] = []
+    for t in text.split(" "):
+        if t.startswith("^"):
+            line[-1][5] = 0
+            line.append(word(line[-1][2], y, t[1:], size / 2, font, height=size / 2, drop=size / 2 - 2))
+        else:
+            line.append(word(x + 50 * len(line), y, t, size, font, height=size, drop=size - 2))
+    return block([line])
+
+
+def layout_pages(shift: int, tokens: list[str], down: float = 0.0, plain: bool = False, pitch: float = 14.0, extra: float = 6.0, style=None) -> list[list[list]]:
+    """Blocks of each page of the layout of ``layout_words``, ``down`` units lower; ``plain`` sets all in one size
+    and weight. ``style`` gives (size, font, bold) of a block by its number, for all its words."""
+    pages = []
+    for first in range(0, len(tokens), WORDS):
+        page, own = first // WORDS, tokens[first : first + WORDS]
+        blocks: list[list] = []
+        for at in range(0, len(own), LINE):
+            row = at // LINE
+            b = row // BLOCK_LINES
+            y = 60.0 + pitch * row + extra * b + down
+            title = page == 0 and b == 0 and not plain
+            line = []
+            for n, t in enumerate(own[at : at + LINE]):
+                size, font, bold = style(b) if style else (10.0 if plain else 16.0 if title else 12.0 if b == 1 else 10.0, n % 4 * (row % 2) + page % 2 * 10, title)
+                line.append(word(72.0 + 40 * n + shift, y, t, size, font, n < LINE - 1, bold))
+            if row % BLOCK_LINES == 0:
+                blocks.append([])
+            blocks[-1].append(line)
+        pages.append([block(lines) for lines in blocks])
+    return pages
+
+
+def request(pages: list[list[list[list]]], title: str | None = None, total: int = 9) -> str:
+    """JSON of a request; a page is a list of flows, a flow a list of blocks."""
+    return json.dumps({"metadata": {} if title is None else {"Title": title}, "totalPages": total, "pages": [[612.0, 792.0, [[blocks] for blocks in flows]] for flows in pages]})
+
+
+def composed(docs: DataFrame, row, *columns: str) -> DataFrame:
+    """Requests (``doc_id, body``) that ``row`` composes from the columns of each document. The documents
+    are dealt out first, since a table of a few row groups would leave most cores without work."""
+    own = docs.select("doc_id", *columns)
+    return map_rows(own.repartition("doc_id"), lambda *values: {"doc_id": values[0], "body": row(*values)}, "doc_id long, body string")
+
+
+def payloads(docs: DataFrame) -> DataFrame:
+    """Requests (``doc_id, body``) that hold the layout of ``docs`` (doc_id, text)."""
+
+    return composed(docs, lambda doc_id, text: request([[blocks] for blocks in layout_pages((doc_id or 0) % 3, words_of(text))], "T"), "text")

@@ -18,8 +18,8 @@ ISSUE = r"(?U)\b(?i:issue|num|no|number|n)\.?[\s:-]\s*(\d+)"
 ISSN = r"(?U)ISSN:?\s*(\d{4}-\d{3}[\dX])"
 JOURNAL = r"(?U)[\p{IsAlphabetic}'.]++(?:\s[\p{IsAlphabetic}'.]++)*+"
 
-#: DOIs from this length on are not looked up.
-LONG_DOI = 64
+#: DOIs from this length on are not looked up; registered ones up to SHORT_DOI are not trusted.
+LONG_DOI, SHORT_DOI = 64, 10
 
 
 def raw_dois(col: Column) -> Column:

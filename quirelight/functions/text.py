@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The property that the rules for letters name.
+ALPHABETIC = regex.compile(r"\p{Alphabetic}")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,28 +30,42 @@ def count_of(col: Column, char_class: str) -> Column:
     return F.length(F.regexp_replace(col, f"[^{char_class}]", ""))
 
 
-def _decompose(text: str) -> str:
-    return "".join(x.lower() for c in text for x in unicodedata.normalize("NFKD", c)) if not text.isascii() else text.lower()
+@functools.cache
+def is_alphabetic(char: str) -> bool:
+    """Unicode property Alphabetic of one code point: letters, and also vowel signs, letter numbers
+    and enclosed letters, which str.isalpha leaves out."""
+    return char.isalpha() or ALPHABETIC.match(char) is not None
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd_lower(texts: pd.Series) -> pd.Series:
-    """NFKD, then lower-case code point by code point (a final sigma stays an ordinary one)."""
-    return texts.map(_decompose, na_action="ignore")
+class _Normal(dict):
+    """What normalisation leaves of each code point, filled in as code points are met."""
 
+    def __missing__(self, point: int) -> str:
+        char = chr(point)
+        kept = "".join(x.lower() for x in unicodedata.normalize("NFKD", char) if is_alphabetic(x)) if is_alphabetic(char) else ""
+        self[point] = kept
+        return kept
 
-def normalize(col: Column) -> Column:
-    """Alphabetic code points, decomposed (alphabetic parts stay) and lower-cased; nothing else
-    survives. Only the decomposition leaves the JVM, and only for texts that are not ASCII."""
-    letters = F.regexp_replace(col, r"[^\p{IsAlphabetic}]+", "")
-    plain = F.octet_length(letters) == F.length(letters)
-    return F.when(plain, F.lower(letters)).otherwise(F.regexp_replace(_nfkd_lower(F.when(~plain, letters)), r"[^\p{IsAlphabetic}]+", ""))
+
+_NORMAL = _Normal()
 
 
 def normalize_text(text: str) -> str:
-    """``normalize`` of one Python string."""
-    kept = "".join(c for c in text if c.isalpha())
-    return "".join(c for c in _decompose(kept) if c.isalpha())
+    """Alphabetic code points, decomposed (alphabetic parts stay) and lower-cased one by one (a final
+    sigma stays an ordinary one); nothing else survives."""
+    return text.translate(_NORMAL)
+
+
+@F.pandas_udf(T.StringType())
+def _normalized(texts: pd.Series) -> pd.Series:
+    return texts.map(normalize_text, na_action="ignore")
+
+
+def normalize(col: Column) -> Column:
+    """``normalize_text`` of a column. ASCII texts stay in the JVM, where the rule is that A-Z and
+    a-z survive; only the others leave it, so that there is one rule for columns and strings."""
+    plain = F.octet_length(col) == F.length(col)
+    return F.when(plain, ascii_lower(F.regexp_replace(col, "[^A-Za-z]+", ""))).otherwise(_normalized(F.when(~plain, col)))
 
 
 def text_info(col: Column) -> Column:

@@ -1,7 +1,8 @@
 """What is sequential within one document: typographic line blocks, authors, titles, abstracts.
 
 Pure functions on small objects; `quirelight.plans.recognize` applies them to Arrow batches, one
-document a row, so that no shuffle is needed for any of them.
+document a row, so that no shuffle is needed for any of them. Evidence about names needs a registry:
+`heads_of` lists what may be chosen without it, `chosen_title` chooses with it.
 """
 
 from __future__ import annotations
@@ -9,12 +10,26 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import NamedTuple
 
-from quirelight.functions.text import CONJUNCTIONS, DEGREES, STRUCTURED_HEADINGS
+from quirelight.functions.text import CONJUNCTIONS, DEGREES, STRUCTURED_HEADINGS, is_alphabetic, normalize_text
 
 #: Limits of the data model.
 MAX_BLOCKS, MAX_LINE_CHARS, TITLE_BYTES = 500, 500, 300
+#: Bytes of a block's text that are judged as a title, and looked up.
+JUDGED_BYTES, LOOKUP_BYTES = 500, 1024
+#: An abstract of as many bytes is given up.
+ABSTRACT_BYTES = 8192
+#: Title lookups after which no further block of a document is tried.
+MOST_LOOKUPS = 100
+#: Code points with the property Hyphen.
+HYPHENS = "-\u00ad\u058a\u1806\u2010\u2011\u2e17\u30fb\ufe63\uff0d\uff65"
+
+
+def size_of(text: str) -> int:
+    """Bytes in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode())
 
 
 class Word(NamedTuple):
@@ -48,14 +63,15 @@ class Line:
         """The value with most bytes, the first seen on a tie."""
         weight: dict = {}
         for w in self.words:
-            weight[of(w)] = weight.get(of(w), 0) + len(w.text.encode())
+            value = of(w)
+            weight[value] = weight.get(value, 0) + size_of(w.text)
         best = max(weight, key=weight.get)
         return best if weight[best] else 0
 
     @property
     def upper(self) -> bool:
-        cased = [c.isupper() for c in self.text if c.isupper() or c.islower()]
-        return bool(cased) and 100 * sum(cased) // len(cased) >= 90
+        upper, lower = sum(map(str.isupper, self.text)), sum(map(str.islower, self.text))
+        return upper + lower > 0 and 100 * upper // (upper + lower) >= 90
 
 
 @dataclass
@@ -64,6 +80,11 @@ class Page:
     height: float
     lines: list[Line] = field(default_factory=list)
 
+    @cached_property
+    def blocks(self) -> list[LineBlock]:
+        """Its typographic line blocks."""
+        return line_blocks(self.lines)
+
 
 @dataclass
 class LineBlock:
@@ -93,30 +114,49 @@ class LineBlock:
             out.append(" " * (number > 0))
             size += number > 0
             for w in line.words:
-                bytes_ = len(w.text.encode())
-                if limit and size + bytes_ >= limit:
+                bytes_ = size_of(w.text)
+                if limit is not None and size + bytes_ >= limit:
                     return "".join(out)
                 out.append(w.text + " " * w.space)
                 size += bytes_ + w.space
         return "".join(out)
 
 
+def _number(value) -> float:
+    """A number, also an integer; other kinds, and what is far beyond any page, count as 0."""
+    if type(value) is float:
+        return value
+    return float(value) if type(value) is int and -1e15 < value < 1e15 else 0.0
+
+
+def _whole(value) -> int:
+    return value if type(value) is int and -1e15 < value < 1e15 else 0
+
+
+def _items(value) -> list:
+    return value if type(value) is list else []
+
+
+def _part(value, i: int):
+    return value[i] if type(value) is list and len(value) > i else None
+
+
+def _word(value) -> Word:
+    fields = _items(value)
+    if len(fields) < 14:
+        fields = fields + [None] * (14 - len(fields))
+    x0, y0, x1, y1, size, space, baseline, _, _, bold, _, _, font, text = fields[:14]
+    return Word(_number(x0), _number(y0), _number(x1), _number(y1), _number(size), bool(_whole(space)), _number(baseline), bool(_whole(bold)), _whole(font), text if type(text) is str else "")
+
+
 def parse_pages(pages: list, most: int = 5) -> list[Page]:
     """Positional arrays to pages; values of a wrong kind count as 0, lines without words are left out."""
-    number = lambda v: float(v) if isinstance(v, int | float) and not isinstance(v, bool) else 0.0
-    whole = lambda v: v if isinstance(v, int) and not isinstance(v, bool) else 0
-    part = lambda v, i: v[i] if isinstance(v, list) and len(v) > i else None
-    items = lambda v: v if isinstance(v, list) else []
     out = []
     for page in pages[:most]:
-        own = Page(number(part(page, 0)), number(part(page, 1)))
-        for f, flow in enumerate(items(part(page, 2))):
-            for b, block in enumerate(items(part(flow, 0))):
-                rows = []
-                for line in items(part(block, 4)):
-                    words = [Word(*(number(part(w, i)) for i in range(5)), bool(whole(part(w, 5))), number(part(w, 6)), bool(whole(part(w, 9))), whole(part(w, 12)), part(w, 13) if isinstance(part(w, 13), str) else "") for w in items(part(line, 0))]
-                    if words:
-                        rows.append(Line(f, b, words))
+        own = Page(_number(_part(page, 0)), _number(_part(page, 1)))
+        for f, flow in enumerate(_items(_part(page, 2))):
+            for b, block in enumerate(_items(_part(flow, 0))):
+                rows = [Line(f, b, [_word(w) for w in words]) for line in _items(_part(block, 4)) if (words := _items(_part(line, 0)))]
                 for line, after in zip(rows, rows[1:]):
                     line.next = after
                 own.lines += rows
@@ -155,13 +195,16 @@ def _continues(block: LineBlock, line: Line, size: float, font: int, upper: bool
 
 
 def line_blocks(lines: Iterable[Line]) -> list[LineBlock]:
-    """Lines in reading order, merged by typography across layout blocks."""
+    """Lines in reading order, merged by typography across layout blocks. Lines after the one that
+    opens the last possible block are left out, also those that would continue it."""
     out: list[LineBlock] = []
     for line in lines:
+        if len(out) == MAX_BLOCKS:
+            break
         size, font, upper = line.heaviest(lambda w: w.size), line.heaviest(lambda w: w.font), line.upper
         if out and _continues(out[-1], line, size, font, upper):
             out[-1].add(line)
-        elif len(out) < MAX_BLOCKS:
+        else:
             out.append(LineBlock([line], size, font, line.words[0].bold, upper))
     return out
 
@@ -171,8 +214,8 @@ def characters(line: Line) -> list[tuple[str, Word]]:
     out: list[tuple[str, Word]] = []
     for w in line.words:
         for c in w.text + " " * w.space:
-            if unicodedata.category(c) == "Mn":
-                if out and len(both := unicodedata.normalize("NFC", out[-1][0] + c)) == 1:
+            if out and unicodedata.category(c) == "Mn":
+                if len(both := unicodedata.normalize("NFC", out[-1][0] + c)) == 1:
                     out[-1] = (both, out[-1][1])
             else:
                 out.append((c, w))
@@ -222,104 +265,180 @@ def authors_of_line(line: Line, refs: set[int] | None = None) -> list[tuple[str,
     """Names of each author of a line. ``refs`` collects the positions of authors that a footnote
     mark follows; it is shared by the lines of a block."""
     read = _Names(refs if refs is not None else set())
-    text = [(c, w) for c, w in characters(line)]
+    text = characters(line)
     home: Word | None = None
+    goes_on = False
     for c, w in text:
+        goes_on = False
         if c == "~":
             continue
         raised = home is not None and abs(w.size - home.size) > 1 and abs(w.baseline - home.baseline) > 1
-        letter = c.isalpha() and c not in "æÆ"
-        goes_on = True
+        letter = c not in "æÆ" and is_alphabetic(c)
         if not read.current:
             if c in " .":
                 continue
             if raised and home.size > 1:
                 read.refs.add(len(read.authors))
-                goes_on = False
             elif letter:
                 read.current = c
                 home = home if read.names else text[0][1]
-            else:
-                goes_on = False
+                goes_on = True
         elif raised or c == "*":
             read.refs.add(len(read.authors))
-            goes_on = False
-        elif letter or c in "-­֊᠆‐‑⸗・﹣－･":
+        elif letter or c in HYPHENS:
             read.current += c
+            goes_on = True
         elif c in " .":
             goes_on = read.separate()
-        else:
-            goes_on = False
         if not goes_on and not read.finish():
             return read.authors
-    if read.names or read.current:
+    # A line that ends in skipped characters leaves its last author open; it does not count.
+    if goes_on:
         read.finish()
     return read.authors
 
 
-def authors_of_block(block: LineBlock, word_type: Callable[[str], int]) -> tuple[int, list[tuple[str, ...]]]:
-    """Confidence (0 to 2) and authors of a block of lines."""
+class Author(NamedTuple):
+    names: tuple[str, ...]
+    #: A footnote mark follows.
+    marked: bool
+
+
+def author_lines(block: LineBlock) -> list[list[Author]]:
+    """Authors of each line of a block, up to the first line that has none."""
     refs: set[int] = set()
-    confidence, out = 0, []
+    out = []
     for line in block.lines:
-        authors = authors_of_line(line, refs)
-        if not authors:
+        found = authors_of_line(line, refs)
+        if not found:
             break
-        for number, names in enumerate(authors):
+        out.append([Author(names, number in refs) for number, names in enumerate(found)])
+    return out
+
+
+def judged_authors(lines: Iterable[list[Author]], word_type: Callable[[str], int]) -> tuple[int, list[tuple[str, ...]]]:
+    """Confidence (0 to 2) and authors of the lines of a block, by evidence about their names."""
+    confidence, out = 0, []
+    for authors in lines:
+        for names, marked in authors:
             negative = sum(word_type(n) < 0 for n in names if len(n.encode()) > 1)
             if negative >= 2 or negative == len(names):
                 return confidence, out
-            level = 2 if not negative or number in refs else 0
+            level = 2 if not negative or marked else 0
             confidence = max(confidence, 1 if len(authors) == 1 else level)
-            out.append(names)
+            out.append(tuple(names))
     return confidence, out
 
 
-def _collected(blocks: list[LineBlock], start: int, joins: Callable[[LineBlock], bool], word_type) -> tuple[int, list]:
-    count, out = 0, []
-    for block in blocks[start:]:
-        if joins(block):
-            confidence, authors = authors_of_block(block, word_type)
-            if not confidence:
-                break
-            count += 1
-            out += authors
-    return count, out
+class Head(NamedTuple):
+    """A block that reads like a title. Each option is a place of authors, as two lists of blocks:
+    that block and others in the same row, and that block and others of the same face. Numbers
+    point into a list of blocks with authors."""
+
+    text: str
+    options: list[tuple[list[int], list[int]]]
 
 
-def authors_near(blocks: list[LineBlock], i: int, word_type: Callable[[str], int]) -> list[tuple[str, ...]]:
-    """Authors of the title at ``i``: from the next block, the one after a subtitle, or the one
-    before, and then from all blocks in the same row or of the same face."""
-    title = blocks[i]
-    options: list[tuple[int, int]] = []
+def _author_places(blocks: list[LineBlock], i: int) -> list[int]:
+    """Where the authors of the title at ``i`` may stand, the first choice first: in the next block,
+    in the one after a subtitle, in the one before."""
+    title, found = blocks[i], []
     if i + 1 < len(blocks) and title.y_max < blocks[i + 1].y_min:
-        options.append((authors_of_block(blocks[i + 1], word_type)[0], i + 1))
+        found.append(i + 1)
     if i + 2 < len(blocks):
         middle, below = blocks[i + 1], blocks[i + 2]
         fits = middle.chars < 300 and middle.y_min - title.y_max < 2 * (below.y_min - middle.y_max)
         if fits and title.size >= max(middle.size, below.size) and title.y_max < middle.y_min and middle.y_max < below.y_min:
-            options.append((authors_of_block(below, word_type)[0], i + 2))
+            found.append(i + 2)
     if i > 0 and title.size >= blocks[i - 1].size and title.y_min > blocks[i - 1].y_max:
-        options.append((authors_of_block(blocks[i - 1], word_type)[0], i - 1))
-    best = max(options, key=lambda o: o[0], default=(0, 0))
-    if not best[0]:
-        return []
-    first = blocks[best[1]]
-    word = first.lines[0].words[0]
-    in_row = _collected(blocks, best[1], lambda b: abs(first.y_min - b.y_min) < 3, word_type)
-    in_face = _collected(blocks, best[1], lambda b: (b.lines[0].words[0].font, b.lines[0].words[0].size) == (word.font, word.size), word_type)
-    return in_row[1] if in_row[0] > in_face[0] else in_face[1]
+        found.append(i - 1)
+    return found
+
+
+def title_order(blocks: list[LineBlock], threshold: float) -> list[int]:
+    """Blocks that read like a title: by font size, then the upper-case ones that stand apart."""
+
+    def reads(block: LineBlock, least: int) -> bool:
+        text = block.text(limit=JUDGED_BYTES)
+        return least <= len(text.encode()) <= 400 and alphabetic_percent(text) >= 60
+
+    by_size = sorted(range(len(blocks)), key=lambda i: -blocks[i].size)
+    found = [i for i in by_size if blocks[i].size >= threshold and reads(blocks[i], 25)]
+    return found + [i for i, b in enumerate(blocks) if b.upper and reads(b, 20) and separated(blocks, i)]
+
+
+def heads_of(page: Page, evidence: list[list[list[Author]]]) -> list[Head]:
+    """The titles of a page in order of choice, those near which a block may hold authors. Such blocks
+    are appended to ``evidence``."""
+    blocks = page.blocks
+    lines: dict[int, list[list[Author]]] = {}
+    numbers: dict[int, int] = {}
+
+    def has_authors(i: int) -> bool:
+        if i not in lines:
+            lines[i] = author_lines(blocks[i])
+        return bool(lines[i])
+
+    def number(i: int) -> int:
+        if i not in numbers:
+            numbers[i] = len(evidence)
+            evidence.append(lines[i])
+        return numbers[i]
+
+    def face(i: int) -> tuple[int, float]:
+        word = blocks[i].lines[0].words[0]
+        return word.font, word.size
+
+    def run(start: int, joins: Callable[[int], bool]) -> list[int]:
+        """Blocks from ``start`` on that join it, up to one that has no authors."""
+        found = []
+        for i in range(start, len(blocks)):
+            if joins(i):
+                if not has_authors(i):
+                    break
+                found.append(number(i))
+        return found
+
+    out = []
+    for i in title_order(blocks, font_threshold(page.lines)):
+        places = [p for p in _author_places(blocks, i) if has_authors(p)]
+        options = [(run(p, lambda j, p=p: abs(blocks[p].y_min - blocks[j].y_min) < 3), run(p, lambda j, p=p: face(j) == face(p))) for p in places]
+        if options:
+            out.append(Head(blocks[i].text(limit=TITLE_BYTES), options))
+    return out
+
+
+def _collected(evidence: list, numbers: Iterable[int], word_type: Callable[[str], int]) -> tuple[int, list]:
+    count, out = 0, []
+    for n in numbers:
+        confidence, authors = judged_authors(evidence[n], word_type)
+        if not confidence:
+            break
+        count += 1
+        out += authors
+    return count, out
+
+
+def chosen_title(heads: Iterable[Head], evidence: list, word_type: Callable[[str], int]) -> tuple[str, list[tuple[str, ...]]] | None:
+    """The first title that has authors: those of the option of highest confidence and of all blocks
+    in the same row or of the same face, whichever are more."""
+    for text, options in heads:
+        best = max(options, key=lambda o: judged_authors(evidence[o[0][0]], word_type)[0], default=None)
+        if best and judged_authors(evidence[best[0][0]], word_type)[0]:
+            in_row, in_face = (_collected(evidence, numbers, word_type) for numbers in best)
+            return text, in_row[1] if in_row[0] > in_face[0] else in_face[1]
+    return None
 
 
 def alphabetic_percent(text: str) -> int:
-    return 100 * sum(c.isalpha() or c in " ‐‑‒" for c in text) // len(text) if text else 0
+    return 100 * sum(c in " \u2010\u2011\u2012" or is_alphabetic(c) for c in text) // len(text) if text else 0
 
 
 def font_threshold(lines: Iterable[Line], least: int = 500) -> int:
     weight: dict[int, int] = {}
     for line in lines:
         for w in line.words:
-            weight[int(w.size)] = weight.get(int(w.size), 0) + len(w.text.encode())
+            weight[int(w.size)] = weight.get(int(w.size), 0) + size_of(w.text)
     return 1 + max((s for s, n in weight.items() if n > least and s <= 999), default=0)
 
 
@@ -329,44 +448,29 @@ def separated(blocks: list[LineBlock], i: int) -> bool:
     return before or after
 
 
-def title_and_authors(page: Page, word_type: Callable[[str], int]) -> tuple[str, list[tuple[str, ...]]] | None:
-    """The first block, by font size and then among the upper-case ones, that reads like a title
-    and has authors near it."""
-    blocks = line_blocks(page.lines)
-    threshold = font_threshold(page.lines)
-
-    def reads(block: LineBlock, least: int) -> bool:
-        text = block.text()
-        return least <= len(text.encode()) <= 400 and alphabetic_percent(text) >= 60
+def shadowed(blocks: list[LineBlock], i: int) -> bool:
+    """One of the 1-4 blocks before (never the first) overlaps in x and is larger than the gap to it."""
+    block = blocks[i]
+    return any(b.x_min <= block.x_max and b.x_max >= block.x_min and b.size > block.y_min - b.y_max for b in blocks[max(1, i - 4) : i])
 
-    by_size = sorted(range(len(blocks)), key=lambda i: -blocks[i].size)
-    candidates = [i for i in by_size if blocks[i].size >= threshold and reads(blocks[i], 25)]
-    candidates += [i for i, b in enumerate(blocks) if b.upper and reads(b, 20) and separated(blocks, i)]
-    for i in candidates:
-        if authors := authors_near(blocks, i, word_type):
-            return blocks[i].text(limit=TITLE_BYTES), authors
-    return None
 
-
-def names_in(pages: Iterable[Page]) -> set[str]:
-    """All words that any block of the pages may take for a name."""
-    return {n for p in pages for line in p.lines for names in authors_of_line(line) for n in names}
-
-
-def title_candidates(pages: list[Page], normalize: Callable[[str], str]) -> list[str]:
-    """Normalised texts to look up, in scan order, the last hit counting; at most three pages and
-    never the last one decoded."""
-    out = []
+def title_candidates(pages: list[Page]) -> list[str]:
+    """Normalised texts to look up, in scan order, the last hit counting: at most three pages and never
+    the last one decoded; blocks of up to 7 lines, also without their first line, and two
+    neighbours of up to 6 lines together that start in the top third."""
+    out: list[str] = []
     for page in pages[: min(3, len(pages) - 1)]:
-        blocks = line_blocks(page.lines)
+        blocks = page.blocks
         for i, block in enumerate(blocks):
-            before = blocks[max(1, i - 4) : i]
-            if any(b.x_min <= block.x_max and b.x_max >= block.x_min and b.size > block.y_min - b.y_max for b in before):
+            if len(out) > MOST_LOOKUPS:
+                break
+            if shadowed(blocks, i):
                 continue
-            texts = [block.text(m) for m in (0, 1) if 0 < len(block.lines) - m <= 7]
-            if i + 1 < len(blocks) and block.y_min < page.height / 3 and len(block.lines) <= 6:
-                texts.append(block.text() + " " + blocks[i + 1].text())
-            out += [key for t in texts if 15 <= len(key := normalize(t)) <= 300]
+            texts = [block.text(m, LOOKUP_BYTES) for m in (0, 1) if 0 < len(block.lines) - m <= 7]
+            if i + 1 < len(blocks) and block.y_min <= page.height / 3 and len(block.lines) + len(blocks[i + 1].lines) <= 6:
+                first = block.text(0, LOOKUP_BYTES)
+                texts.append(first + blocks[i + 1].text(0, LOOKUP_BYTES - len(first.encode())))
+            out += [key for t in texts if 15 <= len((key := normalize_text(t)).encode()) <= 300]
     return out
 
 
@@ -400,7 +504,7 @@ def simple_abstract(page: Page) -> str | None:
             own = w.text[skip:]
             skip = max(0, skip - len(w.text))
             if not text:
-                own = own[next((k for k, c in enumerate(own) if c.isalnum()), len(own)) :]
+                own = own[next((k for k, c in enumerate(own) if c.isdecimal() or is_alphabetic(c)), len(own)) :]
             if own:
                 low, high = min(w.x_min, low if low is not None else w.x_min), max(w.x_max, high if high is not None else w.x_max)
             if w.space and skip:
@@ -410,6 +514,8 @@ def simple_abstract(page: Page) -> str | None:
             text += own
         if not text:
             continue
+        if _too_long(text):
+            return None
         text = text[:-1] if text.endswith("-") else text + " "
         before = [x for x in lines[max(0, i - 2) : i] if (x.flow, x.block) == (line.flow, line.block)]
         after = lines[i + 1] if i + 1 < len(lines) else None
@@ -421,22 +527,27 @@ def simple_abstract(page: Page) -> str | None:
     return None
 
 
+def _too_long(text: str) -> bool:
+    return len(text.rstrip(" \n").encode()) >= ABSTRACT_BYTES
+
+
 def structured_abstract(page: Page) -> str | None:
-    """From the first heading to the end of its flow, if two headings align and a conclusion is last."""
+    """From the first heading to the end of its flow, if there are two headings, all headings align
+    and a conclusion is last."""
     kinds, text, first = [], "", None
     for line in page.lines:
         head = line.words[0]
         if first and line.flow != first[1]:
             break
-        kind = _structured_heading(head.text)
-        aligned = first is None or (abs(head.x_min - first[0].x_min) < 2 and abs(head.size - first[0].size) < 1)
-        if kind and aligned:
-            text += "\n" * bool(kinds)
+        if kind := _structured_heading(head.text):
+            if first and (abs(head.x_min - first[0].x_min) > 2 or abs(head.size - first[0].size) > 1):
+                return None
+            text += "\n" * bool(text)
             kinds.append(kind)
             first = first or (head, line.flow)
         if kinds:
             text += line.text
-    return text if len(kinds) >= 2 and kinds[-1] == 3 else None
+    return text if len(kinds) >= 2 and kinds[-1] == 3 and not _too_long(text) else None
 
 
 def abstract(pages: Iterable[Page]) -> str | None:
@@ -444,7 +555,7 @@ def abstract(pages: Iterable[Page]) -> str | None:
     for page in pages:
         found = structured_abstract(page) or simple_abstract(page)
         if found:
-            text = found.rstrip()
+            text = found.rstrip(" \n\r")
             at = min((k for k in (text.find("Keywords:"), text.find("KEYWORDS:")) if k > 0), default=0)
             if at:
                 return text[: at - 1] or None
@@ -454,7 +565,7 @@ def abstract(pages: Iterable[Page]) -> str | None:
 
 def jstor_text(page: Page, prefix: str) -> str | None:
     """Lines of the block that holds the stable URL, up to that line, each with a line feed."""
-    for block in line_blocks(page.lines):
+    for block in page.blocks:
         for k, line in enumerate(block.lines):
             if line.text.startswith(prefix):
                 return "".join(x.text + "\n" for x in block.lines[: k + 1])
@@ -469,11 +580,10 @@ def document_text(pages: list[Page], total_pages: int, most: int = 9999) -> str:
         for line in page.lines:
             for k, w in enumerate(line.words):
                 ends = k + 1 == len(line.words)
-                piece = w.text + " " * w.space + "\n" * ends + "\n" * (ends and line.next is None)
-                size += len(piece.encode())
-                if size >= most:
+                if size + size_of(w.text) >= most:
                     return "".join(out)
-                out.append(piece)
+                out.append(w.text + " " * w.space + "\n" * ends + "\n" * (ends and line.next is None))
+                size += size_of(out[-1])
     return "".join(out)
 
 
@@ -523,29 +633,33 @@ def first_page(pages: list[Page]) -> int:
 
 
 def page_number(pages: list[Page], page_step: int = 2, value_step: int = 1) -> tuple[int, int] | None:
-    """(page index, number) of the first page number that continues ``page_step`` pages on."""
+    """(page index, number) of the first page number that continues ``page_step`` pages on. Both
+    stand in lines that lie in the top or bottom margin as a whole."""
+    in_margin = lambda line, page: line.y_max < 100 or line.y_min > page.height - 100
     numeric = [[(line, w, int(w.text)) for line in p.lines for w in line.words if w.text.isascii() and w.text.isdigit() and len(w.text) < 18] for p in pages]
     for p in range(len(pages) - page_step):
         if not pages[p].lines:
             continue
         left, right = min(x.x_min for x in pages[p].lines), max(x.x_max for x in pages[p].lines)
         for line, w, value in numeric[p]:
-            margin = line.y_min < 100 or line.y_max > pages[p].height - 100
+            margin = in_margin(line, pages[p])
             place = abs(w.x_min - left) < 5 or abs(w.x_max - right) < 5 or abs((w.x_min + w.x_max) / 2 - (right - left) / 2) < 5
             if value > 0 and margin and place:
-                if any(v == value + value_step and abs(u.y_min - w.y_min) < 1 and abs(u.x_min - w.x_min) < 15 for _, u, v in numeric[p + page_step]):
+                later = pages[p + page_step]
+                if any(v == value + value_step and abs(u.y_min - w.y_min) < 1 and abs(u.x_min - w.x_min) < 15 and in_margin(other, later) for other, u, v in numeric[p + page_step]):
                     return p, value
     return None
 
 
-def page_range(pages: list[Page], total_pages: int) -> tuple[int, str | None]:
-    start, found = first_page(pages), page_number(pages)
-    if not found:
-        return start, None
-    page, number = found
-    if number == 1:
-        start = page
-    elif number == 2 and page >= 1:
-        start, number = page - 1, 1
-    last = number + total_pages - start - 1
+def page_range(pages: list[Page], total_pages: int) -> tuple[int, str]:
+    """Index of the first page, and first and last page number; without page numbers, or if they
+    start at 1, the last one only."""
+    start, number, last = first_page(pages), 1, total_pages
+    if found := page_number(pages):
+        page, number = found
+        if number == 1:
+            start = page
+        elif number == 2 and page >= 1:
+            start, number = page - 1, 1
+        last = number + total_pages - start - 1
     return start, f"{number}-{last}" if number > 1 else str(last)

@@ -68,7 +68,9 @@ def doc_text(words: DataFrame, most_bytes: int = MAX_LOOKUP_BYTES) -> DataFrame:
     ends = F.concat(F.when(F.lead("word_no").over(same_line).isNull(), "\n").otherwise(""), F.when(F.lead("word_no").over(same_block).isNull(), "\n").otherwise(""))
     piece = words.withColumn("piece", F.concat(_spaced(), ends))
     running = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = piece.withColumn("bytes", F.sum(F.octet_length("piece")).over(running)).where(F.col("bytes") < most_bytes)
+    # A word must fit; the blank or line feeds after it need not.
+    before = F.sum(F.octet_length("piece")).over(running) - F.octet_length("piece")
+    kept = piece.withColumn("bytes", before + F.octet_length("text")).where(F.col("bytes") < most_bytes)
     return kept.groupBy("doc_id").agg(_joined([*LINE[1:], "word_no"], F.col("piece"), "").alias("text"))
 
 

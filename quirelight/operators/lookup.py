@@ -1,12 +1,14 @@
-"""Lookups in registries, as equi-joins; adaptive execution broadcasts a side that proves small."""
+"""Lookups in registries, as equi-joins; adaptive execution broadcasts a side that proves small and
+splits keys that are frequent, as a common word, journal or publisher's prefix is."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import identifiers
 from quirelight.functions.text import ascii_lower, normalize
+from quirelight.operators.rows import dealt_again
 
 
 def registered(dois: DataFrame, registry: DataFrame) -> DataFrame:
@@ -16,28 +18,34 @@ def registered(dois: DataFrame, registry: DataFrame) -> DataFrame:
 
 def longest_registered_prefix(matches: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``doi``: the longest registered prefix of the lower-cased ``match`` (shorter than 64
-    bytes), NULL if none. Prefixes from 9 bytes on take part. ``matches``: doc_id, match_no, match."""
+    bytes), NULL if none. ``matches``: doc_id, match_no, match. Only prefixes of lengths that the
+    registry has take part; a publisher's short DOI is then the prefix of many matches, so that both
+    sides of the join are dealt out by it."""
+    lengths = registry.agg(F.collect_set(F.when(F.length("doi") < identifiers.LONG_DOI, F.length("doi")))).first()[0]  # 63 at most
     m = matches.withColumn("low", ascii_lower(F.col("match")))
-    prefixes = m.where(F.octet_length("low").between(9, identifiers.LONG_DOI - 1)).select("doc_id", "match_no", F.explode(F.transform(F.sequence(F.lit(9), F.length("low")), lambda i: F.substr(F.col("low"), F.lit(1), i))).alias("doi"))
-    best = prefixes.join(registry.select("doi").distinct(), "doi").groupBy("doc_id", "match_no").agg(F.max_by("doi", F.length("doi")).alias("doi"))
+    able = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("low"))
+    prefixes = m.where(F.octet_length("low") < identifiers.LONG_DOI).select("doc_id", "match_no", F.explode(F.transform(able, lambda n: F.substr(F.col("low"), F.lit(1), n))).alias("doi"))
+    best = prefixes.join(dealt_again(registry.select("doi").distinct(), "doi"), "doi").groupBy("doc_id", "match_no").agg(F.max_by("doi", F.length("doi")).alias("doi"))
     return m.join(best, ["doc_id", "match_no"], "left").drop("low")
 
 
 def extract_doi(texts: DataFrame, registry: DataFrame) -> DataFrame:
-    """``doc_id, doi``: the first match with a registered prefix; else the last match as it stands,
-    or lower-cased if it is too long to be looked up."""
+    """``doc_id, doi``: the first match with a registered prefix counts, and gives the longest one if
+    that has more than 10 bytes, else the match as it stands; without any, the last match as it
+    stands, or lower-cased if it is too long to be looked up."""
     matches = texts.select("doc_id", F.posexplode(identifiers.raw_dois(F.col("text"))).alias("match_no", "match"))
     looked = longest_registered_prefix(matches, registry)
     long_ = F.octet_length("match") >= identifiers.LONG_DOI
     plain = F.when(long_, ascii_lower(F.col("match"))).otherwise(F.col("match"))
-    return looked.groupBy("doc_id").agg(F.min_by("doi", F.when(F.col("doi").isNotNull(), F.col("match_no"))).alias("known"), F.max_by(plain, "match_no").alias("last")).select("doc_id", F.coalesce("known", "last").alias("doi"))
+    known = F.when(F.octet_length("doi") > identifiers.SHORT_DOI, F.col("doi")).when(F.col("doi").isNotNull(), F.col("match"))
+    return looked.groupBy("doc_id").agg(F.min_by(known, F.when(F.col("doi").isNotNull(), F.col("match_no"))).alias("known"), F.max_by(plain, "match_no").alias("last")).select("doc_id", F.coalesce("known", "last").alias("doi"))
 
 
 def last_journal(texts: DataFrame, journals: DataFrame) -> DataFrame:
     """``doc_id, journal``: the last run of words in ``text`` whose normalised form is a journal."""
     runs = texts.select("doc_id", F.posexplode(identifiers.journal_candidates(F.col("text"))).alias("pos", "journal"))
     keyed = runs.withColumn("name_key", normalize(F.col("journal")))
-    return keyed.join(journals, "name_key", "left_semi").groupBy("doc_id").agg(F.max_by("journal", "pos").alias("journal"))
+    return keyed.join(dealt_again(journals, "name_key"), "name_key", "left_semi").groupBy("doc_id").agg(F.max_by("journal", "pos").alias("journal"))
 
 
 def lookup_titles(titles: DataFrame, registry: DataFrame, texts: DataFrame, most: int = 5) -> DataFrame:
@@ -45,8 +53,10 @@ def lookup_titles(titles: DataFrame, registry: DataFrame, texts: DataFrame, most
     document's normalised text (doc_id, norm_text): ``doc_id, cand, doi``. Titles with more than
     ``most`` entries are ambiguous; the first entry that is confirmed counts. The author's text must
     end before the document's."""
-    clear = registry.where("title_key IS NOT NULL").withColumn("entries", F.count("*").over(Window.partitionBy("title_key"))).where(F.col("entries") <= most)
-    hits = titles.join(clear, "title_key").join(texts, "doc_id")
+    named = registry.where("title_key IS NOT NULL")
+    few = named.groupBy("title_key").agg(F.count("*").alias("entries")).where(F.col("entries") <= most).select("title_key")
+    clear = named.join(dealt_again(few, "title_key"), "title_key", "left_semi")
+    hits = titles.join(dealt_again(clear, "title_key"), "title_key").join(texts, "doc_id")
     inside = lambda key: (F.octet_length(key) >= 4) & F.expr(f"contains(substr(norm_text, 1, length(norm_text) - 1), {key})")
     return hits.where(F.coalesce(inside("author1_key"), F.lit(False)) | F.coalesce(inside("author2_key"), F.lit(False))).groupBy("doc_id", "cand").agg(F.min_by("doi", "ord").alias("doi"))
 
@@ -60,4 +70,4 @@ def word_type(a, b, c):
 
 def word_types(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds ``word_type`` to rows with ``word_key``."""
-    return words.join(dictionary, "word_key", "left").withColumn("word_type", word_type(F.col("a"), F.col("b"), F.col("c"))).drop("a", "b", "c")
+    return words.join(dealt_again(dictionary, "word_key"), "word_key", "left").withColumn("word_type", word_type(F.col("a"), F.col("b"), F.col("c"))).drop("a", "b", "c")

@@ -45,15 +45,16 @@ def headfoot_fields(texts: DataFrame, journals: DataFrame) -> DataFrame:
 
 def page_numbers(words: DataFrame, edges: DataFrame, heights: DataFrame, page_step: int = 2, value_step: int = 1) -> DataFrame:
     """First page number found, per document: (doc_id, page_no, number). A numeric word in a line
-    near the top or bottom, near the left or right edge of the content or its (uncorrected) centre,
-    whose value + ``value_step`` stands in about the same place ``page_step`` pages on."""
+    that lies as a whole near the top or bottom, near the left or right edge of the content or its (uncorrected) centre,
+    whose value + ``value_step`` stands in about the same place ``page_step`` pages on, in such a line
+    too."""
     in_line = layout.lines(words).select(*layout.LINE, F.col("y_min").alias("line_top"), F.col("y_max").alias("line_bottom"))
-    numeric = words.where(F.col("text").rlike("^[0-9]+$")).withColumn("number", F.expr("try_cast(text AS bigint)")).where("number > 0")
-    left = numeric.join(in_line, layout.LINE).join(edges, layout.PAGE).join(heights.select(*layout.PAGE, "height"), layout.PAGE)
-    margin = (F.col("line_top") < 100) | (F.col("line_bottom") > F.col("height") - 100)
+    numbers = words.where(F.col("text").rlike("^[0-9]+$")).withColumn("number", F.expr("try_cast(text AS bigint)")).where("number > 0")
+    margin = (F.col("line_bottom") < 100) | (F.col("line_top") > F.col("height") - 100)
+    numeric = numbers.join(in_line, layout.LINE).join(heights.select(*layout.PAGE, "height"), layout.PAGE).where(margin)
     centre = (F.col("content_x_right") - F.col("content_x_left")) / 2
     place = (F.abs(F.col("x_min") - F.col("content_x_left")) < 5) | (F.abs(F.col("x_max") - F.col("content_x_right")) < 5) | (F.abs((F.col("x_min") + F.col("x_max")) / 2 - centre) < 5)
-    left = left.where(margin & place).select(*layout.LINE, "word_no", "x_min", "y_min", "number", (F.col("page_no") + page_step).alias("p2"), (F.col("number") + value_step).alias("n2"))
+    left = numeric.join(edges, layout.PAGE).where(place).select(*layout.LINE, "word_no", "x_min", "y_min", "number", (F.col("page_no") + page_step).alias("p2"), (F.col("number") + value_step).alias("n2"))
     right = numeric.select("doc_id", F.col("page_no").alias("p2"), F.col("number").alias("n2"), F.col("x_min").alias("x2"), F.col("y_min").alias("y2"))
     hits = left.join(right, ["doc_id", "p2", "n2"]).where((F.abs(F.col("y_min") - F.col("y2")) < 1) & (F.abs(F.col("x_min") - F.col("x2")) < 15))
     first = F.min_by(F.struct("page_no", "number"), F.struct(*layout.LINE[1:], "word_no"))
@@ -91,12 +92,13 @@ def first_page_by_fonts(words: DataFrame) -> DataFrame:
 
 
 def page_range(numbers: DataFrame, first_pages: DataFrame, totals: DataFrame) -> DataFrame:
-    """``doc_id, first_page, pages``: the number found decides on the first page and the range."""
+    """``doc_id, first_page, pages``: the number found decides on the first page and the range;
+    without one ``pages`` is the number of pages."""
     joined = totals.join(first_pages, "doc_id", "left").join(numbers.select("doc_id", F.col("page_no").alias("start"), "number"), "doc_id", "left")
     back = (F.col("number") == 2) & (F.col("start") >= 1)
     first_page = F.when(F.col("number") == 1, F.col("start")).when(back, F.col("start") - 1).otherwise(F.coalesce("first_page", F.lit(0)))
     number = F.when(back, 1).otherwise(F.col("number"))
     j = joined.select("doc_id", "total_pages", first_page.cast("int").alias("first_page"), number.alias("number"))
     last = F.col("number") + F.col("total_pages") - F.col("first_page") - 1
-    pages = F.when(F.col("number") > 1, F.concat(F.col("number").cast("string"), F.lit("-"), last.cast("string"))).when(F.col("number") == 1, last.cast("string"))
+    pages = F.when(F.col("number") > 1, F.concat(F.col("number").cast("string"), F.lit("-"), last.cast("string"))).when(F.col("number") == 1, last.cast("string")).otherwise(F.col("total_pages").cast("string"))
     return j.select("doc_id", "first_page", pages.alias("pages"))

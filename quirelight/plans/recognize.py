@@ -1,133 +1,165 @@
-"""The whole recognition: payloads in, one row of metadata per document out.
+"""The whole recognition: payloads in, one row of metadata per payload out.
 
-One Arrow pass over payloads does what is sequential within a document; a second one, after the
-evidence about candidate names has been joined, finds titles and authors. Identifiers are regular
-expressions in the JVM, and registries are equi-joins on keys, so that nothing is broadcast by hand
-and no document meets another. A malformed payload keeps its row, with ``malformed`` set.
+One Arrow pass over the payloads does all that is sequential within a document, and the bodies are
+never touched again: they are read once, parsed once and not shuffled. The pass also tells where
+titles with authors may stand, as small lists; a second pass decides among these when the evidence
+about the names in them has been joined. Identifiers are regular expressions in the JVM, and
+registries are equi-joins on keys, so that no document meets another.
+
+Rows are told apart by a key of their own, which the pass's written result fixes; ``doc_id`` is
+carried along, may repeat or be null, and joins nothing. A malformed payload keeps its row, with
+``malformed`` set.
 """
 
 from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import identifiers, jstor
 from quirelight.functions.text import normalize, normalize_text, trim_title
 from quirelight.operators import document, lookup
+from quirelight.operators.rows import map_rows
 from quirelight.sources.requests import MAX_PAGES, MAX_TITLE_BYTES, RESULT_FIELDS
 
-_FACTS = "doc_id long, malformed boolean, complete boolean, total_pages int, meta_title string, jstor_text string, text string, abstract string, start int, pages string, headfoot string, names array<string>, candidates array<string>"
+_FACTS = """doc_id long, malformed boolean, total_pages int, meta_title string, jstor_text string, text string, norm_text string,
+    abstract string, pages string, headfoot string, candidates array<string>, names array<string>,
+    heads array<struct<text:string,options:array<struct<in_row:array<int>,in_face:array<int>>>>>,
+    evidence array<array<array<struct<names:array<string>,marked:boolean>>>>"""
+_AUTHORS = "array<struct<firstName:string,lastName:string>>"
+
+
+def _refused(constant: str):
+    raise ValueError(constant)
 
 
-def _load(body: str | None) -> tuple[dict, list]:
+def load(body: str | None) -> tuple[dict, list]:
+    """The JSON object of a request and its pages; both empty if there is none. NaN, infinities and halves
+    of surrogate pairs are no JSON."""
     try:
-        found = json.loads(body or "")
-    except ValueError:
+        found = json.loads(body or "", parse_constant=_refused)
+        if "\\ud" in (body or "").lower():
+            json.dumps(found, ensure_ascii=False).encode()
+    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
         found = None
     found = found if isinstance(found, dict) else {}
     pages = found.get("pages")
     return found, pages if isinstance(pages, list) else []
 
 
+def heads_of_document(pages: list[document.Page], start: int) -> tuple[list[document.Head], list]:
+    """Titles to choose from on the first page of the article, then on the second page if that is the
+    first of all, and the blocks with authors that they point to."""
+    evidence: list = []
+    heads = [h for p in dict.fromkeys([start, *([1] if start == 0 else [])]) if p < len(pages) for h in document.heads_of(pages[p], evidence)]
+    return heads, evidence
+
+
 def _facts(doc_id: int, body: str | None) -> dict:
-    found, raw = _load(body)
+    found, raw = load(body)
     meta, total = found.get("metadata"), found.get("totalPages")
-    complete = meta is not None and total is not None
-    row = {"doc_id": doc_id, "malformed": "pages" not in found, "complete": complete, "names": [], "candidates": []}
-    if not complete or not raw:
+    row = {"doc_id": doc_id, "malformed": "pages" not in found}
+    if meta is None or total is None or not raw:
         return row
-    total = total if isinstance(total, int) and not isinstance(total, bool) else 0
+    total = total if type(total) is int and abs(total) < 1 << 31 else 0
     pages = document.parse_pages(raw, MAX_PAGES)
     title = meta.get("Title") if isinstance(meta, dict) else None
+    text = document.document_text(pages, total)
     start, span = document.page_range(pages, total)
+    heads, evidence = heads_of_document(pages, start)
+    names = {normalize_text(n) for block in evidence for line in block for author in line for n in author.names if len(n.encode()) > 1}
     return row | {
         "total_pages": total,
         "meta_title": title if isinstance(title, str) and len(title.encode()) <= MAX_TITLE_BYTES else None,
         "jstor_text": document.jstor_text(pages[0], jstor.URL_PREFIX),
-        "text": document.document_text(pages, total),
+        "text": text,
+        "norm_text": normalize_text(text),
         "abstract": document.abstract(pages),
-        "start": start,
         "pages": span,
         "headfoot": document.headfoot_text(pages),
-        "names": sorted({key for n in document.names_in(pages) if (key := normalize_text(n))}),
-        "candidates": document.title_candidates(pages, normalize_text),
+        "candidates": document.title_candidates(pages),
+        "names": sorted(names - {""}),
+        "heads": [{"text": h.text, "options": [{"in_row": a, "in_face": b} for a, b in h.options]} for h in heads],
+        "evidence": [[[a._asdict() for a in line] for line in block] for block in evidence],
     }
 
 
-def _rows(df: DataFrame, row, schema: str) -> DataFrame:
-    """One dict per input row."""
-    names = [part.split()[0] for part in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-    arrow = pa.schema([(part.split(" ", 1)[0], types.get(part.split(" ", 1)[1], pa.list_(pa.struct([("firstName", pa.string()), ("lastName", pa.string())])))) for part in schema.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [row(*values) for values in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in found], arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def facts(payloads: DataFrame) -> DataFrame:
     """What a payload (doc_id, body) tells without any registry."""
-    return _rows(payloads.select("doc_id", "body"), _facts, _FACTS)
-
-
-def _titled(doc_id: int, body: str | None, start: int | None, types: list | None) -> dict:
-    known = {t["key"]: t["type"] for t in types or []}
-    word_type = lambda name: known.get(normalize_text(name), 0)
-    pages = document.parse_pages(_load(body)[1], MAX_PAGES)
-    found = None
-    for p in dict.fromkeys([start or 0, *([1] if not start else [])]):
-        if p < len(pages) and (found := document.title_and_authors(pages[p], word_type)):
-            break
-    title, authors = found or (None, None)
-    return {"doc_id": doc_id, "title": title, "authors": authors and [{"firstName": " ".join(a[:-1]) or None, "lastName": a[-1]} for a in authors]}
+    return map_rows(payloads.select(F.col("doc_id").cast("long"), F.col("body").cast("string")), _facts, _FACTS)
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Written once to the session's shared checkpoint folder, as many branches read it."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def titles(payloads: DataFrame, known: DataFrame, words: DataFrame) -> DataFrame:
-    """``doc_id, title, authors``; ``known`` is ``facts``, ``words`` the dictionary."""
-    asked = known.select("doc_id", F.explode("names").alias("word_key"))
-    told = lookup.word_types(asked, words).where("word_type <> 0").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("word_key").alias("key"), F.col("word_type").alias("type"))).alias("types"))
-    joined = payloads.select("doc_id", "body").join(known.select("doc_id", "start"), "doc_id").join(told, "doc_id", "left")
-    return _rows(joined.select("doc_id", "body", "start", "types"), _titled, "doc_id long, title string, authors array<struct<firstName:string,lastName:string>>")
+def known_facts(payloads: DataFrame) -> DataFrame:
+    """``facts`` with a key for each ``row``, written once, so that the keys stay as they are."""
+    return _cut(facts(payloads).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _titled(row: int, heads: list, evidence: list, types: list | None) -> dict:
+    known = {t["key"]: t["type"] for t in types or []}
+    choices = [(h["text"], [(o["in_row"], o["in_face"]) for o in h["options"]]) for h in heads]
+    blocks = [[[(a["names"], a["marked"]) for a in line] for line in block] for block in evidence]
+    found = document.chosen_title(choices, blocks, lambda name: known.get(normalize_text(name), 0))
+    if not found:
+        return {"row": row}
+    return {"row": row, "title": found[0], "authors": [{"firstName": " ".join(a[:-1]) or None, "lastName": a[-1]} for a in found[1]]}
+
+
+def titles(known: DataFrame, words: DataFrame) -> DataFrame:
+    """``row, title, authors`` of the rows of ``known_facts`` that may have a title; ``words`` is the
+    dictionary."""
+    open_ = known.where(F.size("heads") > 0)
+    asked = open_.select("row", F.explode("names").alias("word_key"))
+    told = lookup.word_types(asked, words).where("word_type <> 0").groupBy("row").agg(F.collect_list(F.struct(F.col("word_key").alias("key"), F.col("word_type").alias("type"))).alias("types"))
+    joined = open_.select("row", "heads", "evidence").join(told, "row", "left")
+    return map_rows(joined.select("row", "heads", "evidence", "types"), _titled, f"row long, title string, authors {_AUTHORS}")
 
 
 def recognize(payloads: DataFrame, registry: DataFrame, journals: DataFrame, words: DataFrame) -> DataFrame:
     """One row per payload (doc_id, body): ``doc_id, malformed`` and the result fields."""
-    known = _cut(facts(payloads))
-    text = F.col("text")
-    cover = jstor.parse_cover(F.col("jstor_text"))
-    base = known.select("*", cover.alias("j"), identifiers.isbn(text).alias("isbn"), identifiers.arxiv(text).alias("arxiv"), identifiers.issn(text).alias("issn"), F.coalesce(normalize(text), F.lit("")).alias("norm_text"))
-    plain = F.col("j").isNull() & (F.col("norm_text") != "")
-    own_doi = lookup.extract_doi(base.where(plain).select("doc_id", "text"), registry)
-    meta = base.where(plain & F.col("meta_title").isNotNull()).select("doc_id", F.lit(-1).alias("cand"), normalize(F.col("meta_title")).alias("title_key"))
-    scanned = base.where(plain).select("doc_id", F.posexplode("candidates").alias("cand", "title_key"))
-    norm = base.where(plain).select("doc_id", "norm_text")
-    hits = lookup.lookup_titles(meta.unionAll(scanned), registry, norm)
+    return recognized(known_facts(payloads), registry, journals, words)
+
+
+def recognized(known: DataFrame, registry: DataFrame, journals: DataFrame, words: DataFrame) -> DataFrame:
+    """The results of ``known_facts``."""
+    text, head = F.col("text"), F.col("headfoot")
+    plain = jstor.parse_cover(F.col("jstor_text")).isNull() & (F.col("norm_text") != "")
+    # The lookups name the row they are for doc_id.
+    asked = known.where(plain).withColumn("doc_id", F.col("row"))
+    own_doi = lookup.extract_doi(asked.select("doc_id", "text"), registry)
+    meta = asked.where(F.col("meta_title").isNotNull()).select("doc_id", F.lit(-1).alias("cand"), normalize(F.col("meta_title")).alias("title_key"))
+    scanned = asked.select("doc_id", F.posexplode("candidates").alias("cand", "title_key"))
+    hits = lookup.lookup_titles(meta.unionAll(scanned), registry, asked.select("doc_id", "norm_text"))
+    # Of the scanned titles the last hit counts.
     by_title = hits.groupBy("doc_id").agg(F.max(F.when(F.col("cand") < 0, F.col("doi"))).alias("doi_meta"), F.max_by("doi", F.when(F.col("cand") >= 0, F.col("cand"))).alias("doi_title"))
-    from quirelight.operators.pages import headfoot_fields
-
-    head = headfoot_fields(base.where(plain).select("doc_id", F.col("headfoot").alias("text")), journals).toDF("doc_id", "h_volume", "h_issue", "h_year", "h_container")
-    named = titles(payloads, known, words).withColumnRenamed("title", "t_title").withColumnRenamed("authors", "t_authors")
-    wide = base.join(own_doi, "doc_id", "left").join(by_title, "doc_id", "left").join(head, "doc_id", "left").join(named, "doc_id", "left")
-    article = F.col("j").isNull()
+    journal = lookup.last_journal(asked.select("doc_id", head.alias("text")), journals)
+    named = titles(known.where(plain), words).withColumnRenamed("title", "t_title").withColumnRenamed("authors", "t_authors")
+
+    base = known.select(
+        "row", "doc_id", "malformed", "abstract", "pages", "meta_title", F.coalesce(plain, F.lit(False)).alias("plain"), jstor.parse_cover(F.col("jstor_text")).alias("j"),
+        identifiers.isbn(text).alias("isbn"), identifiers.arxiv(text).alias("arxiv"), identifiers.issn(text).alias("issn"),
+        identifiers.volume(head).alias("volume"), identifiers.issue(head).alias("issue"), identifiers.year(head).alias("year"),
+    )
+    wide = base
+    for found in (own_doi, by_title, journal):
+        wide = wide.join(found.withColumnRenamed("doc_id", "row"), "row", "left")
+    wide = wide.join(named, "row", "left")
     # A metadata title that is registered counts unless the page gives one.
     meta_title = F.when(F.col("doi").isNull() & F.col("doi_meta").isNotNull(), F.col("meta_title"))
-    when = lambda c: F.when(plain, c)
+    when = lambda c: F.when(F.col("plain"), c)
     fields = {
         "type": F.coalesce("j.type", F.lit("journal-article")),
         "title": F.coalesce("j.title", when(trim_title(F.coalesce(F.col("t_title"), meta_title)))),
@@ -136,12 +168,12 @@ def recognize(payloads: DataFrame, registry: DataFrame, journals: DataFrame, wor
         "isbn": when(F.col("isbn")),
         "arxiv": when(F.col("arxiv")),
         "abstract": when(F.col("abstract")),
-        "year": F.coalesce("j.year", when(F.col("h_year"))),
-        "container": F.coalesce("j.container", when(F.col("h_container"))),
+        "year": F.coalesce("j.year", when(F.col("year"))),
+        "container": F.coalesce("j.container", when(F.col("journal"))),
         "publisher": F.col("j.publisher"),
-        "pages": F.when(article, when(F.col("pages"))).otherwise(F.col("j.pages")),
-        "volume": F.coalesce("j.volume", when(F.col("h_volume"))),
-        "issue": F.coalesce("j.issue", when(F.col("h_issue"))),
+        "pages": F.when(F.col("j").isNull(), when(F.col("pages"))).otherwise(F.col("j.pages")),
+        "volume": F.coalesce("j.volume", when(F.col("volume"))),
+        "issue": F.coalesce("j.issue", when(F.col("issue"))),
         "issn": when(F.col("issn")),
         "url": F.col("j.url"),
     }

@@ -6,30 +6,14 @@ tables: identifier strings from the order tables, layouts from all words of all
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.carriers import LAYOUT_SQL, layout_words, payloads, table
+from quirelight.carriers import LAYOUT_SQL, layout_words, table
 from quirelight.functions import identifiers, jstor, text
-from quirelight.operators import document, layout, lookup, pages
-from quirelight.plans import recognize as plan
-from quirelight.sources import registries, requests
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from quirelight.operators import layout, lookup, pages
+from quirelight.registered import ORACLES, QUERIES, query  # noqa: F401
+from quirelight.sources import registries
 
 def layout_sql(rest: str) -> str:
     return f"WITH words AS ({LAYOUT_SQL}),\nlines AS ({_LINES}),\nblocks AS ({_BLOCKS})\n{rest}"
@@ -117,17 +101,19 @@ def _orders(spark, sf_dir):
 _ORDERS = f"orders_text AS (SELECT o_orderkey AS doc_id, {_ORDER_TEXT} AS text FROM orders)"
 _DOI = "10.\\d{4,9}/[-._;()\\[\\]+<>/:A-Za-z0-9]+"
 _DOI_REGISTRY = """registry AS (SELECT '10.' || (1000 + c_custkey % 9000) || '/a' || c_custkey AS doi FROM customer
-  UNION SELECT '10.' || (1000 + o_custkey % 9000) || '/a' || o_custkey || '.' || (o_orderkey // 10) FROM orders)"""
+  UNION SELECT '10.' || (1000 + o_custkey % 9000) || '/a' || o_custkey || '.' || (o_orderkey // 10) FROM orders
+  UNION SELECT '10.5555/' || CASE r_regionkey WHEN 0 THEN '1' WHEN 1 THEN '2-' ELSE '3-m' END FROM region)"""
 _DOI_MATCHES = f"matches AS (SELECT doc_id, unnest(m) AS match, generate_subscripts(m, 1) - 1 AS match_no FROM (SELECT doc_id, regexp_extract_all(text, '{_DOI}') AS m FROM orders_text))"
 # The prefixes are spelled out, so that DuckDB too joins on equality.
-_DOI_BEST = """best AS (SELECT doc_id, match_no, max_by(r.doi, length(r.doi)) AS doi FROM (SELECT doc_id, match_no, substr(lower(match), 1, unnest(generate_series(9, length(match)))) AS doi FROM matches
-  WHERE strlen(match) BETWEEN 9 AND 63) p JOIN registry r ON p.doi = r.doi GROUP BY ALL)"""
+_DOI_BEST = """best AS (SELECT doc_id, match_no, max_by(r.doi, length(r.doi)) AS doi FROM (SELECT doc_id, match_no, substr(lower(match), 1, unnest(generate_series(1, length(match)))) AS doi FROM matches
+  WHERE strlen(match) < 64) p JOIN registry r ON p.doi = r.doi GROUP BY ALL)"""
 
 
 def _doi_registry(spark, sf_dir):
     own = table(spark, sf_dir, "customer").selectExpr("'10.' || CAST(1000 + c_custkey % 9000 AS STRING) || '/a' || CAST(c_custkey AS STRING) AS doi")
     more = table(spark, sf_dir, "orders").selectExpr("'10.' || CAST(1000 + o_custkey % 9000 AS STRING) || '/a' || CAST(o_custkey AS STRING) || '.' || CAST(o_orderkey div 10 AS STRING) AS doi")
-    return own.unionAll(more)
+    short = table(spark, sf_dir, "region").selectExpr("'10.5555/' || CASE r_regionkey WHEN 0 THEN '1' WHEN 1 THEN '2-' ELSE '3-m' END AS doi")
+    return own.unionAll(more).unionAll(short)
 
 
 def _doi_matches(spark, sf_dir):
@@ -145,7 +131,7 @@ def doi_longest_prefix(spark, sf_dir):
 
 
 @query(f"""WITH {_ORDERS}, {_DOI_MATCHES}, {_DOI_REGISTRY}, {_DOI_BEST}
-SELECT m.doc_id, coalesce(min_by(b.doi, m.match_no) FILTER (WHERE b.doi IS NOT NULL), max_by(CASE WHEN strlen(m.match) >= 64 THEN lower(m.match) ELSE m.match END, m.match_no)) AS doi
+SELECT m.doc_id, coalesce(min_by(CASE WHEN strlen(b.doi) > 10 THEN b.doi ELSE m.match END, m.match_no) FILTER (WHERE b.doi IS NOT NULL), max_by(CASE WHEN strlen(m.match) >= 64 THEN lower(m.match) ELSE m.match END, m.match_no)) AS doi
 FROM matches m LEFT JOIN best b ON m.doc_id = b.doc_id AND m.match_no = b.match_no GROUP BY m.doc_id""")
 def extract_doi(spark, sf_dir):
     return lookup.extract_doi(_orders(spark, sf_dir).select("doc_id", "text"), _doi_registry(spark, sf_dir))
@@ -231,16 +217,22 @@ def jstor_book(spark, sf_dir):
     return _cover(spark, sf_dir, _BOOK_COVER)
 
 
-# Layout
+_SOURCE = "'\\nSource: Annals of ' || p_type || ', No. ' || p_partkey % 12 || ' (Spring, ' || (1900 + p_partkey % 100) || '), p. ' || p_size || '\\nPublished by: ' || p_brand || ' Press\\nStable URL: http://www.jstor.org/stable/' || p_partkey || '\\n'"
+_OTHER_COVERS = f"""CASE p_partkey % 4 WHEN 0 THEN 'Cover\\n\\n' || p_name || '\\nAuthor(s): Someone Else\\nReview by: Ann Lee and Cy Ray' || {_SOURCE}
+  WHEN 1 THEN 'Cover\\n\\n' || p_name || '\\nReview by: Plato' || {_SOURCE} WHEN 2 THEN 'Cover\\n\\n' || p_name || {_SOURCE}
+  ELSE 'x\\nChapter Title: ' || p_name || '\\n\\nBook Title: All of ' || p_type || '\\nBook Author(s): Ann Lee, Cy Ray\\nPublished by: U Press. (2001)\\nStable URL: http://www.jstor.org/stable/' || p_partkey || '\\n' END"""
 
-_WORD_COLUMNS = "doc_id, page_no, flow_no, block_no, line_no, word_no, x_min, y_min, x_max, y_max, font_size, space, baseline, bold, font, text"
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN 'book-chapter' ELSE 'journal-article' END AS type, p_name AS title, CASE p_partkey % 4 WHEN 3 THEN 'All of ' ELSE 'Annals of ' END || p_type AS container,
+  CASE p_partkey % 4 WHEN 3 THEN 'U Press' ELSE p_brand || ' Press' END AS publisher, NULL::VARCHAR AS volume, CASE WHEN p_partkey % 4 < 3 THEN (p_partkey % 12)::VARCHAR END AS issue,
+  CASE p_partkey % 4 WHEN 3 THEN '2001' ELSE (1900 + p_partkey % 100)::VARCHAR END AS year, CASE WHEN p_partkey % 4 < 3 THEN p_size::VARCHAR END AS pages, '10.2307/' || p_partkey AS doi,
+  'http://www.jstor.org/stable/' || p_partkey AS url, CASE p_partkey % 4 WHEN 1 THEN 'Plato' WHEN 2 THEN NULL ELSE 'Ann/Lee;Cy/Ray' END AS authors FROM part""")
+def jstor_other_covers(spark, sf_dir):
+    """Reviews with and without authors, articles without authors, and chapters that name the book's."""
+    return _cover(spark, sf_dir, _OTHER_COVERS)
 
-@query(f"WITH words AS ({LAYOUT_SQL}) SELECT {_WORD_COLUMNS} FROM words WHERE page_no < 5")
-def words(spark, sf_dir):
-    decoded = requests.decode_words(requests.parse(payloads(_words(spark, sf_dir))))
-    return decoded.select(*_WORD_COLUMNS.split(", "))
 
+# Layout
 
 @query(layout_sql("SELECT * EXCLUDE (text), text AS line_text FROM lines"))
 def lines_bbox(spark, sf_dir):
@@ -258,7 +250,7 @@ def page_edges(spark, sf_dir):
 
 
 @query(layout_sql("""SELECT doc_id, string_agg(piece, '' ORDER BY page_no, flow_no, block_no, line_no, word_no) AS text FROM (
-  SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY page_no, flow_no, block_no, line_no, word_no ROWS UNBOUNDED PRECEDING) AS bytes FROM (
+  SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY page_no, flow_no, block_no, line_no, word_no ROWS UNBOUNDED PRECEDING) - strlen(piece) + strlen(text) AS bytes FROM (
     SELECT w.*, text || CASE WHEN space THEN ' ' ELSE '' END
       || CASE WHEN word_no = max(word_no) OVER (PARTITION BY doc_id, page_no, flow_no, block_no, line_no) THEN chr(10) || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc_id, page_no, flow_no, block_no) THEN chr(10) ELSE '' END ELSE '' END AS piece,
       max(page_no) OVER (PARTITION BY doc_id) + 1 AS n FROM words w) WHERE page_no < CASE WHEN n > 2 THEN n - 1 ELSE 2 END)
@@ -352,7 +344,7 @@ def largest_block(spark, sf_dir):
 
 # Pages
 
-_HEADER_WORDS = "'Journal of ' || source || ' Studies, Vol. ' || CAST(doc_id % 90 + 1 AS STRING) || ', No. ' || CAST(doc_id % 12 + 1 AS STRING) || ' (' || CAST(1950 + doc_id % 70 AS STRING) || ')'"
+_HEADER_WORDS = "'Journal of ' || translate(source, '0123456789', 'abcdefghij') || ' Studies, Vol. ' || CAST(doc_id % 90 + 1 AS STRING) || ', No. ' || CAST(doc_id % 12 + 1 AS STRING) || ' (' || CAST(1950 + doc_id % 70 AS STRING) || ')'"
 
 
 def _page_table(words_df):
@@ -384,13 +376,16 @@ def headfoot_pairs(spark, sf_dir):
     return pages.headfoot_pairs(w, _page_table(w))
 
 
-@query(f"""{_HEADED} SELECT d.doc_id, CAST(doc_id % 90 + 1 AS VARCHAR) AS volume, CAST(doc_id % 12 + 1 AS VARCHAR) AS issue, CAST(1950 + doc_id % 70 AS VARCHAR) AS year, NULL::VARCHAR AS container
-FROM documents d JOIN (SELECT doc_id FROM words GROUP BY doc_id HAVING max(page_no) > 0) USING (doc_id)""")
+@query(f"""{_HEADED} SELECT doc_id, CAST(doc_id % 90 + 1 AS VARCHAR) AS volume, CAST(doc_id % 12 + 1 AS VARCHAR) AS issue, CAST(1950 + doc_id % 70 AS VARCHAR) AS year,
+  CASE WHEN source NOT LIKE '%1%' THEN 'Journal of ' || translate(source, '0123456789', 'abcdefghij') || ' Studies' END AS container
+FROM documents JOIN (SELECT DISTINCT doc_id FROM words WHERE page_no = 1) USING (doc_id)""")
 def headfoot_fields(spark, sf_dir):
-    w = _with_headers(spark, sf_dir)
-    journals = registries.journal_set(_docs(spark, sf_dir).select(F.concat(F.lit("journalof"), F.regexp_replace("source", "[0-9]", ""), F.lit("studies")).alias("name_key")))
-    headers = pages.headfoot_pairs(w, _page_table(w)).where("flow_no = 1")
-    return pages.headfoot_fields(pages.headfoot_text(headers), journals)
+    """All repeated blocks; the header comes before the body on each page. Journals whose source has a
+    1 in its name are not registered."""
+    w = _with_headers(spark, sf_dir).withColumn("flow_no", 1 - F.col("flow_no"))
+    known = _docs(spark, sf_dir).where("source NOT LIKE '%1%'")
+    journals = registries.journal_set(known.select(F.concat(F.lit("journalof"), F.translate("source", "0123456789", "abcdefghij"), F.lit("studies")).alias("name_key")))
+    return pages.headfoot_fields(pages.headfoot_text(pages.headfoot_pairs(w, _page_table(w))), journals)
 
 
 def _numbered(spark, sf_dir):
@@ -409,7 +404,8 @@ e AS (SELECT doc_id, page_no, min(x_min) AS l, max(x_max) AS r FROM words GROUP
 n AS (SELECT w.*, try_cast(w.text AS BIGINT) AS number FROM words w WHERE regexp_full_match(text, '[0-9]+') AND try_cast(w.text AS BIGINT) > 0),
 hits AS (SELECT a.*, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.page_no, a.flow_no, a.block_no, a.line_no, a.word_no) AS k FROM n a JOIN lines USING (doc_id, page_no, flow_no, block_no, line_no) JOIN e USING (doc_id, page_no)
   JOIN n b ON a.doc_id = b.doc_id AND b.page_no = a.page_no + 2 AND b.number = a.number + 1 AND abs(a.y_min - b.y_min) < 1 AND abs(a.x_min - b.x_min) < 15
-  WHERE (lines.y_min < 100 OR lines.y_max > 692) AND (abs(a.x_min - l) < 5 OR abs(a.x_max - r) < 5 OR abs((a.x_min + a.x_max) / 2 - (r - l) / 2) < 5))"""
+  JOIN lines other ON b.doc_id = other.doc_id AND b.page_no = other.page_no AND b.flow_no = other.flow_no AND b.block_no = other.block_no AND b.line_no = other.line_no
+  WHERE (lines.y_max < 100 OR lines.y_min > 692) AND (other.y_max < 100 OR other.y_min > 692) AND (abs(a.x_min - l) < 5 OR abs(a.x_max - r) < 5 OR abs((a.x_min + a.x_max) / 2 - (r - l) / 2) < 5))"""
 
 
 @query(f"{_NUMBERED} SELECT doc_id, page_no, number FROM hits WHERE k = 1")
@@ -421,7 +417,7 @@ def page_numbers(spark, sf_dir):
 @query(f"""{_NUMBERED}, s AS (SELECT doc_id, max(page_no) + 3 AS total FROM plain GROUP BY doc_id),
 r AS (SELECT s.doc_id, total, page_no AS start, number, CASE WHEN number = 1 THEN page_no WHEN number = 2 AND page_no >= 1 THEN page_no - 1 ELSE 0 END AS first_page,
   CASE WHEN number = 2 AND page_no >= 1 THEN 1 ELSE number END AS n FROM s LEFT JOIN (SELECT * FROM hits WHERE k = 1) h USING (doc_id))
-SELECT doc_id, first_page::INT AS first_page, CASE WHEN n > 1 THEN n || '-' || (n + total - first_page - 1) WHEN n = 1 THEN CAST(n + total - first_page - 1 AS VARCHAR) END AS pages FROM r""")
+SELECT doc_id, first_page::INT AS first_page, CASE WHEN n > 1 THEN n || '-' || (n + total - first_page - 1) WHEN n = 1 THEN CAST(n + total - first_page - 1 AS VARCHAR) ELSE CAST(total AS VARCHAR) END AS pages FROM r""")
 def page_range(spark, sf_dir):
     w = _numbered(spark, sf_dir)
     totals = w.groupBy("doc_id").agg((F.max("page_no") + 3).alias("total_pages"))
@@ -472,90 +468,4 @@ def word_type(spark, sf_dir):
     return lookup.word_types(dictionary.select("word_key"), dictionary)
 
 
-# Sequential operators and the whole plan
-
-
-def _requests(spark, sf_dir):
-    """Requests whose pages hold all words of a document under a title block and an author line."""
-    w = _words(spark, sf_dir)
-    top = _docs(spark, sf_dir).select(
-        "doc_id",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.lit(j).alias("j"), t.alias("text")) for i, line in enumerate((("A", "Longer", "Study", "of", "Everything", "That", "Is", "Printed"), ("Ann", "Brown,", "Bob", "Grey", "and", "Cy", "Stone"))) for j, t in enumerate(map(F.lit, line))))).alias("h"),
-    )
-    y = F.lit(100.0) + 60 * F.col("h.block")
-    x = F.lit(72.0) + 50 * F.col("h.j")
-    head = top.select("doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("flow_no"), F.col("h.block").alias("block_no"), F.lit(0).alias("line_no"), F.col("h.j").alias("word_no"), x.alias("x_min"), y.alias("y_min"), (x + 45).alias("x_max"), (y + 20).alias("y_max"),
-                      F.when(F.col("h.block") == 0, 30.0).otherwise(14.0).alias("font_size"), F.lit(True).alias("space"), (y + 18).alias("baseline"), F.lit(False).alias("bold"), F.lit(50).alias("font"), F.col("h.text").alias("text"))
-    body = w.withColumn("flow_no", F.col("flow_no") + 1).withColumn("y_min", F.col("y_min") + 200).withColumn("y_max", F.col("y_max") + 200).withColumn("baseline", F.col("baseline") + 200)
-    return payloads(head.unionByName(body), "Printed Matter")
-
-
-def _dictionary(spark, sf_dir):
-    return registries.word_counts(_docs(spark, sf_dir).select(F.explode(F.array(F.lit("ann"), F.lit("bob"), F.lit("cy"))).alias("word_key"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("c")))
-
-
-def _no_registry(spark):
-    return spark.createDataFrame([], "title_key string, author1_key string, author2_key string, doi string, ord long")
-
-
-@query()
-def line_blocks(spark, sf_dir):
-    schema = "doc_id long, blocks array<string>"
-
-    def row(doc_id, body):
-        found = document.parse_pages(plan._load(body)[1])
-        return {"doc_id": doc_id, "blocks": [f"{p}/{n}: {b.text()}" for p, page in enumerate(found) for n, b in enumerate(document.line_blocks(page.lines))]}
-
-    blocks = plan._rows(_requests(spark, sf_dir), row, schema)
-    return blocks.select("doc_id", F.posexplode("blocks").alias("number", "block"))
-
-
-@query("SELECT doc_id, 'A Longer Study of Everything That Is Printed ' AS title, 'Ann/Brown;Bob/Grey;Cy/Stone' AS authors FROM documents")
-def title_authors(spark, sf_dir):
-    sent = _requests(spark, sf_dir)
-    found = plan.titles(sent, plan.facts(sent), _dictionary(spark, sf_dir))
-    return found.select("doc_id", "title", F.array_join(F.transform("authors", lambda a: F.concat_ws("/", a["firstName"], a["lastName"])), ";").alias("authors"))
-
-
-_AUTHOR_LINE = "CASE s_nationkey % 3 WHEN 0 THEN 'by Ann ' ELSE 'Ann M. ' END || chr(65 + CAST(s_suppkey % 26 AS INT)) || 'rown, PhD and Bob Lee*; ' || CASE s_nationkey % 2 WHEN 0 THEN 'Cy de Ray' ELSE 'Eva Stone' END"
-
-
-@query("""SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'Ann ' ELSE 'Ann M ' END || chr(65 + CAST(s_suppkey % 26 AS INT)) || 'rown;Bob Lee' || CASE s_nationkey % 2 WHEN 0 THEN '' ELSE ';Eva Stone' END AS authors FROM supplier""")
-def authors_from_line(spark, sf_dir):
-    t = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS doc_id", f"{_AUTHOR_LINE} AS body")
-
-    def row(key, line):
-        words = [document.Word(0, 0, 1, 1, 10, True, 9, False, 1, w) for w in line.split(" ")]
-        return {"doc_id": key, "authors": ";".join(" ".join(a) for a in document.authors_of_line(document.Line(0, 0, words)))}
-
-    return plan._rows(t, row, "doc_id long, authors string").withColumnRenamed("doc_id", "s_suppkey")
-
-
-def _abstract_requests(spark, sf_dir, heads):
-    """Pages that open with headings and go on with the lines of a document."""
-    w = layout_words(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit(heads), F.regexp_replace("text", "\n", " "), F.lit(".")).alias("text")))
-    return payloads(w)
-
-
-@query()
-def abstract_simple(spark, sf_dir):
-    return plan.facts(_abstract_requests(spark, sf_dir, "Abstract ")).select("doc_id", "abstract")
-
-
-@query()
-def abstract_structured(spark, sf_dir):
-    t = "Background we saw it all over the place there too Methods we looked at it in all ways that are Conclusions "
-    words_ = layout_words(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit(t), F.regexp_replace("text", "\n", " "), F.lit(".")).alias("text")))
-    return plan.facts(payloads(words_.withColumn("font_size", F.lit(10.0)))).select("doc_id", "abstract")
-
-
-@query("SELECT doc_id, total_pages, meta_title, malformed FROM (SELECT doc_id, 9 AS total_pages, 'T' AS meta_title, false AS malformed FROM (SELECT DISTINCT doc_id FROM (" + LAYOUT_SQL + ")))")
-def parse_requests(spark, sf_dir):
-    return requests.parse(payloads(_words(spark, sf_dir), "T")).select("doc_id", "total_pages", "meta_title", "malformed")
-
-
-@query()
-def result_json(spark, sf_dir):
-    journals = registries.journal_set(_docs(spark, sf_dir).select(F.col("source").alias("name_key")))
-    found = plan.recognize(_requests(spark, sf_dir), _no_registry(spark), journals, _dictionary(spark, sf_dir))
-    return requests.to_result_json(found)
+from quirelight import recognition_queries  # noqa: E402, F401  (registers the queries over requests)

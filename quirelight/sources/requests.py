@@ -77,4 +77,8 @@ def to_result_json(results: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, form: str = "json") -> None:
-    (to_result_json(results).write.text if form == "text" else getattr(results.write, form))(path)
+    """``form`` text writes one result object a line, others the columns."""
+    if form == "text":
+        to_result_json(results).select("result").write.text(path)
+    else:
+        getattr(results.write, form)(path)

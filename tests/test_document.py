@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirelight.functions.text import normalize_text
+from quirelight.functions.text import is_alphabetic, normalize_text
 from quirelight.operators import document as d
 
 KNOWN = {"ann": 1, "bob": 1, "the": -5, "study": -5}
@@ -60,11 +60,50 @@ def test_combining_marks_are_composed():
     assert names("José Peña, Ann Brown")[0] == "José Peña"
 
 
+def judged(text):
+    return d.judged_authors(d.author_lines(d.LineBlock([line(text)], 10, 1, False, False)), kind)
+
+
 def test_confidence_of_blocks():
-    block = lambda t: d.LineBlock([line(t)], 10, 1, False, False)
-    assert d.authors_of_block(block("Ann Brown"), kind)[0] == 1
-    assert d.authors_of_block(block("Ann Brown, Bob Lee"), kind)[0] == 2
-    assert d.authors_of_block(block("The Study"), kind) == (0, [])
+    assert judged("Ann Brown")[0] == 1
+    assert judged("Ann Brown, Bob Lee")[0] == 2
+    assert judged("The Study") == (0, [])
+
+
+def test_a_line_that_ends_in_skipped_characters_leaves_its_author_open():
+    assert names("Ann Brown. ") == [] and names("Ann Brown ") == ["Ann Brown"]
+    assert names("Bob Lee, Ann Brown~") == ["Bob Lee"]
+
+
+def test_vowel_signs_belong_to_names():
+    assert d.alphabetic_percent("\u0939\u093f") == 100  # a Devanagari letter with its vowel sign
+
+
+def test_lines_after_the_last_possible_block_are_left_out():
+    far = [line("aaaa", 100.0 * k) for k in range(d.MAX_BLOCKS)]
+    close = [line("aaaa", 100.0 * (d.MAX_BLOCKS - 1) + 12 * k) for k in range(1, 6)]
+    blocks = d.line_blocks(far + close)
+    assert len(blocks) == d.MAX_BLOCKS and len(blocks[-1].lines) == 1
+    assert len(d.line_blocks(far[:-2] + close)[-1].lines) == 5
+
+
+def test_two_blocks_are_looked_up_together_up_to_six_lines():
+    title = line("a title of one single line", 50, size=20)
+    for count, together in ((5, True), (8, False)):
+        body = [line("body of the page", 100 + 12 * k) for k in range(count)]
+        keys = d.title_candidates([page(title, *body), page(line("end"))])
+        assert (("atitleofonesingleline" + "bodyofthepage" * count) in keys) == together
+
+
+def test_lookups_of_a_document_are_limited():
+    lines = [line(f"a title of block {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}", 400.0 + 100 * k) for k in range(300)]
+    keys = d.title_candidates([page(*lines), page(*lines), page(line("end"))])
+    assert len(keys) == d.MOST_LOOKUPS + 1 and len(set(keys)) == len(keys)
+
+
+def test_candidates_are_measured_in_bytes():
+    assert d.title_candidates([page(line("\u0436" * 8, 400)), page(line("end"))]) == ["\u0436" * 8]  # 16 bytes
+    assert d.title_candidates([page(line("\u0436" * 151, 400)), page(line("end"))]) == []
 
 
 def test_line_blocks_split_on_gap_case_face_and_size():
@@ -93,21 +132,26 @@ def test_line_blocks_hold_each_line_once(rows):
 @given(st.text(max_size=60))
 def test_normalize_is_idempotent(text):
     once = normalize_text(text)
-    assert normalize_text(once) == once and all(c.isalpha() for c in once)
+    assert normalize_text(once) == once and all(is_alphabetic(c) for c in once)
 
 
 def page(*lines, width=612, height=792):
     return d.Page(width, height, linked(*lines))
 
 
+def title_of(own):
+    evidence = []
+    return d.chosen_title(d.heads_of(own, evidence), evidence, kind)
+
+
 def test_title_with_authors_below_and_above():
     body = [line("body text of the page that goes on and on " * 3, 300 + 14 * i, block=3) for i in range(10)]
     title = line("A Study of the Long and Printed Page", 100, size=20, block=0)
-    found = d.title_and_authors(page(title, line("Ann Brown, Bob Lee", 140, size=12, block=1), *body), kind)
+    found = title_of(page(title, line("Ann Brown, Bob Lee", 140, size=12, block=1), *body))
     assert found[0].strip() == "A Study of the Long and Printed Page" and found[1] == [("Ann", "Brown"), ("Bob", "Lee")]
-    found = d.title_and_authors(page(line("Ann Brown, Bob Lee", 60, size=12, block=1), title, *body), kind)
+    found = title_of(page(line("Ann Brown, Bob Lee", 60, size=12, block=1), title, *body))
     assert found[1] == [("Ann", "Brown"), ("Bob", "Lee")]
-    assert d.title_and_authors(page(title, *body), kind) is None
+    assert title_of(page(title, *body)) is None
 
 
 def test_abstracts():
@@ -119,6 +163,9 @@ def test_abstracts():
     structured = [line("Background one two", 0), line("Methods three", 12), line("Conclusions four five.", 24)]
     assert d.abstract([page(*structured)]) == "Background one two\nMethods three\nConclusions four five."
     assert d.abstract([page(line("Background one.", 0))]) is None
+    shifted = [structured[0], line("Methods three", 12, x=78.0), structured[2]]
+    assert d.abstract([page(*shifted)]) is None
+    assert d.abstract([page(line("Abstract " + "x" * 9000 + ".", 0))]) is None
 
 
 def test_first_page_and_range():
@@ -132,6 +179,9 @@ def test_first_page_and_range():
     numbered = [d.Page(612, 792, [line("left body words", 300), line(str(7 + p // 2), 760, block=1)]) for p in range(4)]
     assert d.page_number(numbered) == (0, 7)
     assert d.page_range(numbered, 10) == (0, "7-16")
+    assert d.page_range(numbered[:2], 10) == (0, "10")
+    outside = [d.Page(612, 792, [line("left body words", 300), line(str(7 + p // 2), 690, block=1)]) for p in range(4)]
+    assert d.page_number(outside) is None
 
 
 def test_headers_repeat_within_two_pages():

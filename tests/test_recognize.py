@@ -3,7 +3,11 @@
 import gzip
 import json
 
-from quirelight.plans.recognize import recognize
+from pyspark.sql import functions as F
+
+from quirelight.functions import text
+from quirelight.operators import lookup
+from quirelight.plans.recognize import facts, known_facts, recognize, recognized
 from quirelight.sources import requests
 from quirelight.streaming.recognize import read_stream, recognize_stream
 
@@ -38,9 +42,9 @@ def run(spark, bodies):
 
 
 def test_fields_and_malformed_input(spark):
-    text = block("see doi:10.1234/ABC. and ISBN 978-0-306-40615-7 arXiv:1234.5678 ISSN 1234-567X by Brown here", 300)
+    words = block("see doi:10.1234/ABC. and ISBN 978-0-306-40615-7 arXiv:1234.5678 ISSN 1234-567X by Brown here", 300)
     bodies = [
-        payload(block("A Longer Study of the Printed Page", 100, 20), block("Ann Brown, Bob Lee", 140, 12), text),
+        payload(block("A Longer Study of the Printed Page", 100, 20), block("Ann Brown, Bob Lee", 140, 12), words),
         payload(block("written by Brown as all know", 300), title="A Study of Pages"),
         "{not json", None, "[1, 2]", "{}", json.dumps({"metadata": {}, "totalPages": 1, "pages": []}), json.dumps({"pages": []}),
     ]
@@ -54,6 +58,57 @@ def test_fields_and_malformed_input(spark):
     assert all(out[i].title is None and out[i].type == "journal-article" for i in range(2, 8))
 
 
+def test_rows_are_told_apart_whatever_their_ids(spark):
+    bodies = [(7, payload(block("A Longer Study of the Printed Page", 100, 20), block("Ann Brown, Bob Lee", 140, 12), block("doi:10.1234/seven", 300))), (7, payload(block("nothing at all", 300))), (None, payload(block("A Shorter Study of the Written Page", 100, 20), block("Ann Lee, Bob Brown", 140, 12), block("doi:10.1234/none", 300)))]
+    out = recognize(spark.createDataFrame(bodies, "doc_id long, body string"), *registries(spark)).collect()
+    assert sorted((str(r.doc_id), str(r.title).strip(), str(r.doi)) for r in out) == [("7", "A Longer Study of the Printed Page", "10.1234/seven"), ("7", "None", "None"), ("None", "A Shorter Study of the Written Page", "10.1234/none")]
+
+
+def test_bodies_are_neither_shuffled_nor_parsed_twice(spark):
+    rows = spark.createDataFrame([(1, payload(block("Ann", 10)))], "doc_id long, body string")
+    assert "Exchange" not in facts(rows)._jdf.queryExecution().executedPlan().toString()
+    rest = recognized(known_facts(rows), *registries(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in rest
+
+
+def test_short_registered_dois_are_not_trusted(spark):
+    registry = spark.createDataFrame([("10.1234/a",), ("10.1234/bc",), ("10.1234/def",)], "doi string")
+    texts = [(1, "10.1234/aXYZ"), (2, "10.1234/bcXYZ"), (3, "10.1234/DEFXYZ"), (4, "10.9999/q 10.1234/aXYZ 10.1234/def"), (5, "10.9999/q 10.9999/R"), (6, "10.9999/" + "Q" * 60)]
+    found = dict(lookup.extract_doi(spark.createDataFrame(texts, "doc_id long, text string"), registry).collect())
+    assert found == {1: "10.1234/aXYZ", 2: "10.1234/bcXYZ", 3: "10.1234/def", 4: "10.1234/aXYZ", 5: "10.9999/R", 6: "10.9999/" + "q" * 60}
+
+
+def test_columns_and_strings_are_normalised_by_one_rule(spark):
+    points = [chr(p) for p in range(1, 0x110000) if not 0xD800 <= p < 0xE000]
+    texts = ["".join(points[i : i + 500]) for i in range(0, len(points), 500)] + ["Plain ASCII, 12!", "", "\u0939\u093f\u2167 \u24b6"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for row in rows.select("t", text.normalize(F.col("t")).alias("n")).collect():
+        assert row.n == (None if row.t is None else text.normalize_text(row.t))
+    assert text.normalize_text(texts[-1]) == "\u0939\u093fviiia"
+
+
+def test_numbers_and_nesting_beyond_reason(spark):
+    huge = json.dumps({"metadata": {}, "totalPages": 10**30, "pages": [[10**400, 792, [[[[0, 0, 1, 1, [[[[10**400] * 13 + ["Ann"]]]]]]]]]]})
+    out = run(spark, ["[" * 100000, huge, '{"metadata": {}, "totalPages": 1, "pages": NaN}', '{"metadata": {"Title": "\\ud800"}, "totalPages": 1, "pages": []}'])
+    assert [out[i].malformed for i in range(4)] == [True, False, True, True]
+
+
+def test_command_reads_registries_and_writes_results(spark, tmp_path):
+    from quirelight.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(payload(block("written by Brown as all know", 300), title="A Study of Pages"))
+    names = []
+    for name, df in zip(("titles", "journals", "words"), registries(spark)):
+        df.write.parquet(str(tmp_path / name))
+        names += [f"--{name}", str(tmp_path / name)]
+    for form in ("json", "text", "parquet"):
+        main([str(tmp_path / "in"), str(tmp_path / form), *names, "--form", form], spark)
+    assert spark.read.json(str(tmp_path / "json")).first().doi == "10.1000/t"
+    assert json.loads(spark.read.text(str(tmp_path / "text")).first().value)["title"] == "A Study of Pages"
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == 1
+
+
 def test_jstor_cover_wins(spark):
     lines = ["Cover", "On Pages", "Author(s): Ann Brown and Bob Lee", "Source: Annals, Vol. 3, No. 2 (1999), pp. 1-9", "Published by: Press", "Stable URL: http://www.jstor.org/stable/77"]
     rows = [[[word(t, 72 + 60 * k, 100 + 12 * i) for k, t in enumerate(x.split(" "))]] for i, x in enumerate(lines)]
