@@ -36,10 +36,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a new one on a single machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="ckpt-")
+
+
+def dealt_again(grouped: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with the integer ``keys`` computed anew, so that a join on them deals both sides
+    out again. Otherwise the join would take over the partitions of the aggregation, and adaptive
+    execution could neither split a key that holds many rows of the other side nor broadcast these if few."""
+    return grouped.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply an Arrow batch function; nothing outlives a batch, so memory stays bounded."""
 

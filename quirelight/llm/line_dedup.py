@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import WHITE, ascii_lower, checkpoint, map_batches
+from quirelight.llm.common import WHITE, ascii_lower, checkpoint, dealt_again, map_batches
 
 NO_ID = -(1 << 63)
 
@@ -83,7 +83,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, te
         .agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))
         .where(F.col("n") >= least_docs)
     )
-    lost = lines.join(common, ["hi", "lo"]).where(F.col("doc") != F.col("largest")).groupBy("doc", "mark").agg(F.collect_set("pos").alias("lost"))
+    # Dealt out again, so that a very common line can be split here too.
+    lost = lines.join(dealt_again(common, "hi", "lo"), ["hi", "lo"]).where(F.col("doc") != F.col("largest")).groupBy("doc", "mark").agg(F.collect_set("pos").alias("lost"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = []

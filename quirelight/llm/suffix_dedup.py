@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.llm import suffixes
-from quirelight.llm.common import checkpoint, map_batches, slices
+from quirelight.llm.common import checkpoint, dealt_again, map_batches, slices
 
 LENGTH, GRAM_POWER = 200, 5
 GRAM = 1 << GRAM_POWER
@@ -217,26 +217,19 @@ def _strings(length: int):
     return kernel
 
 
-def _apart(grouped: DataFrame, *keys: str) -> DataFrame:
-    """The same rows, with ``keys`` computed anew, so that a join on them deals both sides out again.
-    Otherwise the join would take over the partitions of the aggregation, and adaptive execution
-    could neither split a key that holds many rows of the other side nor broadcast these if few."""
-    return grouped.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
-
-
 def repeated(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The packed documents, and ``doc, mark, spans``: lists of (low, starts, found) whose marked
     starts begin strings that occur elsewhere; ``found`` is null if all do."""
     anchors = _anchors(docs, length, text, key)
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram", (F.col("n") > HOT).cast("int").alias("hot"))
-    flagged = checkpoint(anchors.join(_apart(grams, "gram"), "gram").groupBy("doc", "mark").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.col("hot")).alias("places")))
+    flagged = checkpoint(anchors.join(dealt_again(grams, "gram"), "gram").groupBy("doc", "mark").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.col("hot")).alias("places")))
     packed = _packed(docs, text, key)
     texts = _items(flagged, packed, length, True)
     distinct = texts.groupBy("gram", "item").agg((F.count("*") > 1).alias("whole"), F.max("hot").alias("hot"), F.first("body").alias("body"))
     cold = distinct.where(~F.col("hot")).select("gram", "item", "whole", "body").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "gram long, item long, found binary")
     strings = map_batches(distinct.where("hot").select("gram", "item", "whole", "body"), _strings(length), "w1 long, w2 long, gram long, item long, whole boolean, offset int")
     shared = strings.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    offsets = strings.where(~F.col("whole")).join(_apart(shared, "w1", "w2"), ["w1", "w2"]).groupBy("gram", "item").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    offsets = strings.where(~F.col("whole")).join(dealt_again(shared, "w1", "w2"), ["w1", "w2"]).groupBy("gram", "item").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
