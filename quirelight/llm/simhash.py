@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import ASCII_LOWER, checkpoint, map_batches
+from quirelight.llm.common import ASCII_LOWER, checkpoint, dealt_again, map_batches
 from quirelight.llm.components import components, least_labels
 
 #: Fingerprints in a tile at least and at most; between, as many tiles as TILES.
@@ -107,17 +107,24 @@ def _tiles(distinct: DataFrame) -> DataFrame:
     return dealt.applyInPandas(pack, "tile int, least int, most int, body binary")
 
 
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """``i, j`` (i <= j) of tiles some of whose bit counts can lie within the radius: tiles meet at each
+    bit count that one has and the other has or comes near to, 65 at most."""
+    left = tiles.select(F.col("tile").alias("i"), F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)).alias("bits"))
+    right = tiles.select(F.col("tile").alias("j"), F.explode(F.sequence("least", "most")).alias("bits"))
+    return left.join(right, "bits").where("i <= j").select("i", "j").distinct()
+
+
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """A forest (a, b) of distinct fingerprints that differ in at most ``radius`` bits."""
     tiles = checkpoint(_tiles(fps.select("fp").distinct()))
-    spans = sorted((r["tile"], r["least"], r["most"]) for r in tiles.select("tile", "least", "most").collect())  # a few per MOST_TILE fingerprints
-    pairs = [(i, j, k) for k, (i, j) in enumerate((a[0], b[0]) for at, a in enumerate(spans) for b in spans[at:] if b[1] - a[2] <= radius and a[1] - b[2] <= radius)]
-    spark = fps.sparkSession
-    wanted = spark.createDataFrame(pairs or [(-1, -1, -1)], "i int, j int, pair int")
+    pairs = checkpoint(tile_pairs(tiles, radius))
+    number = pairs.count()
     left = tiles.select(F.col("tile").alias("i"), F.col("body").alias("left"))
     right = tiles.select(F.col("tile").alias("j"), F.col("body").alias("right"))
-    # Equal numbers of rows a partition: a tile pair is one row.
-    work = wanted.join(left, "i").join(right, "j").repartition(max(1, min(len(pairs), 4096)), "pair")
+    # About as many tasks as tile pairs, up to many for each core of the cluster.
+    tasks = max(1, min(number, max(4096, 64 * fps.sparkSession.sparkContext.defaultParallelism)))
+    work = pairs.join(left, "i").join(right, "j").repartition(tasks, "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,5 +166,5 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     found = components(links(marked, radius)).select(F.col("node").alias("fp"), "component")
     named = classes.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
+    by_fp = named.join(dealt_again(least, "component"), "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
