@@ -3,8 +3,9 @@
 Texts are normalised (A-Z lower-cased), collapsed within each slice of a scan, and sent to the
 owner of their length and content hash. Owners read them in that order and insert the full byte
 strings into a compressed radix trie whose terminal nodes hold the surviving identifier and the
-number of rows; a trie that holds enough bytes is written out and dropped between two branches
-(length, hash), so that memory is bounded and Spark's sorter does the spilling, by branch.
+number of rows; a trie that holds enough bytes, those of its nodes included, is written out and dropped
+between two branches (length, hash), so that memory is bounded and Spark's sorter does the spilling,
+by subtree: texts of one branch are equal or share a 64-bit hash.
 
 Defined results: a null text counts as empty; rows that repeat count each; a null doc_id never
 survives unless all of its group are null, and then keep_id is null and kept false.
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from quirelight.llm.common import ASCII_LOWER, ascii_lower, map_batches
 
-#: Bytes of text that an owner's trie holds before it is written out at the next branch.
-TRIE_BYTES = 32 << 20
+#: Bytes that an owner's trie holds before it is written out at the next branch, and what a node takes
+#: beside its label: the object, its label's header, its table of children and its entry in one.
+TRIE_BYTES, NODE_BYTES = 64 << 20, 400
 
 
 class Node:
@@ -33,12 +35,12 @@ class Node:
         self.label, self.children, self.best, self.rows = label, None, None, 0
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix, by halving."""
-    low, high = 0, min(len(a), len(b))
+def _common(a: bytes, b: bytes, at: int) -> int:
+    """Length of the common prefix of ``a`` and of ``b`` from ``at`` on, by halving."""
+    low, high = 0, min(len(a), len(b) - at)
     while low < high:
         middle = (low + high + 1) // 2
-        if a[:middle] == b[:middle]:
+        if b.startswith(a[low:middle], at + low):
             low = middle
         else:
             high = middle - 1
@@ -46,30 +48,32 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """Compressed radix trie of byte strings; ``better`` chooses between two identifiers."""
+    """Compressed radix trie of byte strings; ``better`` chooses between two identifiers. ``bytes`` is
+    what it holds in memory, nodes included."""
 
     def __init__(self, better=max):
         self.root, self.bytes, self.better = Node(b""), 0, better
 
     def add(self, key: bytes, identifier: int | None, rows: int = 1) -> None:
-        node, rest = self.root, key
-        while rest:
-            child = node.children.get(rest[0]) if node.children else None
+        node, at = self.root, 0
+        while at < len(key):
+            child = node.children.get(key[at]) if node.children else None
             if child is None:
-                child = Node(rest)
-                self.bytes += len(rest)
+                child = Node(key[at:])
+                self.bytes += len(child.label) + NODE_BYTES
                 node.children = node.children or {}
-                node.children[rest[0]] = child
-                node, rest = child, b""
-            elif rest.startswith(child.label):
-                node, rest = child, rest[len(child.label) :]
+                node.children[key[at]] = child
+                node, at = child, len(key)
+            elif key.startswith(child.label, at):
+                node, at = child, at + len(child.label)
             else:
-                cut = _common(child.label, rest)
+                cut = _common(child.label, key, at)
                 upper = Node(child.label[:cut])
                 child.label = child.label[cut:]
+                self.bytes += NODE_BYTES
                 upper.children = {child.label[0]: child}
                 node.children[upper.label[0]] = upper
-                node, rest = upper, rest[cut:]
+                node, at = upper, at + cut
         known = [x for x in (node.best, identifier) if x is not None]
         node.best = self.better(known) if known else None
         node.rows += rows

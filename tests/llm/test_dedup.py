@@ -72,6 +72,17 @@ def test_exact_dedup_of_awkward_rows(spark, awkward, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_tries_count_their_nodes_and_bear_chains():
+    trie = exact_dedup.Trie()
+    for n in range(3000):
+        trie.add(b"x" * n, n)
+    assert {k: b for k, b, _ in trie} == {b"x" * n: n for n in range(3000)}
+    trie = exact_dedup.Trie()
+    for n in range(100000):
+        trie.add(b"one common start of %d" % n, n)
+    assert trie.bytes > 100000 * exact_dedup.NODE_BYTES and sum(1 for _ in trie) == 100000
+
+
 def test_small_tries_agree(spark, monkeypatch, awkward):
     wanted = sorted(map(str, exact_dedup.exact_dedup(awkward).collect()))
     monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 1)
