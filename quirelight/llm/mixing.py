@@ -8,10 +8,14 @@ output shards along a binary tree: each node hands half of its draws to its left
 the counts per source drawn from the multivariate hypergeometric distribution (one conditional
 hypergeometric draw per source, by inversion with a hashed uniform number). A leaf owns a
 contiguous range of each source's permuted draws, so that no two shards draw the same one;
-within a shard rows are ordered by a hash. Only DataFrame functions take part.
+within a shard rows are ordered by a hash. A corpus of more shards than the tree has leaves cuts each
+leaf by the hash of its draws. Only DataFrame functions take part.
+
+Sources meet in windows without a partition and in the tree's nodes, a few bytes each: made for sources
+that are collections (up to some 100,000), not for each host of a crawl.
 
 Defined results: a null or empty text has size 0 and is never drawn; a null source is a source
-of its own, ordered last; rows that repeat are separate documents with equal ids; an empty table
+of its own, ordered last; rows that repeat are separate documents, each with draws of its own; an empty table
 gives an empty result. Equal input and seed give equal results.
 """
 
@@ -27,8 +31,10 @@ from quirelight.llm.common import WORD_PATTERN, checkpoint
 #: Documents a block holds at most on average, and blocks a source has at least.
 BLOCK_ROWS = 4096
 LEAST_BLOCKS = 64
-#: Words a shard holds, and limits of the number of shards.
-SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 24, 64, 8192
+#: Words a shard holds, shards at least, and leaves of the splitting tree at most.
+SHARD_WORDS, LEAST_SHARDS, MOST_LEAVES = 1 << 24, 64, 8192
+#: A word and the white space before it.
+SPACED_WORD_PATTERN = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
 
 
 def _uniform(*parts) -> Column:
@@ -58,7 +64,7 @@ def _log_choose(n: Column, k: Column) -> Column:
 
 def hypergeometric(total: Column, marked: Column, draws: Column, uniform: Column) -> Column:
     """A draw of how many of ``marked`` among ``total`` fall in ``draws``, by inversion over the
-    support within ten standard deviations."""
+    support within ten standard deviations, beyond which a uniform double cannot point."""
     given = F.struct(total.cast("double").alias("n"), marked.cast("double").alias("k"), draws.cast("double").alias("d"), uniform.alias("u"))
     return _let(given, _draw)
 
@@ -129,17 +135,21 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("node", F.explode("items").alias("x")).groupBy("x.ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x.start"))), lambda x: x["start"]).alias("starts"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, draws, taken``; ``draws``
-    lists (copy, shard, words) of each time the mix takes it. ``shards`` is a power of two; without
-    it a shard gets about SHARD_WORDS, within LEAST_SHARDS and MOST_SHARDS."""
-    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = checkpoint(docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), size.alias("size")))
-    rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    blocks_each = max(LEAST_BLOCKS, -(-rows // BLOCK_ROWS))
-    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, 1 << int(share * words / SHARD_WORDS).bit_length()))
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks_each)).cast("int"))
-    blocks = checkpoint(dealt.groupBy("source", "block").agg(F.sum("size").alias("words")))
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def _drawn(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, shards: int | None, seed: int, source: str, text: str, key: str) -> DataFrame:
+    """``rows`` (id_of_mix, source_of_mix, size_of_mix of the rows of ``docs``, and any others) with
+    source_size_of_mix, target_of_mix and draws_of_mix: (copy, shard, words) of each time the mix
+    takes the row. Rows join blocks of their source, never each other."""
+    sized = checkpoint(docs.select(docs[key].cast("long").alias("id"), docs[source].cast("string").alias("source"), _size(docs[text]).alias("size")))
+    n_rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks_each = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
+    wanted = shards or max(LEAST_SHARDS, 1 << int(share * words / SHARD_WORDS).bit_length())
+    leaves, parts = min(wanted, MOST_LEAVES), max(1, wanted // MOST_LEAVES)
+    block_of = lambda id_: F.pmod(F.xxhash64(F.lit(seed), id_), F.lit(blocks_each)).cast("int")
+    blocks = checkpoint(sized.groupBy("source", block_of(F.col("id")).alias("block")).agg(F.sum("size").alias("words")))
     aimed = (
         targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -157,44 +167,56 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     )
     ranked = checkpoint(ranked)
     quotas = ranked.groupBy("ord").agg((F.max("passes") * F.max("n_blocks") + F.sum((F.col("own_rest") > 0).cast("long"))).cast("long").alias("quota"))
-    starts = _tree(quotas, shards, seed + 2)
+    starts = _tree(quotas, leaves, seed + 2)
     shard_of = lambda place: (F.size(F.filter("starts", lambda x: x <= place)) - 1).cast("int")
     # Full passes come first in a source's draws, then the blocks that fill the rest.
     whole = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<long>")), lambda p: F.struct(p.cast("int").alias("copy"), shard_of(p * F.col("n_blocks") + F.col("place")).alias("shard")))
     last = F.when(F.col("own_rest") > 0, shard_of(F.col("passes") * F.col("n_blocks") + F.col("place")))
-    drawn = ranked.join(starts, "ord").select(F.col("source").alias("block_source"), F.col("block").alias("own_block"), "words", "source_size", "target", "passes", "own_rest", whole.alias("whole"), last.alias("last"))
+    drawn = ranked.join(starts, "ord").select(
+        F.col("source").alias("block_source"), F.col("block").alias("own_block"), F.col("words").alias("block_words"), F.col("source_size").alias("source_size_of_mix"),
+        F.col("target").alias("target_of_mix"), F.col("passes").alias("passes_of_mix"), "own_rest", whole.alias("whole_of_mix"), last.alias("last_of_mix"),
+    )
     drawn = checkpoint(drawn)
-    joined = dealt.join(drawn, F.col("source").eqNullSafe(F.col("block_source")) & (F.col("block") == F.col("own_block")), "left")
-    # In the block where a source's target ends, its documents are taken in hashed order up to it.
-    cut = (F.col("own_rest") > 0) & (F.col("own_rest") < F.col("words"))
-    within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    columns = ["doc_id", "source", "size", "source_size", "target", "passes", "whole", "last", "rest_words"]
-    inside = joined.where(cut).withColumn("rest_words", F.least(F.col("size"), F.greatest(F.lit(0), F.col("own_rest") - (F.sum("size").over(within) - F.col("size"))))).select(columns)
-    others = joined.where(~F.coalesce(cut, F.lit(False))).withColumn("rest_words", F.when(F.col("own_rest") > 0, F.col("size")).otherwise(F.lit(0).cast("long"))).select(columns)
-    draws = F.filter(
-        F.concat(
-            F.transform("whole", lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), F.col("size").alias("words"))),
-            F.array(F.struct(F.col("passes").cast("int").alias("copy"), F.col("last").alias("shard"), F.col("rest_words").alias("words"))),
-        ),
-        lambda x: x["words"] > 0,
-    )
-    return inside.unionAll(others).select("doc_id", "source", "size", "source_size", "target", draws.alias("draws")).withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
+    dealt = rows.withColumn("block_of_mix", block_of(F.col("id_of_mix")))
+    joined = dealt.join(drawn, F.col("source_of_mix").eqNullSafe(F.col("block_source")) & (F.col("block_of_mix") == F.col("own_block")), "left")
+    # In the block where a source's target ends, its rows are taken in hashed order up to it.
+    cut = (F.col("own_rest") > 0) & (F.col("own_rest") < F.col("block_words"))
+    ties = [F.xxhash64(rows[text])] if text in rows.columns else []
+    within = Window.partitionBy("source_of_mix", "block_of_mix").orderBy(F.xxhash64(F.lit(seed + 3), "id_of_mix"), "id_of_mix", "size_of_mix", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = [*rows.columns, "source_size_of_mix", "target_of_mix", "passes_of_mix", "whole_of_mix", "last_of_mix", "rest_of_mix"]
+    size = F.col("size_of_mix")
+    inside = joined.where(cut).withColumn("rest_of_mix", F.least(size, F.greatest(F.lit(0), F.col("own_rest") - (F.sum("size_of_mix").over(within) - size)))).select(kept)
+    others = joined.where(~F.coalesce(cut, F.lit(False))).withColumn("rest_of_mix", F.when(F.col("own_rest") > 0, size).otherwise(F.lit(0).cast("long"))).select(kept)
+
+    def draw(copy: Column, leaf: Column, words: Column) -> Column:
+        # A leaf of the tree that would be too large a shard is cut by a hash of the draw.
+        part = F.pmod(F.xxhash64(F.lit(seed + 5), "id_of_mix", copy), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+        return F.struct(copy.cast("int").alias("copy"), (leaf * F.lit(parts) + part).cast("int").alias("shard"), words.alias("words"))
+
+    draws = F.filter(F.concat(F.transform("whole_of_mix", lambda x: draw(x["copy"], x["shard"], size)), F.array(draw(F.col("passes_of_mix"), F.col("last_of_mix"), F.col("rest_of_mix")))), lambda x: x["words"] > 0)
+    return inside.unionAll(others).select(*rows.columns, "source_size_of_mix", "target_of_mix", draws.alias("draws_of_mix"))
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, draws, taken``; ``draws``
+    lists (copy, shard, words) of each time the mix takes it. ``shards`` is a power of two; without
+    it a shard gets about SHARD_WORDS, and there are LEAST_SHARDS at least."""
+    rows = docs.select(docs[key].cast("long").alias("id_of_mix"), docs[source].cast("string").alias("source_of_mix"), _size(docs[text]).alias("size_of_mix"))
+    found = _drawn(docs, rows, weights, share, most, shards, seed, source, text, key)
+    found = found.toDF("doc_id", "source", "size", "source_size", "target", "draws")
+    return found.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
 
-def mix(docs: DataFrame, seed: int = 7, shards: int | None = None, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The mixed rows: the columns of ``docs``, once per draw, with ``mix_shard``; a draw of fewer
-    words than the text has holds its first words. Rows of a shard come in hashed order. Names
-    ending in ``_of_mix`` are used inside and must not be among the columns."""
-    drawn = plan(docs, seed=seed, shards=shards, source=source, text=text, key=key, **options).where(F.size("draws") > 0)
-    # Rows that repeat under one id are told apart by their source and size too.
-    chosen = drawn.select(F.col("doc_id").alias("id_of_mix"), F.col("source").alias("source_of_mix"), F.col("size").alias("size_of_mix"), F.col("draws").alias("draws_of_mix")).dropDuplicates(["id_of_mix", "source_of_mix", "size_of_mix"])
-    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    own = docs.withColumn("words_of_mix", size)
-    joined = own.join(chosen, own[key].cast("long").eqNullSafe(F.col("id_of_mix")) & own[source].cast("string").eqNullSafe(F.col("source_of_mix")) & (F.col("words_of_mix") == F.col("size_of_mix")))
-    rows = joined.select(*[joined[c] for c in own.columns], F.explode("draws_of_mix").alias("draw_of_mix"))
+    words than the text has holds its first words, with the white space between them. Rows of a shard come in
+    hashed order. Names ending in ``_of_mix`` are used inside and must not be among the columns."""
+    own = docs.withColumns({"id_of_mix": docs[key].cast("long"), "source_of_mix": docs[source].cast("string"), "size_of_mix": _size(docs[text])})
+    found = _drawn(docs, own, weights, share, most, shards, seed, source, text, key).where(F.size("draws_of_mix") > 0)
+    rows = found.select(*own.columns, F.explode("draws_of_mix").alias("draw_of_mix"))
     words = F.col("draw_of_mix.words")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    rows = rows.withColumn(text, F.when(words < F.col("words_of_mix"), first).otherwise(F.col(text)))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(SPACED_WORD_PATTERN), F.lit(0)), F.lit(1), words.cast("int")), "")
+    rows = rows.withColumn(text, F.when(words < F.col("size_of_mix"), first).otherwise(F.col(text)))
     order = F.xxhash64(F.lit(seed + 4), F.col(key), F.col("draw_of_mix.copy"))
     rows = rows.select(*docs.columns, F.col("draw_of_mix.shard").alias("mix_shard"), order.alias("order_of_mix"))
     return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "order_of_mix").drop("order_of_mix")

@@ -67,6 +67,26 @@ def test_mix_rows_hold_the_words(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0 and mixing.plan(empty).count() == 0
 
 
+def test_mix_takes_what_the_plan_says_of_repeated_rows(spark):
+    text = "ten  words\nthat\tmake one text of some ten of them"
+    docs = spark.createDataFrame([(1, text, "a")] * 50 + [(2, "others " * 10, "b")] * 30, "doc_id long, text string, source string")
+    planned = {r.source: r.n for r in mixing.plan(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    rows = mixing.mix(docs).collect()
+    for source, n in planned.items():
+        assert sum(len(r.text.split()) for r in rows if r.source == source) == n
+    # A cut text keeps its white space.
+    assert all(text.startswith(r.text) for r in rows if r.source == "a") and any(r.text != text for r in rows if r.doc_id == 1)
+
+
+def test_leaves_are_cut_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_LEAVES", 4)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    shards = {d.shard for r in mixing.plan(docs, shards=16).collect() for d in r.draws}
+    assert len(shards) > 12 and max(shards) < 16
+    wide = {d.shard for r in mixing.plan(docs, shards=4).collect() for d in r.draws}
+    assert wide == {s // 4 for s in shards}
+
+
 def test_hypergeometric(spark):
     draws = [r[0] for r in spark.range(4000).select(mixing.hypergeometric(F.lit(50), F.lit(20), F.lit(25), mixing._uniform(F.lit(3), F.col("id")))).collect()]
     wanted = np.random.default_rng(0).hypergeometric(20, 30, 25, 4000)
