@@ -1,18 +1,24 @@
 """Operator 8: near-duplicate embeddings by sorted projection passes.
 
-Equal vectors of a label are collapsed first. Each pass orders the remaining ones by (label,
-concatenated random hyperplane bits) and compares the neighbours whose keys are equal; a window
-longer than the bound is cut into tiles that are compared pairwise, so that no window loses a
-pair. Verified pairs of a pass count only if no earlier pass had both in one window, which the
-bits, carried along, tell. A pass returns counts and a forest per window, never all pairs.
+Equal vectors of a label are collapsed first. Each pass orders the classes by (label, concatenated
+random-hyperplane bits) and compares every one with its WINDOW neighbours on each side. The rows that
+are sorted carry no vectors but their values in one byte each, with the exact error that this makes,
+so that a window drops only pairs that cannot reach the threshold. Pairs that remain are collected
+over all passes once, fetch their vectors, and are verified in double precision.
 
-Key length follows the logarithm of the number of vectors, and the number of passes is chosen so
-that a pair at the threshold shares no window with probability below ``miss`` (a pair of cosine c
-agrees in a bit with probability 1 - arccos(c) / pi).
+A class most of whose window is near, in any pass, stands in a dense group, in which bounded windows
+would miss pairs and all pairs would be too many rows. Of such pairs a window tells only a chain;
+groups of chained dense classes are compared exactly, in tiles of their vectors, and tell counts and a
+forest of links. Verified pairs and these links are united into components.
+
+The bits follow the logarithm of the number of vectors, and the number of passes is such that a pair
+at the threshold is in no common window with probability below ``miss``, if neighbours in order are
+those with the longest common keys (a pair of cosine c agrees in a bit with probability
+1 - arccos(c) / pi).
 
 Defined results: null labels and vectors that are null, zero, or hold null or non-finite components
 link with nothing and form their own component; vectors of different lengths never link; rows
-that repeat an id with equal vectors link with each other like copies.
+that repeat an id link by their own vectors, and equal ones with each other like copies.
 """
 
 from __future__ import annotations
@@ -25,138 +31,237 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import checkpoint
+from quirelight.llm.common import checkpoint, dealt_again
 from quirelight.llm.components import components, least_labels
 
-#: Vectors compared at once, and expected in a window.
-TILE = 1024
-WINDOW = 16
+#: Neighbours on each side that a pass compares; a class with as many near ones among both is dense.
+WINDOW = 32
+#: Bytes of vectors in a tile of a dense group, and rows compared at once.
+TILE_BYTES, STEP = 2 << 20, 1024
+#: Rows of a window's batch; limits what is held in a task.
+BATCH = 8192
 
 
-def _bits(vectors: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
-    """Sort keys of each vector: one row per vector, one column per pass."""
-    keys = np.zeros((len(vectors), passes), np.int32)
-    for k in range(passes):
-        planes = np.random.default_rng([seed, k, vectors.shape[1]]).standard_normal((vectors.shape[1], bits))
-        keys[:, k] = ((vectors @ planes) > 0) @ (1 << np.arange(bits))
-    return keys
+def plan_passes(count: int, threshold: float, miss: float) -> tuple[int, int]:
+    """Bits of a key and number of passes for ``count`` vectors of one label."""
+    bits = min(62, max(8, math.ceil(math.log2(max(2, count))) + 8))
+    depth = max(0.0, math.log2(max(1, count) / (WINDOW / 2)))
+    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** depth
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1
 
 
-def _passes(count: int, threshold: float, miss: float) -> tuple[int, int]:
-    bits = min(30, max(4, round(math.log2(max(1, count) / WINDOW))))
-    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1
+def near_in_order(values: np.ndarray, factor: np.ndarray, error: np.ndarray, held: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places (a < b, b not among the first ``held``) to verify, and places of dense rows. A
+    row's vector over its length is values * factor but for a difference of length ``error``."""
+    n = len(values)
+    x = values.astype(np.float32) * factor[:, None]
+    near = np.zeros((n, WINDOW + 1), bool)
+    chain = np.zeros((n, WINDOW + 1), bool)
+    times = np.zeros(n, np.int32)
+    after, before = np.zeros(n, bool), np.zeros(n, bool)
+    for d in range(1, min(WINDOW, n - 1) + 1):
+        a, b = slice(0, n - d), slice(d, n)
+        slack = error[a] + error[b] + error[a] * error[b] + 1e-5
+        hit = np.einsum("ij,ij->i", x[a], x[b]) + slack >= threshold
+        near[a, d] = hit
+        times[a] += hit
+        times[b] += hit
+        chain[a, d] = hit & (~after[a] | ~before[b])
+        after[a] |= hit
+        before[b] |= hit
+    dense = times >= WINDOW
+    a, d = np.nonzero(near)
+    b = a + d
+    told = (b >= held) & (chain[a, d] | ~dense[a] | ~dense[b])
+    return a[told], b[told], np.flatnonzero(dense)
 
 
-def _compare(bodies: list[bytes], sizes: np.ndarray, keys: np.ndarray, at: int, threshold: float, tile: int, n_left: int, body_type):
-    """Counts of copies linked and labels within one window; with tiles, only pairs across."""
-    x = np.frombuffer(b"".join(bodies), body_type).astype(np.float64).reshape(len(bodies), -1)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    labels, counts = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for start in range(0, len(x), tile):
-        rows = slice(start, min(start + tile, len(x)))
-        for other in range(start, len(x), tile):
-            columns = slice(other, min(other + tile, len(x)))
-            near = (x[rows] @ x[columns].T) / (norm[rows, None] * norm[None, columns]) >= threshold
-            if start == other:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
-            a, b = a + start, b + other
-            if n_left:  # two tiles of a long window: pairs within a tile belong to another row
-                across = (a < n_left) & (b >= n_left)
-                a, b = a[across], b[across]
-            fresh = ~(keys[a, :at] == keys[b, :at]).any(1) if at else np.ones(len(a), bool)
-            a, b = a[fresh], b[fresh]
-            np.add.at(counts, a, sizes[b])
-            np.add.at(counts, b, sizes[a])
-            least_labels(labels, a, b)
+def compare_tiles(x: np.ndarray, y: np.ndarray, copies_x: np.ndarray, copies_y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of vectors linked to each row of both tiles (of the first only if they are the ``same``),
+    and labels: the smallest place linked within the two."""
+    length = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m))
+    nx, ny = length(x), length(y)
+    shift = 0 if same else len(x)
+    labels, counts = np.arange(len(x) + (0 if same else len(y))), np.zeros(len(x) + (0 if same else len(y)), np.int64)
+    for at in range(0, len(x), STEP):
+        for to in range(at if same else 0, len(y), STEP):
+            linked = (x[at : at + STEP] @ y[to : to + STEP].T) / (nx[at : at + STEP, None] * ny[None, to : to + STEP]) >= threshold
+            if same and at == to:
+                linked = np.triu(linked, 1)
+            a, b = np.nonzero(linked)
+            a, b = a + at, b + to
+            np.add.at(counts, a, copies_y[b])
+            np.add.at(counts, b + shift, copies_x[a])
+            least_labels(labels, a, b + shift)
     return counts, labels
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-9, seed: int = 11, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``."""
-    raw = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[vector].cast("array<double>").alias("v"))
-    fit = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    # -0.0 and 0.0 are one value.
-    marked = raw.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("v", F.when(F.col("fit"), F.transform("v", lambda x: x + F.lit(0.0))))
-    marked = marked.withColumn("class", F.when(F.col("fit"), F.sha2(F.concat_ws("\x00", "label", F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), 256)))
-    marked = checkpoint(marked.select("vec_id", "label", "v", "class"))
-    classes = marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    # The smallest id names a class; a null id cannot, so that a hash of the class takes its place.
-    classes = checkpoint(classes.withColumn("node", F.coalesce("first", F.xxhash64("class"))))
-    # Single-precision vectors travel as such and are compared in double precision.
-    body_type = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
-    bits, passes = _passes(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, threshold, miss)
+def _classes(marked: DataFrame) -> DataFrame:
+    """``class, first, copies, label, width, body, node``: one row per distinct vector of a label, told
+    apart by a number of its own, which the checkpoint fixes."""
+    grouped = marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, widths = [], []
+            for v in batch.column(4).to_pylist():
+                x = np.array(v, np.float64)
+                largest = np.abs(x).max()
+                # Squares stay finite, and single precision as it is; no cosine depends on the scale.
+                bodies.append((x if 1e-100 < largest < 1e100 else x / largest).tobytes())
+                widths.append(len(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(widths, pa.int32()), pa.array(bodies, pa.binary())], ["class", "first", "copies", "label", "width", "body"])
+
+    packed = grouped.mapInArrow(pack, "class string, first long, copies long, label string, width int, body binary")
+    return checkpoint(packed.withColumns({"node": F.monotonically_increasing_id(), "room": F.xxhash64("label", "width")}))
+
+
+def _sorted_rows(classes: DataFrame, bits: int, passes: int, seed: int) -> DataFrame:
+    """``pass, room, sort_key, node, q, factor, error`` of each class in each pass, in order."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.left_shift(np.int64(1), np.arange(bits - 1, -1, -1))
         for batch in batches:
-            own = batch.column("v").to_pylist()
-            by_width: dict[int, list[int]] = {}
-            for i, v in enumerate(own):
-                by_width.setdefault(len(v), []).append(i)
-            for width, rows in by_width.items():
-                x = np.array([own[i] for i in rows], np.float64)
-                if body_type is np.float64:
-                    x /= np.abs(x).max(1, keepdims=True)  # keeps squares finite; no cosine depends on it
-                keys = _bits(x, passes, bits, seed)
-                part = batch.take(pa.array(rows))
-                body = [r.tobytes() for r in x.astype(body_type)]
-                kept = [k.tobytes() for k in keys]
+            widths = batch.column(2).to_numpy()
+            for width in np.unique(widths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(widths == width)))
+                x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(-1, width)
+                step = np.abs(x).max(1) / 127
+                q = np.rint(x / step[:, None])
+                length = np.sqrt(np.einsum("ij,ij->i", x, x))
+                factor = step / length
+                error = np.sqrt(np.square(x / length[:, None] - q * factor[:, None]).sum(1))
+                packed = pa.array([r.tobytes() for r in q.astype(np.int8)], pa.binary())
                 for k in range(passes):
+                    planes = np.random.default_rng([seed, k, width]).standard_normal((width, bits))
+                    keys = ((x @ planes) > 0) @ powers
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k] * len(rows), pa.int32()), part.column("label"), pa.array([width] * len(rows), pa.int32()), pa.array(keys[:, k]), part.column("node"), part.column("copies"), pa.array(kept, pa.binary()), pa.array(body, pa.binary())],
-                        ["pass", "label", "width", "sort_key", "node", "copies", "keys", "body"],
+                        [pa.array(np.full(len(x), k, np.int32)), part.column(0), pa.array(keys), part.column(1), packed, pa.array(factor.astype(np.float32)), pa.array(error.astype(np.float32))],
+                        ["pass", "room", "sort_key", "node", "q", "factor", "error"],
                     )
 
-    items = classes.select("label", "v", "node", "copies").mapInArrow(project, "pass int, label string, width int, sort_key int, node long, copies long, keys binary, body binary")
-    window = ["pass", "label", "width", "sort_key"]
-    lengths = items.groupBy(*window).count()
-    # Windows of one vector have nothing to compare; long ones are cut into tiles, and each pair
-    # of tiles is a row group of its own.
-    parts = lengths.where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / TILE).cast("int"))
-    dealt = items.join(parts, window).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    paired = dealt.select("*", other.alias("with")).select(*window, "node", "copies", "keys", "body", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-    group = [*window, "i", "j"]
-    sent = paired.repartition(*group).sortWithinPartitions(*group, "part")
+    order = ["pass", "room", "sort_key", "node"]
+    rows = classes.select("room", "node", "width", "body").mapInArrow(project, "pass int, room long, sort_key long, node long, q binary, factor float, error float")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _windows(threshold: float):
+    """``a, b`` of pairs to verify, and rows with b null for dense classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
-
-        def done():
-            if len(held) < 2:
-                return None
-            sizes = np.array([h[1] for h in held])
-            keys = np.frombuffer(b"".join(h[2] for h in held), np.int32).reshape(len(held), passes)
-            i, j = current[4], current[5]
-            n_left = sum(h[4] == i for h in held) if i != j else 0
-            counts, labels = _compare([h[3] for h in held], sizes, keys, current[0], threshold, TILE, n_left, body_type)
-            nodes = np.array([h[0] for h in held])
-            rows = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(counts[rows]), pa.array(nodes[labels[rows]])], ["node", "links", "root"])
+        held = None  # the last rows of the same pass and room
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                number, room, node, factor, error = (batch.column(n).to_numpy() for n in ("pass", "room", "node", "factor", "error"))
+                q = batch.column("q").to_pylist()
+                widths = np.fromiter(map(len, q), np.int64, len(q))
+                edges = np.flatnonzero((np.diff(number) != 0) | (np.diff(room) != 0) | (np.diff(widths) != 0)) + 1
+                for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(q)]):
+                    own = (node[start:stop], np.frombuffer(b"".join(q[start:stop]), np.int8).reshape(stop - start, -1), factor[start:stop], error[start:stop])
+                    place = (number[start], room[start], widths[start])
+                    before = 0
+                    if held and held[0] == place:
+                        before = len(held[1][0])
+                        own = tuple(np.concatenate(x) for x in zip(held[1], own))
+                    a, b, dense = near_in_order(own[1], own[2], own[3], before, threshold)
+                    held = (place, tuple(x[-WINDOW:] for x in own))
+                    if len(a) or len(dense):
+                        nodes = own[0]
+                        left = np.concatenate([np.minimum(nodes[a], nodes[b]), nodes[dense]])
+                        right = pa.array(np.concatenate([np.maximum(nodes[a], nodes[b]), nodes[dense]]), mask=np.arange(len(left)) >= len(a))
+                        yield pa.RecordBatch.from_arrays([pa.array(left), right], ["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, copies_a, copies_b`` of the pairs whose cosine reaches the threshold."""
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in (*group, "node", "copies", "keys", "body", "part")]
-            for row in zip(*columns):
-                if row[:6] != current:
-                    if current and (out := done()):
-                        yield out
-                    held, current = [], row[:6]
-                held.append(row[6:])
-        if current and (out := done()):
-            yield out
-
-    found = checkpoint(sent.select(*group, "node", "copies", "keys", "body", "part").mapInArrow(run, "node long, links long, root long"))
-    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labelled = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                keep = []
+                for x, y in zip(part.column("body_a").to_pylist(), part.column("body_b").to_pylist()):
+                    u, v = np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)
+                    keep.append(len(u) == len(v) and u @ v / (math.sqrt(u @ u) * math.sqrt(v @ v)) >= threshold)
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in ("a", "b", "copies_a", "copies_b")], ["a", "b", "copies_a", "copies_b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}"), F.col("copies").alias(f"copies_{n}"), F.col("body").alias(f"body_{n}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where("label_a = label_b")
+    return joined.select("a", "b", "copies_a", "copies_b", "body_a", "body_b").mapInArrow(check, "a long, b long, copies_a long, copies_b long")
+
+
+def _dense_links(chained: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``node, links, root`` from exact comparison of all dense classes that ``chained`` (a, b) connects."""
+    group = checkpoint(components(chained).join(classes.select("node", "label", "width", "copies", "body"), "node"))
+    sizes = group.groupBy("component", "label", "width").agg((F.ceil(F.sum(F.octet_length("body") + 16) / TILE_BYTES)).cast("int").alias("parts"))
+    keys = ["component", "label", "width"]
+    dealt = group.join(F.broadcast(sizes) if sizes.count() < 100_000 else sizes, keys).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        joined = {n: pa.array([table.column(n).to_numpy().tobytes()], pa.binary()) for n in ("node", "copies")}
+        first = {n: table.column(n).slice(0, 1) for n in (*keys, "part", "parts")}
+        return pa.table({**first, "nodes": joined["node"], "copies": joined["copies"], "body": pa.array([b"".join(table.column("body").to_pylist())], pa.binary())})
+
+    tiles = checkpoint(
+        dealt.select(*keys, "part", "parts", "node", "copies", "body").groupBy(*keys, "part").applyInArrow(pack, "component long, label string, width int, part int, parts int, nodes binary, copies binary, body binary")
+    )
+    pairs = tiles.select(*keys, F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    side = lambda n: tiles.select(*keys, F.col("part").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("nodes", "copies", "body")))
+    work = pairs.join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                same = row["i"] == row["j"]
+                nodes, copies = ([np.frombuffer(row[f"{c}_{n}"], np.int64) for n in "ij"] for c in ("nodes", "copies"))
+                x, y = (np.frombuffer(row[f"body_{n}"], np.float64).reshape(-1, row["width"]) for n in "ij")
+                counts, labels = compare_tiles(x, y, *copies, threshold, same)
+                every = nodes[0] if same else np.concatenate(nodes)
+                told = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(every[told]), pa.array(counts[told]), pa.array(every[labels[told]])], ["node", "links", "root"])
+
+    dealt_pairs = work.select("width", "i", "j", *(f"{c}_{n}" for c in ("nodes", "copies", "body") for n in "ij"))
+    return checkpoint(dealt_pairs.mapInArrow(run, "node long, links long, root long"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4, seed: int = 11, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """One row per vector: ``vec_id, n_links, component_id, kept``."""
+    raw = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[vector].cast("array<double>").alias("v"))
+    fit = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    # -0.0 and 0.0 are one value.
+    marked = raw.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("v", F.when(F.col("fit"), F.transform("v", lambda x: x + F.lit(0.0))))
+    marked = marked.withColumn("class", F.when(F.col("fit"), F.sha2(F.concat_ws("\x00", "label", F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), 256)))
+    classes = _classes(marked)
+    bits, passes = plan_passes(classes.groupBy("room").count().agg(F.max("count")).first()[0] or 0, threshold, miss)
+    found = checkpoint(_sorted_rows(classes, bits, passes, seed).mapInArrow(_windows(threshold), "a long, b long").distinct())
+    dense = found.where("b IS NULL").select(F.col("a").alias("node"))
+    pairs = found.where("b IS NOT NULL")
+    counted, forest = [], []
+    if not dense.isEmpty():
+        is_dense = lambda n: dense.select(F.col("node").alias(n), F.lit(True).alias(f"dense_{n}"))
+        flagged = pairs.join(is_dense("a"), "a", "left").join(is_dense("b"), "b", "left")
+        both = F.coalesce(F.col("dense_a") & F.col("dense_b"), F.lit(False))
+        flagged = checkpoint(flagged.select("a", "b", both.alias("both")))
+        pairs = flagged.where(~F.col("both")).select("a", "b")
+        exact = _dense_links(flagged.where("both").select("a", "b"), classes, threshold)
+        counted.append(exact.select("node", "links"))
+        forest.append(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = checkpoint(_verified(pairs, classes, threshold))
+    counted += [links.select(F.col("a").alias("node"), F.col("copies_b").alias("links")), links.select(F.col("b").alias("node"), F.col("copies_a").alias("links"))]
+    forest.append(links.select("a", "b"))
+    united = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionAll(united(parts[1:]))
     by_class = (
         classes.select("class", "node", "first", "copies")
-        .join(counted, "node", "left")
-        .join(labelled, "node", "left")
+        .join(united(counted).groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+        .join(components(united(forest)), "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     least = by_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = by_class.join(least, "component").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = marked.where(F.col("class").isNotNull()).join(by_class, "class").select("vec_id", "n_links", "component_id")
+    by_class = by_class.join(dealt_again(least, "component"), "component").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = marked.where(F.col("class").isNotNull()).select("vec_id", "class").join(by_class, "class").select("vec_id", "n_links", "component_id")
     alone = marked.where(F.col("class").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,7 +170,8 @@ def test_simhash_of_awkward_rows(spark, awkward, empty):
 
 
 def test_embeddings_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "TILE_BYTES", 4096)
+    monkeypatch.setattr(embeddings, "WINDOW", 4)
     rng = np.random.default_rng(6)
     vectors, labels = [], []
     for g in range(30):
@@ -203,3 +205,25 @@ def test_lines_of_rows_that_share_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text, r.n_dropped_of_lines) for r in line_dedup.line_dedup(docs).collect())
     assert got == sorted([("None", "x", 1), ("None", f"{own}\nx", 0), ("1", "y", 1), ("1", "y", 1), ("1", f"{own} either\ny", 0), ("2", "", 1), ("3", common, 0)])
+
+
+def test_vectors_that_share_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, c, 0), (None, near(c), 0), (4, c, 0), (5, a, 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("1", 1, 1), ("1", 1, 1), ("2", 1, 1), ("3", 1, 1), ("4", 2, 4), ("4", 2, 4), ("5", 0, 5), ("None", 2, 4)]
+    assert [r.kept for r in sorted(got, key=lambda r: str(r.vec_id))] == [True, True, False, False, True, True, True, False]
+
+
+@pytest.mark.parametrize("width, spread", [(8, 0.05), (64, 0.1), (64, 0.02), (300, 0.13)])
+def test_recall_of_planted_groups(spark, width, spread):
+    """Groups of 2 to 400 among vectors that link with nothing: all links, against brute force."""
+    rng = np.random.default_rng(width)
+    groups = [rng.standard_normal(width) + rng.standard_normal((n, width)) * spread for n in (2, 2, 2, 3, 5, 8, 40, 150, 400)]
+    x = np.concatenate([*groups, rng.standard_normal((3000, width))]).astype(np.float32).astype(np.float64)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    wanted = (unit @ unit.T >= 0.98).sum(1) - 1
+    rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int")
+    got = np.array([r.n_links for r in sorted(embeddings.near_duplicates(rows).collect())])
+    assert wanted.sum() > 1000 and (got <= wanted).all() and got.sum() >= 0.999 * wanted.sum()
