@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import map_batches, slices
+from quirelight.llm.common import checkpoint, map_batches, slices
 
-#: Labelled rows learnt from at most, epochs over them, rows a step.
-TRAIN_ROWS, EPOCHS, STEP_ROWS = 2000, 14, 16
+#: Labelled rows learnt from at most, and bytes of their texts, epochs over them, rows a step.
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, STEP_ROWS = 2000, 64 << 20, 14, 16
 FRAME, DIMS, FILTERS, SEGMENT = 8, 4, 24, 32
 #: Frames convolved at once.
 BLOCK = 1 << 15
@@ -168,8 +168,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """A network trained on at most ``rows`` labelled documents, or None without labels of both kinds."""
     usable = labels.where(labels[key].isNotNull() & labels[label].isin(0, 1) & ~held_out(labels[key]))
     chosen = usable.select(labels[key].cast("long").alias("id"), labels[label].cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    # At most ``rows`` short rows, so that the documents need not move.
-    sample = docs.join(F.broadcast(chosen), docs[key].cast("long") == F.col("id")).select("id", "y", F.coalesce(docs[text], F.lit("")).alias("body")).limit(2 * rows).toArrow()
+    # At most ``rows`` short rows are broadcast, so that the documents need not move. An id that several
+    # rows share gives the text of least hash.
+    named = docs.join(F.broadcast(chosen), docs[key].cast("long") == F.col("id")).select("id", "y", F.coalesce(docs[text], F.lit("")).alias("body"))
+    sample = checkpoint(named.groupBy("id", "y").agg(F.min_by("body", F.struct(F.xxhash64("body"), F.length("body"))).alias("body")))
+    sizes = sample.select("id", F.octet_length("body").alias("size"), F.xxhash64("id").alias("place")).collect()
+    room, taken = TRAIN_BYTES, []
+    for row in sorted(sizes, key=lambda r: (r["place"], r["id"])):
+        room -= row["size"]
+        if room < 0 and taken:
+            break
+        taken.append(row["id"])
+    sample = sample.where(F.col("id").isin(taken)).toArrow()
     texts = [t.encode() for t in sample.column("body").to_pylist()]
     order = np.argsort(np.array(sample.column("id").to_pylist(), np.int64), kind="stable")
     y = np.array(sample.column("y").to_pylist(), np.float32)[order]

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from quirelight.llm import bpe, embeddings, exact_dedup, line_dedup, lm, mixing, quality, simhash, suffix_dedup, token_counts
 from quirelight.llm.common import table
 
-#: The tokenizer file; a parameter, since vocabularies are not part of this repository.
-TOKENIZER = os.environ.get("QUIRELIGHT_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+
+def tokenizer() -> str:
+    """The tokenizer file; a parameter, since vocabularies are not part of this repository."""
+    return os.environ.get("QUIRELIGHT_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.section_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

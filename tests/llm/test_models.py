@@ -132,6 +132,15 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in kept) / len(kept) > 0.93
 
 
+def test_sample_is_bounded_and_does_not_depend_on_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"{'good words' if i % 2 else '#$%'} {i} " * 20) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    nets = [quality.fit(d, labels) for d in (docs, docs.orderBy(F.desc("text")).repartition(7))]
+    assert all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in nets[0].p)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 3000)
+    assert not np.array_equal(quality.fit(docs, labels).p["out"], nets[0].p["out"])
+
+
 def test_classifier_of_awkward_rows(spark, awkward, empty):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")
     rows = quality.classify(awkward, none).collect()
@@ -211,6 +220,18 @@ def test_pipeline_stages_keep_columns(spark, awkward, stage, tmp_path):
     out.collect()
 
 
+def test_pipeline_of_empty_and_awkward_tables(spark, awkward, empty, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    for name, rows in (("empty", empty), ("awkward", awkward)):
+        docs = rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = pipeline.run(spark, f"{tmp_path}/{name}")
+        assert (out.count() == 0) == (name == "empty")
+    assert pipeline.token_stage(spark, docs, DATA).count() == 9
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, DATA)
