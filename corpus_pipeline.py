@@ -7,14 +7,14 @@ as the operators define it.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.llm import bpe, line_dedup, mixing, quality, simhash
-from quirelight.llm.common import table
-from quirelight.llm.queries import TOKENIZER
+from quirelight.llm.common import shared_folder, table
+from quirelight.llm.queries import tokenizer
 
 #: SQL can express neither the classifier nor the mix.
 ORACLE_SQL = None
@@ -38,7 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the smallest id, ids before nulls, then the
-    smallest hash of the row."""
+    smallest hash of the row. The rule is that of the SimHash operator's contract, 4-word shingles and
+    at most 4 differing bits of 64, which is stricter than a similarity of 0.8."""
     return simhash.one_of_each(docs)
 
 
@@ -49,19 +50,32 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row and digests of them and of the text they decode to."""
-    return bpe.round_trip(docs, TOKENIZER, with_ids=True)
+    return bpe.round_trip(docs, tokenizer(), with_ids=True)
 
 
-STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("mix", mix_stage), ("tokens", token_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mix", mix_stage),
+    ("tokens", token_stage),
+]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    mark = F.expr("uuid()")
-    base = f"{folder}/pipeline-{spark.range(1).select(mark).first()[0]}"
+    """All stages over ``documents``, each written to the shared folder and read again. A stage's table
+    goes once the next one is written; the last table stays, since the result reads it."""
+    docs, base = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            _remove(spark, f"{base}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
