@@ -1,17 +1,22 @@
 """Operator 6: language-model scores by masked pseudo-likelihood.
 
-Words are told apart by 64-bit hashes; nothing has a fixed number of slots. The probability of a
-word given both neighbours is the mean of two estimates, by the exact counts of (left, word) and of
-(word, right) in all documents, each smoothed with PRIOR occurrences of a base distribution over
-all words. The base is a network with a window of one word to each side, trained in numpy on the
-counts of all (left, middle, right) class triples, times the exact share of the word in its class;
-classes are the most frequent words, hashed groups of the others, and the outside of a text.
+Words are told apart by 64-bit hashes. A network in numpy predicts every word from SIDE words to each
+side: embeddings of these, scaled by place, are summed, go through tanh, and give the probability of
+the word in two steps, its group and then its place in the group. The most frequent words have places
+of their own, in order of frequency, so that a group is a band of it; the others share the last group
+by hash, and a word's share in its place there is its share of occurrences. The network is trained on
+all documents: tasks train copies on their rows, half of the documents in each of ROUNDS rounds, and
+their parameters are averaged by the number of words, in the executors.
+
+The network's probability is the base that smooths exact counts, PRIOR occurrences of it in each
+context: the probability of a word is the mean of two estimates, by the counts of (left, word) and of
+(word, right) in all documents. The sum of its logarithms over a document is the document's score.
 
 Documents are dealt by hash into blocks. A block asks once for each of its distinct words and
 pairs; equal keys meet in the part of their range, and totals go back to the block, which sums the
 log-probabilities. Blocks and parts grow in number with the corpus and hold about BLOCK_BYTES of
-text each, so that a common word or pair has one row of a block and never fills a task. Only class
-totals, the most frequent words and class triples, all of fixed size, reach the driver.
+text each, so that a common word or pair has one row of a block and never fills a task. Only the
+network, the most frequent words and totals by place, all of fixed size, reach the driver.
 
 Defined results: a null or empty text and one without words have no words, log-probability 0 and a
 null mean; rows that repeat are counted and scored alike; an empty table gives an empty result.
@@ -27,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import ASCII_LOWER, slices
-
-SHARED = 16
-CLASSES = 64
-OUTSIDE = CLASSES - 1
-TOP = CLASSES - 1 - SHARED
-HIDDEN = 32
+from quirelight.llm.common import ASCII_LOWER, WORD_PATTERN, checkpoint, slices
+
+#: Groups of words and places in each; the last group is shared by words without a place.
+GROUPS, PLACES = 64, 64
+OWN, OUTSIDE = (GROUPS - 1) * PLACES, GROUPS * PLACES
+#: Words to each side, and length of an embedding.
+SIDE, DIMS = 2, 16
+#: Rounds over parts of the documents, words a step, and the rate of steps.
+ROUNDS, STEP, RATE = 2, 4096, 0.1
+#: Tasks that add up the parameters of all others.
+ADDERS = 16
 #: Occurrences that the base distribution counts for in each context.
 PRIOR = 1.0
 #: Bytes of text in a block, and of the corpus in a part of the counts; blocks and parts at least.
@@ -100,72 +109,179 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(docs[text].alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _vocabulary(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the TOP most frequent words, sorted, and occurrences and distinct words by class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        total = np.zeros((2, SHARED), np.int64)
-        for batch in batches:
-            own, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            group = (own % np.uint64(SHARED)).astype(np.int64)
-            np.add.at(total[0], group, count)
-            total[1] += np.bincount(group, minlength=SHARED)
-            ids, n = np.concatenate([ids, own]), np.concatenate([n, count])
-            best = np.lexsort((ids, -n))[:TOP]
-            ids, n = ids[best], n[best]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.full(len(ids), -1), np.arange(SHARED)])), pa.array(np.concatenate([ids.view(np.int64), total[1]])), pa.array(np.concatenate([n, total[0]]))], ["kind", "id", "n"]
-        )
-
-    found = words.select("id", "n").mapInArrow(run, "kind long, id long, n long").toArrow()  # CLASSES rows a partition at most
-    kind, ids, n = (found.column(c).to_numpy() for c in ("kind", "id", "n"))
-    occurrences, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k in range(SHARED):
-        occurrences[TOP + k], types[TOP + k] = n[kind == k].sum(), ids[kind == k].sum()
-    ids, n = ids[kind < 0].view(np.uint64), n[kind < 0]
-    best = np.lexsort((ids, -n))[:TOP]
-    ids, n = ids[best], n[best]
-    order = np.argsort(ids)
-    ids, n = ids[order], n[order]
-    group = (ids % np.uint64(SHARED)).astype(np.int64) + TOP
-    np.subtract.at(occurrences, group, n)
-    np.subtract.at(types, group, 1)
-    occurrences[: len(ids)], types[: len(ids)] = n, 1
-    return ids, occurrences, types
-
-
-def classes_of(ids: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """The class of each word."""
-    out = (ids % np.uint64(SHARED)).astype(np.int64) + TOP
+def _vocabulary(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the OWN most frequent words, in order of frequency, and by place (OWN words, then shared
+    ones) occurrences and numbers of distinct words."""
+    words = checkpoint(words)
+    best = words.orderBy(F.desc("n"), "id").limit(OWN).toArrow()
+    top = best.column("id").to_numpy().view(np.uint64)
+    totals = np.zeros((2, OUTSIDE))
+    for row in words.groupBy(F.col("id").bitwiseAND(PLACES - 1).alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # PLACES rows
+        totals[:, OWN + row["place"]] = row["n"], row["types"]
+    n = best.column("n").to_numpy()
+    shared = (top % np.uint64(PLACES)).astype(np.int64) + OWN
+    np.subtract.at(totals[0], shared, n)
+    np.subtract.at(totals[1], shared, 1)
+    totals[0, : len(top)], totals[1, : len(top)] = n, 1
+    return top, totals
+
+
+def places_of(ids: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The place of each word: its rank, or one that it shares."""
+    out = (ids % np.uint64(PLACES)).astype(np.int64) + OWN
     if len(top):
-        place = np.minimum(np.searchsorted(top, ids), len(top) - 1)
-        own = top[place] == ids
-        out[own] = place[own]
+        order = np.argsort(top)
+        at = order[np.minimum(np.searchsorted(top, ids, sorter=order), len(top) - 1)]
+        own = top[at] == ids
+        out[own] = at[own]
+    return out
+
+
+def windows(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the SIDE words before and after each word, OUTSIDE beyond its text."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    out = np.full((len(places), 2 * SIDE), OUTSIDE, np.int64)
+    for d in range(1, min(SIDE, len(places) - 1) + 1):
+        same = text[d:] == text[:-d]
+        out[d:, SIDE - d] = np.where(same, places[:-d], OUTSIDE)
+        out[:-d, SIDE + d - 1] = np.where(same, places[d:], OUTSIDE)
     return out
 
 
-def _triples(docs: DataFrame, text: str, top: np.ndarray) -> np.ndarray:
-    """How often each class triple occurs in all documents."""
+def _softmax_logs(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
+
+class Network:
+    """log P(place | places around it)."""
+
+    SHAPES = {"embed": (OUTSIDE + 1, DIMS), "scale": (2 * SIDE, DIMS), "hidden": (DIMS,), "group": (DIMS, GROUPS), "group_bias": (GROUPS,), "place": (GROUPS, DIMS, PLACES), "place_bias": (GROUPS, PLACES)}
+
+    def __init__(self, occurrences: np.ndarray, seed: int = 3):
+        """Starts from the frequencies of places, whatever stands around."""
+        rng = np.random.default_rng(seed)
+        n = (occurrences + 0.1).reshape(GROUPS, PLACES)
+        self.p = {k: np.zeros(shape, np.float32) for k, shape in self.SHAPES.items()}
+        self.p["embed"] += rng.standard_normal(self.SHAPES["embed"]).astype(np.float32) * 0.5
+        self.p["scale"] += 0.5
+        self.p["group_bias"] += np.log(n.sum(1) / n.sum()).astype(np.float32)
+        self.p["place_bias"] += np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+        #: Sums of squared gradients.
+        self.seen = {k: np.full(shape[:1] if k == "embed" else shape, 1e-6, np.float32) for k, shape in self.SHAPES.items()}
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.p[k].ravel() for k in self.SHAPES]).astype("<f4").tobytes()
+
+    def unpack(self, flat: np.ndarray) -> Network:
+        at = 0
+        for k, shape in self.SHAPES.items():
+            size = int(np.prod(shape))
+            self.p[k] = flat[at : at + size].reshape(shape).astype(np.float32)
+            at += size
+        return self
+
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
+        total = self.p["hidden"] + self.p["embed"][around[:, 0]] * self.p["scale"][0]
+        for k in range(1, 2 * SIDE):
+            total += self.p["embed"][around[:, k]] * self.p["scale"][k]
+        return np.tanh(total)
+
+    @staticmethod
+    def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            if cuts[g + 1] > cuts[g]:
+                yield g, order[cuts[g] : cuts[g + 1]]
+
+    def logs(self, places: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """log P of each place."""
+        out = np.zeros(len(places))
+        for at in range(0, len(places), 1 << 15):
+            own, h = places[at : at + (1 << 15)], self._hidden(around[at : at + (1 << 15)])
+            part = _softmax_logs(h @ self.p["group"] + self.p["group_bias"])[np.arange(len(own)), own // PLACES].astype(np.float64)
+            for g, rows in self._by_group(own // PLACES):
+                part[rows] += _softmax_logs(h[rows] @ self.p["place"][g] + self.p["place_bias"][g])[np.arange(len(rows)), own[rows] % PLACES]
+            out[at : at + len(own)] = part
+        return out
+
+    def gradients(self, places: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean of -log P; that of "embed" is (rows, values) of the rows that occur."""
+        p, n = self.p, len(places)
+        h = self._hidden(around)
+        e = np.exp(_softmax_logs(h @ p["group"] + p["group_bias"]))
+        e[np.arange(n), places // PLACES] -= 1
+        grads = {"group": h.T @ e / n, "group_bias": e.sum(0) / n, "place": np.zeros_like(p["place"]), "place_bias": np.zeros_like(p["place_bias"])}
+        back = e @ p["group"].T
+        for g, rows in self._by_group(places // PLACES):
+            own = h[rows]
+            e = np.exp(_softmax_logs(own @ p["place"][g] + p["place_bias"][g]))
+            e[np.arange(len(rows)), places[rows] % PLACES] -= 1
+            grads["place"][g], grads["place_bias"][g] = own.T @ e / n, e.sum(0) / n
+            back[rows] += e @ p["place"][g].T
+        back *= (1 - h * h) / n
+        grads["hidden"] = back.sum(0)
+        grads["scale"] = np.stack([(back * p["embed"][around[:, k]]).sum(0) for k in range(2 * SIDE)])
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        values = (back[:, None, :] * p["scale"][None]).reshape(-1, DIMS)[order]
+        grads["embed"] = flat[order][starts], np.add.reduceat(values, starts, axis=0)
+        return grads
+
+    def step(self, places: np.ndarray, around: np.ndarray) -> None:
+        """One step down the gradient, each parameter (of embeddings, each word) at its own rate."""
+        for k, g in self.gradients(places, around).items():
+            if k == "embed":
+                rows, g = g
+                self.seen[k][rows] += np.square(g).mean(1)
+                self.p[k][rows] -= RATE * g / np.sqrt(self.seen[k][rows])[:, None]
+            else:
+                self.seen[k] += g * g
+                self.p[k] -= RATE * g / np.sqrt(self.seen[k])
+
+
+def _trained(docs: DataFrame, text: str, top: np.ndarray, network: Network) -> Network:
+    """The network after all rounds."""
+    context = docs.sparkSession.sparkContext
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
         for batch in batches:
-            for part in _parts(batch):
-                ids, counts = word_slots(part)
-                if len(ids):
-                    own = classes_of(ids, top)
-                    left, right = _neighbours(own, counts)
-                    total += np.bincount((left * CLASSES + own) * CLASSES + right, minlength=CLASSES**3)
-        cells = np.flatnonzero(total)
-        for at in range(0, len(cells), 65536):
-            some = cells[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
-
-    found = docs.select(docs[text].alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES**3, np.float64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+            for body, words in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(body, "<f4").astype(np.float64) * words
+                total, n = own if total is None else total + own, n + words
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["body", "words"])
+
+    for number in range(ROUNDS):
+        shared = context.broadcast((top, network))  # of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            top, own = shared.value
+            words = 0
+            for batch in batches:
+                for part in _parts(batch):
+                    ids, counts = word_slots(part)
+                    places = places_of(ids, top)
+                    around = windows(places, counts)
+                    # Words of a text stand apart in steps, which so differ less.
+                    mixed = np.random.default_rng(len(ids)).permutation(len(ids))
+                    for at in range(0, len(ids), STEP):
+                        some = mixed[at : at + STEP]
+                        own.step(places[some], around[some])
+                    words += len(ids)
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array([own.packed()], pa.binary()), pa.array([words], pa.int64())], ["body", "words"])
+
+        rows = docs.where(F.pmod(F.xxhash64(docs[text]), F.lit(ROUNDS)) == number).select(docs[text].alias("text"))
+        trained = rows.mapInArrow(run, "body binary, words long").repartition(ADDERS).mapInArrow(add, "body binary, words long")
+        found = [r for r in trained.toArrow().to_batches() if r.num_rows]  # ADDERS rows
+        if found:
+            whole = next(add(iter(found)))
+            network.unpack(np.frombuffer(whole.column(0)[0].as_py(), "<f4"))
+    return network
 
 
 def _neighbours(own: np.ndarray, counts: np.ndarray, outside=OUTSIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +323,10 @@ class Block:
     def values(self, model: Model, pair_n: np.ndarray, word_n: np.ndarray) -> np.ndarray:
         """log P(word | left, right) of every word, by the corpus' counts of the block's keys."""
         n, begins, ends = (x[self.word_at] for x in word_n)
-        own = classes_of(self.ids, model.top)
-        left, right = _neighbours(own, self.counts)
-        base = np.exp(model.table[left, own, right]) * (n + 0.5) / (model.occurrences + 0.5 * (model.types + 1))[own]
+        places = places_of(self.ids, model.top)
+        occurrences, types = model.totals[:, places]
+        share = np.where(places < OWN, 1.0, (n + 0.5) / (occurrences + 0.5 * (types + 1)))
+        base = np.exp(model.network.logs(places, windows(places, self.counts))) * share
         of_pair = pair_n[self.pair_at]
         after = of_pair[: len(n)].astype(np.float64)
         before = np.concatenate([[0.0], after[:-1]])
@@ -284,15 +401,15 @@ def _totals(packed: DataFrame, parts: int) -> DataFrame:
 
 class Model:
     """The documents whose exact counts are asked for, and what has a fixed size: the most frequent
-    words, occurrences and distinct words by class, texts with words, and log P(middle | left, right)."""
+    words, occurrences and distinct words by place, texts with words, and the network."""
 
-    def __init__(self, docs: DataFrame, text: str, parts: int, top: np.ndarray, occurrences: np.ndarray, types: np.ndarray, texts: float, table: np.ndarray):
+    def __init__(self, docs: DataFrame | None, text: str, parts: int, top: np.ndarray, totals: np.ndarray, texts: int, network: Network):
         self.docs, self.text, self.parts = docs, text, parts
-        self.top, self.occurrences, self.types, self.texts, self.table = top, occurrences, types, texts, table
+        self.top, self.totals, self.texts, self.network = top, totals, texts, network
 
     def fixed(self) -> Model:
         """The model without its documents, for executors."""
-        return Model(None, self.text, self.parts, self.top, self.occurrences, self.types, self.texts, self.table)
+        return Model(None, self.text, self.parts, self.top, self.totals, self.texts, self.network)
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability and number of words of a few texts."""
@@ -301,44 +418,11 @@ class Model:
         return np.array([r[1] for r in found]), np.array([r[2] for r in found], np.int64)
 
 
-def train(triples: np.ndarray, steps: int = 120, rate: float = 0.08, seed: int = 3) -> np.ndarray:
-    """log P(middle | left, right) [left, middle, right] of a tanh network fitted to all triples."""
-    rng = np.random.default_rng(seed)
-    c = CLASSES
-    target = triples.reshape(c, c, c).transpose(0, 2, 1).reshape(c * c, c) + 1e-9
-    target /= target.sum()
-    p = {"l": rng.standard_normal((c, HIDDEN)) * 0.3, "r": rng.standard_normal((c, HIDDEN)) * 0.3, "b": np.zeros(HIDDEN), "o": rng.standard_normal((HIDDEN, c)) * 0.3, "d": np.log(target.sum(0) + 1e-9)}
-    target = target.astype(np.float32)
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    of_pair = target.sum(1, keepdims=True)
-
-    def forward():
-        h = np.tanh((p["l"][:, None] + p["r"][None]).reshape(c * c, HIDDEN) + p["b"])
-        z = h @ p["o"] + p["d"]
-        z -= z.max(1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    for t in range(1, steps + 1):
-        h, logs = forward()
-        e = np.exp(logs) * of_pair - target
-        dh = (e @ p["o"].T) * (1 - h * h)
-        by_pair = dh.reshape(c, c, HIDDEN)
-        grads = {"l": by_pair.sum(1), "r": by_pair.sum(0), "b": dh.sum(0), "o": h.T @ e, "d": e.sum(0)}
-        for k, g in grads.items():
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            p[k] -= rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-10)
-            p[k] = p[k].astype(np.float32)
-    return forward()[1].astype(np.float64).reshape(c, c, c).transpose(0, 2, 1).copy()
-
-
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model of all documents."""
-    top, occurrences, types = _vocabulary(_word_counts(docs, text))
-    triples = _triples(docs, text, top)
-    texts = triples.reshape(CLASSES, -1)[OUTSIDE].sum()
-    return Model(docs, text, _number(docs, text), top, occurrences, types, texts, train(triples))
+    top, totals = _vocabulary(_word_counts(docs, text))
+    texts = docs.where(docs[text].rlike(WORD_PATTERN)).count()
+    return Model(docs, text, _number(docs, text), top, totals, texts, _trained(docs, text, top, Network(totals[0])))
 
 
 def score(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -353,7 +437,7 @@ def score(docs: DataFrame, model: Model | None = None, text: str = "text", key:
         spread = corpus.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(model.parts)).cast("int")).repartition(model.parts, "block")
         packed = packed.unionAll(_packed(spread, model.parts, True, False))
     totals = _totals(packed, model.parts)
-    shared = docs.sparkSession.sparkContext.broadcast(model.fixed())  # CLASSES bounds its size
+    shared = docs.sparkSession.sparkContext.broadcast(model.fixed())  # of fixed size
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = Block(_texts(table))

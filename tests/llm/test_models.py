@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,14 +157,46 @@ def test_word_slots():
     assert counts.tolist() == [2, 0, 3, 0] and slots[0] == slots[2] == slots[4] and slots[1] == slots[3] != slots[0]
 
 
-def test_lm_prefers_seen_order():
-    rng = np.random.default_rng(8)
-    triples = np.zeros((lm.CLASSES,) * 3)
-    triples[1, 2, 3], triples[4, 5, 6] = 500, 500
-    triples += rng.random(triples.shape) * 1e-3
-    table = lm.train(triples.reshape(-1))
-    assert np.allclose(np.exp(table).sum(1), 1, atol=1e-3)
-    assert table[1, 2, 3] > -0.3 and table[1, 5, 3] < -2
+def test_lm_network_gradients():
+    rng = np.random.default_rng(1)
+    net = lm.Network(rng.integers(0, 50, lm.OUTSIDE).astype(float))
+    net.p = {k: (v + rng.standard_normal(v.shape) * 0.1).astype(np.float64) for k, v in net.p.items()}
+    places = rng.integers(0, lm.OUTSIDE, 30)
+    around = lm.windows(places, np.array([1, 0, 20, 9]))
+    assert around[0].tolist() == [lm.OUTSIDE] * 4 and around[2].tolist() == [lm.OUTSIDE, places[1], places[3], places[4]]
+    grads = net.gradients(places, around)
+    rows, values = grads["embed"]
+    grads["embed"] = np.zeros_like(net.p["embed"])
+    grads["embed"][rows] = values
+    for k, g in grads.items():
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        losses = []
+        for e in (1e-4, -2e-4):
+            net.p[k][i] += e
+            losses.append(-net.logs(places, around).mean())
+        net.p[k][i] += 1e-4
+        assert math.isclose(g[i], (losses[0] - losses[1]) / 2e-4, rel_tol=1e-3)
+
+
+def test_lm_network_learns_what_stands_two_words_away(spark):
+    # A word tells the one two places on; one word to each side tells nothing.
+    rng = np.random.default_rng(2)
+    texts = []
+    for i in range(600):
+        row = rng.integers(0, 40, 2).tolist()
+        while len(row) < 200:
+            row.append((row[-2] * 7 + 3) % 40 if rng.random() < 0.8 else int(rng.integers(0, 40)))
+        texts.append(" ".join(f"w{x}" for x in row))
+    docs = spark.createDataFrame(list(enumerate(texts[:500])), "doc_id long, text string").repartition(4)
+    model = lm.fit(docs)
+    ids, counts = lm.word_slots([t.encode() for t in texts[500:]])
+    places = lm.places_of(ids, model.top)
+    held_out = model.network.logs(places, lm.windows(places, counts)).mean()
+    unigram = np.log(model.totals[0][places] / model.totals[0].sum()).mean()
+    assert unigram < -3.6 and held_out > -2.6
+    # Probabilities of all places add up to one.
+    every = np.arange(lm.OUTSIDE)
+    assert math.isclose(np.exp(model.network.logs(every, np.tile(lm.windows(places, counts)[:1], (len(every), 1)))).sum(), 1, rel_tol=1e-4)
 
 
 def test_lm_scores(spark, awkward, empty):
@@ -186,29 +219,39 @@ def test_lm_tells_neighbours_of_rare_words_apart(spark):
     assert (n == 2).all() and (seen > swapped + 1).all()
 
 
-def test_lm_counts_are_exact(spark):
-    texts = ["a b c", "a b", "B c  a", "", "d", "x" * 300 + "yz x", "x" * 300 + "zy x"]
+def test_lm_scores_by_brute_force(spark):
+    """Sums of conditional log-probabilities, with words of their own places and with shared ones."""
+    texts = ["a b c", "a b", "B c  a", "", "d", "x" * 300 + "yz x", "x" * 300 + "zy x", " ".join(f"h{i}" for i in range(lm.OWN + 100))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = lm.fit(docs)
     words = [t.lower().split() for t in texts]
-    count = lambda values: {v: values.count(v) for v in values}
-    of = count([w for t in words for w in t])
-    pairs = count([p for t in words for p in zip([None, *t], [*t, None])])
+    of = Counter(w for t in words for w in t)
+    pairs = Counter(p for t in words for p in zip([None, *t], [*t, None]))
+    follows = Counter(a for t in words for a, b in zip([None, *t], t))
+    precedes = Counter(b for t in words for a, b in zip(t, [*t[1:], None]))
     ids = {w: int(lm.word_slots([w.encode()])[0][0]) for w in of}
-    assert len(set(ids.values())) == len(of) and model.texts == 6
-    cls = {w: int(lm.classes_of(np.array([i], np.uint64), model.top)[0]) for w, i in ids.items()} | {None: lm.OUTSIDE}
-
-    def by_hand(l, w, r):
-        c = cls[w]
-        base = math.exp(model.table[cls[l], c, cls[r]]) * (of[w] + 0.5) / (model.occurrences[c] + 0.5 * (model.types[c] + 1))
-        follow = sum(n for (a, b), n in pairs.items() if a == l and b is not None)
-        precede = sum(n for (a, b), n in pairs.items() if b == r and a is not None)
-        return math.log(0.5 * (pairs[l, w] + lm.PRIOR * base) / (follow + lm.PRIOR) + 0.5 * (pairs[w, r] + lm.PRIOR * base) / (precede + lm.PRIOR))
+    assert len(set(ids.values())) == len(of) and model.texts == 7
+    place = {w: int(lm.places_of(np.array([i], np.uint64), model.top)[0]) for w, i in ids.items()} | {None: lm.OUTSIDE}
+    p = {k: v.astype(np.float64) for k, v in model.network.p.items()}
+
+    def softmax(z):
+        return np.exp(z) / np.exp(z).sum()
+
+    def by_hand(own, at):
+        word = lambda i: own[i] if 0 <= i < len(own) else None
+        l, w, r = word(at - 1), own[at], word(at + 1)
+        h = np.tanh(p["hidden"] + sum(p["embed"][place[word(at + d)]] * p["scale"][k] for k, d in enumerate((-2, -1, 1, 2))))
+        g, s = divmod(place[w], lm.PLACES)
+        base = softmax(h @ p["group"] + p["group_bias"])[g] * softmax(h @ p["place"][g] + p["place_bias"][g])[s]
+        if place[w] >= lm.OWN:
+            n, types = model.totals[:, place[w]]
+            base *= (of[w] + 0.5) / (n + 0.5 * (types + 1))
+        return math.log(0.5 * (pairs[l, w] + lm.PRIOR * base) / (follows[l] + lm.PRIOR) + 0.5 * (pairs[w, r] + lm.PRIOR * base) / (precedes[r] + lm.PRIOR))
 
     for row in lm.score(docs, model).collect():
         own = words[row.doc_id]
         assert row.n_words == len(own)
-        assert math.isclose(row.log_prob, sum(by_hand(*x) for x in zip([None, *own], own, [*own[1:], None])), abs_tol=1e-9)
+        assert math.isclose(row.log_prob, sum(by_hand(own, i) for i in range(len(own))), rel_tol=1e-5, abs_tol=1e-9)
 
 
 @pytest.mark.parametrize("stage", range(4))
