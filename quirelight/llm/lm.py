@@ -1,7 +1,7 @@
 """Operator 6: language-model scores by masked pseudo-likelihood.
 
 Words are told apart by 64-bit hashes. A network in numpy predicts every word from SIDE words to each
-side: embeddings of these, scaled by place, are summed, go through tanh, and give the probability of
+side: embeddings of these, for each distance its own, are summed, go through tanh, and give the probability of
 the word in two steps, its group and then its place in the group. The most frequent words have places
 of their own, in order of frequency, so that a group is a band of it; the others share the last group
 by hash, and a word's share in its place there is its share of occurrences. The network is trained on
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from quirelight.llm.common import ASCII_LOWER, WORD_PATTERN, checkpoint, slices
 
 #: Groups of words and places in each; the last group is shared by words without a place.
-GROUPS, PLACES = 64, 64
+GROUPS, PLACES = 32, 32
 OWN, OUTSIDE = (GROUPS - 1) * PLACES, GROUPS * PLACES
 #: Words to each side, and length of an embedding.
-SIDE, DIMS = 2, 16
+SIDE, DIMS = 2, 12
 #: Rounds over parts of the documents, words a step, and the rate of steps.
-ROUNDS, STEP, RATE = 2, 4096, 0.1
-#: Tasks that add up the parameters of all others.
+ROUNDS, STEP, RATE = 2, 8192, 0.1
+#: Tasks that add up the parameters, or merge the most frequent words, of all others.
 ADDERS = 16
 #: Occurrences that the base distribution counts for in each context.
 PRIOR = 1.0
@@ -112,8 +112,18 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
 def _vocabulary(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the OWN most frequent words, in order of frequency, and by place (OWN words, then shared
     ones) occurrences and numbers of distinct words."""
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = own.sort_by([("n", "descending"), ("id", "ascending")]).slice(0, OWN)
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
     words = checkpoint(words)
-    best = words.orderBy(F.desc("n"), "id").limit(OWN).toArrow()
+    few = words.mapInArrow(best_of, "id long, n long").repartition(ADDERS).mapInArrow(best_of, "id long, n long").toArrow()  # ADDERS * OWN rows
+    best = few.sort_by([("n", "descending"), ("id", "ascending")]).slice(0, OWN)
     top = best.column("id").to_numpy().view(np.uint64)
     totals = np.zeros((2, OUTSIDE))
     for row in words.groupBy(F.col("id").bitwiseAND(PLACES - 1).alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # PLACES rows
@@ -138,33 +148,43 @@ def places_of(ids: np.ndarray, top: np.ndarray) -> np.ndarray:
 
 
 def windows(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Places of the SIDE words before and after each word, OUTSIDE beyond its text."""
+    """Rows of embeddings for each word: those of the SIDE words before and after it, OUTSIDE beyond its
+    text. A place has one row for each distance that it may stand at."""
     text = np.repeat(np.arange(len(counts)), counts)
-    out = np.full((len(places), 2 * SIDE), OUTSIDE, np.int64)
+    out = np.full((len(places), 2 * SIDE), OUTSIDE, np.int32)
     for d in range(1, min(SIDE, len(places) - 1) + 1):
         same = text[d:] == text[:-d]
         out[d:, SIDE - d] = np.where(same, places[:-d], OUTSIDE)
         out[:-d, SIDE + d - 1] = np.where(same, places[d:], OUTSIDE)
-    return out
+    return out + np.arange(2 * SIDE, dtype=np.int32) * (OUTSIDE + 1)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place, of each row."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
-def _softmax_logs(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of one value of each row's softmax."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), at].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
 
 
 class Network:
     """log P(place | places around it)."""
 
-    SHAPES = {"embed": (OUTSIDE + 1, DIMS), "scale": (2 * SIDE, DIMS), "hidden": (DIMS,), "group": (DIMS, GROUPS), "group_bias": (GROUPS,), "place": (GROUPS, DIMS, PLACES), "place_bias": (GROUPS, PLACES)}
+    SHAPES = {"embed": (2 * SIDE * (OUTSIDE + 1), DIMS), "hidden": (DIMS,), "group": (DIMS, GROUPS), "group_bias": (GROUPS,), "place": (GROUPS, DIMS, PLACES), "place_bias": (GROUPS, PLACES)}
 
     def __init__(self, occurrences: np.ndarray, seed: int = 3):
         """Starts from the frequencies of places, whatever stands around."""
         rng = np.random.default_rng(seed)
         n = (occurrences + 0.1).reshape(GROUPS, PLACES)
         self.p = {k: np.zeros(shape, np.float32) for k, shape in self.SHAPES.items()}
-        self.p["embed"] += rng.standard_normal(self.SHAPES["embed"]).astype(np.float32) * 0.5
-        self.p["scale"] += 0.5
+        self.p["embed"] += rng.standard_normal(self.SHAPES["embed"]).astype(np.float32) * 0.25
         self.p["group_bias"] += np.log(n.sum(1) / n.sum()).astype(np.float32)
         self.p["place_bias"] += np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
         #: Sums of squared gradients.
@@ -182,14 +202,14 @@ class Network:
         return self
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.p["hidden"] + self.p["embed"][around[:, 0]] * self.p["scale"][0]
+        total = self.p["hidden"] + self.p["embed"][around[:, 0]]
         for k in range(1, 2 * SIDE):
-            total += self.p["embed"][around[:, k]] * self.p["scale"][k]
-        return np.tanh(total)
+            total += self.p["embed"][around[:, k]]
+        return np.tanh(total, out=total)
 
     @staticmethod
     def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.int16), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             if cuts[g + 1] > cuts[g]:
@@ -200,9 +220,9 @@ class Network:
         out = np.zeros(len(places))
         for at in range(0, len(places), 1 << 15):
             own, h = places[at : at + (1 << 15)], self._hidden(around[at : at + (1 << 15)])
-            part = _softmax_logs(h @ self.p["group"] + self.p["group_bias"])[np.arange(len(own)), own // PLACES].astype(np.float64)
+            part = _log_softmax(h @ self.p["group"] + self.p["group_bias"], own // PLACES)
             for g, rows in self._by_group(own // PLACES):
-                part[rows] += _softmax_logs(h[rows] @ self.p["place"][g] + self.p["place_bias"][g])[np.arange(len(rows)), own[rows] % PLACES]
+                part[rows] += _log_softmax(h[rows] @ self.p["place"][g] + self.p["place_bias"][g], own[rows] % PLACES)
             out[at : at + len(own)] = part
         return out
 
@@ -210,24 +230,22 @@ class Network:
         """Of the mean of -log P; that of "embed" is (rows, values) of the rows that occur."""
         p, n = self.p, len(places)
         h = self._hidden(around)
-        e = np.exp(_softmax_logs(h @ p["group"] + p["group_bias"]))
+        e = _softmax(h @ p["group"] + p["group_bias"])
         e[np.arange(n), places // PLACES] -= 1
         grads = {"group": h.T @ e / n, "group_bias": e.sum(0) / n, "place": np.zeros_like(p["place"]), "place_bias": np.zeros_like(p["place_bias"])}
         back = e @ p["group"].T
         for g, rows in self._by_group(places // PLACES):
             own = h[rows]
-            e = np.exp(_softmax_logs(own @ p["place"][g] + p["place_bias"][g]))
+            e = _softmax(own @ p["place"][g] + p["place_bias"][g])
             e[np.arange(len(rows)), places[rows] % PLACES] -= 1
             grads["place"][g], grads["place_bias"][g] = own.T @ e / n, e.sum(0) / n
             back[rows] += e @ p["place"][g].T
         back *= (1 - h * h) / n
         grads["hidden"] = back.sum(0)
-        grads["scale"] = np.stack([(back * p["embed"][around[:, k]]).sum(0) for k in range(2 * SIDE)])
         flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat)
         starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        values = (back[:, None, :] * p["scale"][None]).reshape(-1, DIMS)[order]
-        grads["embed"] = flat[order][starts], np.add.reduceat(values, starts, axis=0)
+        grads["embed"] = flat[order][starts], np.add.reduceat(back[order // (2 * SIDE)], starts, axis=0)
         return grads
 
     def step(self, places: np.ndarray, around: np.ndarray) -> None:

@@ -163,7 +163,8 @@ def test_lm_network_gradients():
     net.p = {k: (v + rng.standard_normal(v.shape) * 0.1).astype(np.float64) for k, v in net.p.items()}
     places = rng.integers(0, lm.OUTSIDE, 30)
     around = lm.windows(places, np.array([1, 0, 20, 9]))
-    assert around[0].tolist() == [lm.OUTSIDE] * 4 and around[2].tolist() == [lm.OUTSIDE, places[1], places[3], places[4]]
+    rows = around - np.arange(4) * (lm.OUTSIDE + 1)
+    assert rows[0].tolist() == [lm.OUTSIDE] * 4 and rows[2].tolist() == [lm.OUTSIDE, places[1], places[3], places[4]]
     grads = net.gradients(places, around)
     rows, values = grads["embed"]
     grads["embed"] = np.zeros_like(net.p["embed"])
@@ -240,7 +241,7 @@ def test_lm_scores_by_brute_force(spark):
     def by_hand(own, at):
         word = lambda i: own[i] if 0 <= i < len(own) else None
         l, w, r = word(at - 1), own[at], word(at + 1)
-        h = np.tanh(p["hidden"] + sum(p["embed"][place[word(at + d)]] * p["scale"][k] for k, d in enumerate((-2, -1, 1, 2))))
+        h = np.tanh(p["hidden"] + sum(p["embed"][place[word(at + d)] + k * (lm.OUTSIDE + 1)] for k, d in enumerate((-2, -1, 1, 2))))
         g, s = divmod(place[w], lm.PLACES)
         base = softmax(h @ p["group"] + p["group_bias"])[g] * softmax(h @ p["place"][g] + p["place_bias"][g])[s]
         if place[w] >= lm.OWN:
