@@ -24,11 +24,11 @@ null mean; rows that repeat are counted and scored alike; an empty table gives a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,18 +160,18 @@ def windows(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place, of each row."""
-    z -= z.max(1, keepdims=True)
+    """In place, of each column."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
 def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of one value of each row's softmax."""
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), at].astype(np.float64)
-    return own - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
+    """The logarithm of one value of each column's softmax."""
+    z -= z.max(0)
+    own = z[at, np.arange(len(at))].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(0, dtype=np.float64))
 
 
 class Network:
@@ -208,39 +208,48 @@ class Network:
         return np.tanh(total, out=total)
 
     @staticmethod
-    def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of words in which groups are slices, and these."""
         order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            if cuts[g + 1] > cuts[g]:
-                yield g, order[cuts[g] : cuts[g + 1]]
+        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        return order, [(g, slice(cuts[g], cuts[g + 1])) for g in range(GROUPS) if cuts[g + 1] > cuts[g]]
+
+    def _group_logits(self, h: np.ndarray) -> np.ndarray:
+        return self.p["group"].T @ h.T + self.p["group_bias"][:, None]
+
+    def _place_logits(self, g: int, h: np.ndarray) -> np.ndarray:
+        return self.p["place"][g].T @ h.T + self.p["place_bias"][g][:, None]
 
     def logs(self, places: np.ndarray, around: np.ndarray) -> np.ndarray:
         """log P of each place."""
         out = np.zeros(len(places))
-        for at in range(0, len(places), 1 << 15):
-            own, h = places[at : at + (1 << 15)], self._hidden(around[at : at + (1 << 15)])
-            part = _log_softmax(h @ self.p["group"] + self.p["group_bias"], own // PLACES)
-            for g, rows in self._by_group(own // PLACES):
-                part[rows] += _log_softmax(h[rows] @ self.p["place"][g] + self.p["place_bias"][g], own[rows] % PLACES)
-            out[at : at + len(own)] = part
+        for at in range(0, len(places), STEP):
+            order, groups = self._by_group(places[at : at + STEP] // PLACES)
+            own, h = places[at : at + STEP][order], self._hidden(around[at : at + STEP][order])
+            part = _log_softmax(self._group_logits(h), own // PLACES)
+            for g, rows in groups:
+                part[rows] += _log_softmax(self._place_logits(g, h[rows]), own[rows] % PLACES)
+            out[at + order] = part
         return out
 
     def gradients(self, places: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean of -log P; that of "embed" is (rows, values) of the rows that occur."""
         p, n = self.p, len(places)
+        order, groups = self._by_group(places // PLACES)
+        places, around = places[order], around[order]
         h = self._hidden(around)
-        e = _softmax(h @ p["group"] + p["group_bias"])
-        e[np.arange(n), places // PLACES] -= 1
-        grads = {"group": h.T @ e / n, "group_bias": e.sum(0) / n, "place": np.zeros_like(p["place"]), "place_bias": np.zeros_like(p["place_bias"])}
-        back = e @ p["group"].T
-        for g, rows in self._by_group(places // PLACES):
+        e = _softmax(self._group_logits(h))
+        e[places // PLACES, np.arange(n)] -= 1
+        grads = {"group": h.T @ e.T / n, "group_bias": e.sum(1) / n, "place": np.zeros_like(p["place"]), "place_bias": np.zeros_like(p["place_bias"])}
+        back = p["group"] @ e
+        within = places % PLACES
+        for g, rows in groups:
             own = h[rows]
-            e = _softmax(own @ p["place"][g] + p["place_bias"][g])
-            e[np.arange(len(rows)), places[rows] % PLACES] -= 1
-            grads["place"][g], grads["place_bias"][g] = own.T @ e / n, e.sum(0) / n
-            back[rows] += e @ p["place"][g].T
-        back *= (1 - h * h) / n
+            e = _softmax(self._place_logits(g, own))
+            e[within[rows], np.arange(len(own))] -= 1
+            grads["place"][g], grads["place_bias"][g] = own.T @ e.T / n, e.sum(1) / n
+            back[:, rows] += p["place"][g] @ e
+        back = back.T * ((1 - h * h) / n)
         grads["hidden"] = back.sum(0)
         flat = around.ravel()
         order = np.argsort(flat)
@@ -368,6 +377,33 @@ def _dealt(docs: DataFrame, text: str, key: str, blocks: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
 
+def _squeezed(body: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _opened(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: one byte that says in how many bytes each is written, the first key,
+    and the lowest bytes of all differences, then the next ones."""
+    gaps = np.diff(keys)
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(planes.T).tobytes()
+
+
+def unpack_keys(body: bytes) -> np.ndarray:
+    if len(body) < 9:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(body, np.uint8, offset=9).reshape(body[0], -1) if body[0] else np.zeros((0, 0), np.uint8)
+    parts = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    parts[1:, : body[0]] = planes.T
+    parts[0] = np.frombuffer(body, np.uint8, 8, 1)
+    return np.cumsum(parts.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _texts(table: pa.Table) -> list[bytes]:
     return [(t or "").encode() for t in table.column("text").to_pylist()]
 
@@ -383,8 +419,8 @@ def _packed(dealt: DataFrame, parts: int, counted: bool, asked: bool) -> DataFra
             a, b, c, d = pair_cuts[i], pair_cuts[i + 1], word_cuts[i], word_cuts[i + 1]
             if b > a or d > c:
                 pair_n, word_n = own.pair_n[a:b].astype("<i4"), own.word_n[:, c:d].astype("<i4")
-                n = zlib.compress(pair_n.tobytes() + word_n.tobytes(), 1) if counted else None
-                rows.append((i, own.pairs[a:b].tobytes(), own.words[c:d].tobytes(), n))
+                n = _squeezed(pair_n.tobytes() + word_n.tobytes()) if counted else None
+                rows.append((i, pack_keys(own.pairs[a:b]), pack_keys(own.words[c:d]), n))
         part, pairs, words, n = zip(*rows) if rows else ((), (), (), ())
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "part": pa.array(part, pa.int32()), "asked": pa.array([asked] * len(rows), pa.bool_()), "pairs": pa.array(pairs, pa.binary()), "words": pa.array(words, pa.binary()), "n": pa.array(n, pa.binary())})
@@ -396,10 +432,10 @@ def _totals(packed: DataFrame, parts: int) -> DataFrame:
     """The corpus' counts of the keys of each row that asks: ``block, part, n``."""
 
     def total(table: pa.Table) -> pa.Table:
-        pairs, words = ([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] for c in ("pairs", "words"))
+        pairs, words = ([unpack_keys(x) for x in table.column(c).to_pylist()] for c in ("pairs", "words"))
         pair_n, word_n = [], []
         for p, w, n in zip(pairs, words, table.column("n").to_pylist()):
-            found = np.frombuffer(zlib.decompress(n), "<i4") if n is not None else np.zeros(len(p) + 3 * len(w), "<i4")
+            found = np.frombuffer(_opened(n), "<i4") if n is not None else np.zeros(len(p) + 3 * len(w), "<i4")
             pair_n.append(found[: len(p)])
             word_n.append(found[len(p) :].reshape(3, len(w)))
         of_pair = np.unique(np.concatenate(pairs), return_inverse=True)[1]
@@ -409,10 +445,10 @@ def _totals(packed: DataFrame, parts: int) -> DataFrame:
         out, p, w = [], 0, 0
         for a, b, asked in zip(map(len, pairs), map(len, words), table.column("asked").to_pylist()):
             if asked:
-                out.append(zlib.compress(pair_n[p : p + a].tobytes() + word_n[:, w : w + b].tobytes(), 1))
+                out.append((a, _squeezed(pair_n[p : p + a].tobytes() + word_n[:, w : w + b].tobytes())))
             p, w = p + a, w + b
         rows = table.filter(table.column("asked"))
-        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "pairs": pa.array([len(x) // 8 for x in rows.column("pairs").to_pylist()], pa.int32()), "n": pa.array(out, pa.binary())})
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "pairs": pa.array([a for a, _ in out], pa.int32()), "n": pa.array([n for _, n in out], pa.binary())})
 
     return packed.repartition(parts, "part").groupBy("part").applyInArrow(total, "block int, part int, pairs int, n binary")
 
@@ -464,7 +500,7 @@ def score(docs: DataFrame, model: Model | None = None, text: str = "text", key:
             pair_n, word_n = [], []
             answers = answers.sort_by("part")
             for pairs, n in zip(answers.column("pairs").to_pylist(), answers.column("n").to_pylist()):
-                found = np.frombuffer(zlib.decompress(n), "<i8")
+                found = np.frombuffer(_opened(n), "<i8")
                 pair_n.append(found[:pairs])
                 word_n.append(found[pairs:].reshape(3, -1))
             values = own.values(shared.value, np.concatenate(pair_n), np.concatenate(word_n, axis=1))

@@ -157,6 +157,12 @@ def test_word_slots():
     assert counts.tolist() == [2, 0, 3, 0] and slots[0] == slots[2] == slots[4] and slots[1] == slots[3] != slots[0]
 
 
+@pytest.mark.parametrize("keys", [[], [0], [2**64 - 1], [5, 6], [0, 2**64 - 1], list(range(10**15, 10**15 + 70000, 7))])
+def test_keys_survive_packing(keys):
+    own = np.array(keys, np.uint64)
+    assert np.array_equal(lm.unpack_keys(lm.pack_keys(own)), own)
+
+
 def test_lm_network_gradients():
     rng = np.random.default_rng(1)
     net = lm.Network(rng.integers(0, 50, lm.OUTSIDE).astype(float))
