@@ -1,6 +1,9 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
+import pytest
+import tokenizers.processors
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -84,3 +87,32 @@ def test_section_counts(spark, awkward, empty, tokenizer):
     by_field = token_counts.section_counts(awkward, tokenizer, fields=["source", "text"], rule="split").collect()
     assert all(abs(sum(r.section_tokens) - r.n_tokens) < 1e-6 and r.n_sections == 2 for r in by_field)
     assert token_counts.section_counts(empty, tokenizer).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["start", "end", "majority", "split"])
+def test_section_counts_by_offsets_of_the_library(spark, tokenizer, rule):
+    """The library's own spans, attributed character by character."""
+    library = tokenizers.Tokenizer.from_file(tokenizer)
+    library.post_processor = tokenizers.processors.ByteLevel(trim_offsets=False)
+    library.no_truncation()
+    library.no_padding()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in docs} | {-1: "one\n\n\n  two\n日本語\U0001f600\n é́ x\n", -2: "\n\n\n\n", -3: "a\n" * 50}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    crossing = 0
+    for r in token_counts.section_counts(rows, tokenizer, rule=rule).collect():
+        text = texts[r.doc_id]
+        section = np.cumsum([0] + [c == "\n" for c in text[:-1]]) if text else np.zeros(0, int)
+        wanted = [0.0] * (text.count("\n") + 1)
+        spans = library.encode(text, add_special_tokens=False).offsets
+        for a, b in spans:
+            touched = Counter(section[a:b].tolist())
+            crossing += len(touched) > 1
+            if rule == "split":
+                for s, n in touched.items():
+                    wanted[s] += n / (b - a)
+            else:
+                s = {"start": min(touched), "end": max(touched), "majority": min(touched, key=lambda s: (-touched[s], s))}[rule]
+                wanted[s] += 1
+        assert r.n_tokens == len(spans) and np.allclose(r.section_tokens, wanted), (r.doc_id, rule)
+    assert crossing > 0
