@@ -139,11 +139,15 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def _drawn(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, shards: int | None, seed: int, source: str, text: str, key: str) -> DataFrame:
-    """``rows`` (id_of_mix, source_of_mix, size_of_mix of the rows of ``docs``, and any others) with
+def _sized(docs: DataFrame, source: str, text: str, key: str) -> DataFrame:
+    return checkpoint(docs.select(docs[key].cast("long").alias("id_of_mix"), docs[source].cast("string").alias("source_of_mix"), _size(docs[text]).alias("size_of_mix")))
+
+
+def _drawn(sized: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, shards: int | None, seed: int, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """``rows`` (id_of_mix, source_of_mix, size_of_mix, as in ``sized``, and any others) with
     source_size_of_mix, target_of_mix and draws_of_mix: (copy, shard, words) of each time the mix
-    takes the row. Rows join blocks of their source, never each other."""
-    sized = checkpoint(docs.select(docs[key].cast("long").alias("id"), docs[source].cast("string").alias("source"), _size(docs[text]).alias("size")))
+    takes the row. Rows join blocks of their source, never each other. ``ties`` order rows of one id and size."""
+    sized = sized.toDF("id", "source", "size")
     n_rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks_each = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
     wanted = shards or max(LEAST_SHARDS, 1 << int(share * words / SHARD_WORDS).bit_length())
@@ -181,7 +185,6 @@ def _drawn(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: fl
     joined = dealt.join(drawn, F.col("source_of_mix").eqNullSafe(F.col("block_source")) & (F.col("block_of_mix") == F.col("own_block")), "left")
     # In the block where a source's target ends, its rows are taken in hashed order up to it.
     cut = (F.col("own_rest") > 0) & (F.col("own_rest") < F.col("block_words"))
-    ties = [F.xxhash64(rows[text])] if text in rows.columns else []
     within = Window.partitionBy("source_of_mix", "block_of_mix").orderBy(F.xxhash64(F.lit(seed + 3), "id_of_mix"), "id_of_mix", "size_of_mix", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = [*rows.columns, "source_size_of_mix", "target_of_mix", "passes_of_mix", "whole_of_mix", "last_of_mix", "rest_of_mix"]
     size = F.col("size_of_mix")
@@ -201,8 +204,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     """One row per document: ``doc_id, source, size, source_size, target, draws, taken``; ``draws``
     lists (copy, shard, words) of each time the mix takes it. ``shards`` is a power of two; without
     it a shard gets about SHARD_WORDS, and there are LEAST_SHARDS at least."""
-    rows = docs.select(docs[key].cast("long").alias("id_of_mix"), docs[source].cast("string").alias("source_of_mix"), _size(docs[text]).alias("size_of_mix"))
-    found = _drawn(docs, rows, weights, share, most, shards, seed, source, text, key)
+    sized = _sized(docs, source, text, key)
+    found = _drawn(sized, sized, weights, share, most, shards, seed)
     found = found.toDF("doc_id", "source", "size", "source_size", "target", "draws")
     return found.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
@@ -212,7 +215,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     words than the text has holds its first words, with the white space between them. Rows of a shard come in
     hashed order. Names ending in ``_of_mix`` are used inside and must not be among the columns."""
     own = docs.withColumns({"id_of_mix": docs[key].cast("long"), "source_of_mix": docs[source].cast("string"), "size_of_mix": _size(docs[text])})
-    found = _drawn(docs, own, weights, share, most, shards, seed, source, text, key).where(F.size("draws_of_mix") > 0)
+    found = _drawn(_sized(docs, source, text, key), own, weights, share, most, shards, seed, (F.xxhash64(text),)).where(F.size("draws_of_mix") > 0)
     rows = found.select(*own.columns, F.explode("draws_of_mix").alias("draw_of_mix"))
     words = F.col("draw_of_mix.words")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(SPACED_WORD_PATTERN), F.lit(0)), F.lit(1), words.cast("int")), "")
