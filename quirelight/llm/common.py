@@ -63,6 +63,8 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
             # Slices keep a batch of very long texts from being expanded at once.
             for start, stop in slices(batch, 8 << 20):
                 yield kernel(batch.slice(start, stop - start))
+        # Workers are used again by other stages; what this one no longer needs goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

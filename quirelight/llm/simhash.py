@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -98,13 +97,13 @@ def _tiles(distinct: DataFrame) -> DataFrame:
     number = F.coalesce(*cuts) if cuts else F.lit(0)
     dealt = distinct.select("fp", number.alias("tile")).groupBy("tile")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["fp"].to_numpy().view(np.uint64)
+    def pack(table: pa.Table) -> pa.Table:
+        own = table.column("fp").to_numpy().view(np.uint64)
         bits = np.bitwise_count(own)
         own = own[np.lexsort((own, bits))]
-        return pd.DataFrame({"tile": [int(pdf["tile"].iloc[0])], "least": [int(bits.min())], "most": [int(bits.max())], "body": [own.tobytes()]})
+        return pa.table({"tile": table.column("tile").slice(0, 1), "least": pa.array([int(bits.min())], pa.int32()), "most": pa.array([int(bits.max())], pa.int32()), "body": pa.array([own.tobytes()], pa.binary())})
 
-    return dealt.applyInPandas(pack, "tile int, least int, most int, body binary")
+    return dealt.applyInArrow(pack, "tile int, least int, most int, body binary")
 
 
 def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
