@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from quirelight.llm.common import map_batches, texts
 
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Words longer than this are encoded but not remembered.
 CACHE_CHARS = 48
 SHIFT = 20
