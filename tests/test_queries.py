@@ -40,6 +40,13 @@ def test_entry_imports_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_entry_runs(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 200
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_self_joins_have_equality_keys(spark):
     for name in ("headfoot_pairs", "page_numbers"):
         physical = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
