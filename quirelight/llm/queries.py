@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import bpe, embeddings, exact_dedup, line_dedup, lm, mixing, quality, simhash, suffix_dedup, token_counts
+from quirelight.llm import bpe, embeddings, exact_dedup, line_dedup, lm, mixing, quality, quality_rules, quality_rules_sql, simhash, suffix_dedup, token_counts, vector_codes, vector_codes_sql, whitening
 from quirelight.llm.common import table
 
 
@@ -62,8 +62,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_suffix_dedup, op3_mix_sources, op4_exact_dedup, op5_line_dedup, op6_lm_scores, op7_section_tokens, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_quality_classifier)}
+    found = (
+        op1_bpe_round_trip, op2_suffix_dedup, op3_mix_sources, op4_exact_dedup, op5_line_dedup, op6_lm_scores, op7_section_tokens,
+        op8_embedding_near_dedup, op9_simhash_near_dedup, op10_quality_classifier, op11_whiten_embeddings, op12_quality_rules, op13_vector_codes,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: White space and words as RE2 classes.
@@ -93,4 +109,4 @@ FROM m GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op5_line_dedup": _OP5}
+    return {"op4_exact_dedup": _OP4, "op5_line_dedup": _OP5, "op12_quality_rules": quality_rules_sql.SQL, "op13_vector_codes": vector_codes_sql.SQL}
