@@ -140,7 +140,7 @@ def test_whitening_edge_cases(spark):
 
     rows = [(i, rng.normal(size=6).tolist(), 0) for i in range(60)]
     odd = [(100, None, 1), (101, [None] * 6, 1), (102, [float("nan")] * 6, None), (103, [float("inf")] * 6, None), (105, [], 2)]
-    df = frame(spark, rows + odd + [(7, rows[3][1], None), (None, rows[3][1], None)]).withColumns({c: F.lit(1) for c in ("component", "n", "_key", "_x", "i", "values")})
+    df = frame(spark, rows + odd + [(7, rows[7][1], None), (None, rows[3][1], None)]).withColumns({c: F.lit(1) for c in ("component", "n", "_key", "_x", "i", "values")})
     check_whitened(spark, df, whitening.whiten(df))
     # Another length takes no part.
     longer = df.select("vec_id", "embedding").unionAll(spark.createDataFrame([(500, [1.0] * 9)], "vec_id long, embedding array<double>"))
