@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,3 +46,35 @@ def dealt_again(grouped: DataFrame, *keys: str) -> DataFrame:
     dealt out takes over its partitions, and then adaptive execution can neither split a frequent key
     of the other side nor broadcast a small side; with new keys both sides are dealt out by the join."""
     return grouped.withColumns({k: F.concat(F.col(k), F.lit("")) for k in keys})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a new one on a single machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="ckpt-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in a new folder of the session's shared folder, for branches that each read some of its
+    columns. ``forget`` removes it when they are done."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Lineage cut through a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table made by ``written``."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

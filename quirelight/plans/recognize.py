@@ -6,6 +6,10 @@ titles with authors may stand, as small lists; a second pass decides among these
 about the names in them has been joined. Identifiers are regular expressions in the JVM, and
 registries are equi-joins on keys, so that no document meets another.
 
+The facts are written as Parquet, of which each branch reads the columns it needs. Titles that may be
+looked up are tested in the pass against a filter of the registry's titles, so that hardly any other is
+written or shuffled.
+
 Rows are told apart by a key of their own, which the pass's written result fixes; ``doc_id`` is
 carried along, may repeat or be null, and joins nothing. A malformed payload keeps its row, with
 ``malformed`` set.
@@ -14,18 +18,19 @@ carried along, may repeat or be null, and joins nothing. A malformed payload kee
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import identifiers, jstor
-from quirelight.functions.text import normalize, normalize_text, trim_title
+from quirelight.functions.text import normalize_text, trim_title
 from quirelight.operators import document, lookup
-from quirelight.operators.rows import map_rows
+from quirelight.operators.filters import KeyFilter
+from quirelight.operators.rows import map_rows, written
+from quirelight.sources.registries import Prepared, prepare
 from quirelight.sources.requests import MAX_PAGES, MAX_TITLE_BYTES, RESULT_FIELDS
 
-_FACTS = """doc_id long, malformed boolean, total_pages int, meta_title string, jstor_text string, text string, norm_text string,
+_FACTS = """doc_id long, malformed boolean, total_pages int, meta_title string, meta_key string, jstor_text string, text string, norm_text string,
     abstract string, pages string, headfoot string, candidates array<string>, names array<string>,
     heads array<struct<text:string,options:array<struct<in_row:array<int>,in_face:array<int>>>>>,
     evidence array<array<array<struct<names:array<string>,marked:boolean>>>>"""
@@ -58,7 +63,8 @@ def heads_of_document(pages: list[document.Page], start: int) -> tuple[list[docu
     return heads, evidence
 
 
-def _facts(doc_id: int, body: str | None) -> dict:
+def _facts(doc_id: int, body: str | None, registered: KeyFilter | None = None) -> dict:
+    may_have = registered.may_have if registered else lambda key: True
     found, raw = load(body)
     meta, total = found.get("metadata"), found.get("totalPages")
     row = {"doc_id": doc_id, "malformed": "pages" not in found}
@@ -67,45 +73,39 @@ def _facts(doc_id: int, body: str | None) -> dict:
     total = total if type(total) is int and abs(total) < 1 << 31 else 0
     pages = document.parse_pages(raw, MAX_PAGES)
     title = meta.get("Title") if isinstance(meta, dict) else None
+    title = title if isinstance(title, str) and len(title.encode()) <= MAX_TITLE_BYTES else None
+    key = normalize_text(title) if title else None
     text = document.document_text(pages, total)
     start, span = document.page_range(pages, total)
     heads, evidence = heads_of_document(pages, start)
     names = {normalize_text(n) for block in evidence for line in block for author in line for n in author.names if len(n.encode()) > 1}
     return row | {
         "total_pages": total,
-        "meta_title": title if isinstance(title, str) and len(title.encode()) <= MAX_TITLE_BYTES else None,
+        "meta_title": title,
+        "meta_key": key if key and may_have(key) else None,
         "jstor_text": document.jstor_text(pages[0], jstor.URL_PREFIX),
         "text": text,
         "norm_text": normalize_text(text),
         "abstract": document.abstract(pages),
         "pages": span,
         "headfoot": document.headfoot_text(pages),
-        "candidates": document.title_candidates(pages),
+        # Places in the list tell the last hit, so that titles which cannot be registered leave a gap.
+        "candidates": [c if may_have(c) else None for c in document.title_candidates(pages)],
         "names": sorted(names - {""}),
         "heads": [{"text": h.text, "options": [{"in_row": a, "in_face": b} for a, b in h.options]} for h in heads],
         "evidence": [[[a._asdict() for a in line] for line in block] for block in evidence],
     }
 
 
-def facts(payloads: DataFrame) -> DataFrame:
-    """What a payload (doc_id, body) tells without any registry."""
-    return map_rows(payloads.select(F.col("doc_id").cast("long"), F.col("body").cast("string")), _facts, _FACTS)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written once to the session's shared checkpoint folder, as many branches read it."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+def facts(payloads: DataFrame, registered: KeyFilter | None = None) -> DataFrame:
+    """What a payload (doc_id, body) tells without any registry; titles that ``registered`` cannot have are left out."""
+    shared = payloads.sparkSession.sparkContext.broadcast(registered)
+    return map_rows(payloads.select(F.col("doc_id").cast("long"), F.col("body").cast("string")), lambda doc_id, body: _facts(doc_id, body, shared.value), _FACTS)
 
 
-def known_facts(payloads: DataFrame) -> DataFrame:
-    """``facts`` with a key for each ``row``, written once, so that the keys stay as they are."""
-    return _cut(facts(payloads).withColumn("row", F.monotonically_increasing_id()))
+def known_facts(payloads: DataFrame, registered: KeyFilter | None = None) -> DataFrame:
+    """``facts`` with a key for each ``row``, written once to the shared folder, so that the keys stay as they are."""
+    return written(facts(payloads, registered).withColumn("row", F.monotonically_increasing_id()), "facts")
 
 
 def _titled(row: int, heads: list, evidence: list, types: list | None) -> dict:
@@ -130,23 +130,30 @@ def titles(known: DataFrame, words: DataFrame) -> DataFrame:
 
 def recognize(payloads: DataFrame, registry: DataFrame, journals: DataFrame, words: DataFrame) -> DataFrame:
     """One row per payload (doc_id, body): ``doc_id, malformed`` and the result fields."""
-    return recognized(known_facts(payloads), registry, journals, words)
+    return recognize_with(payloads, prepare(registry, journals, words))
+
+
+def recognize_with(payloads: DataFrame, registries: Prepared) -> DataFrame:
+    """``recognize`` with registries that are written already."""
+    return recognized(known_facts(payloads, registries.registered), registries)
 
 
-def recognized(known: DataFrame, registry: DataFrame, journals: DataFrame, words: DataFrame) -> DataFrame:
+def recognized(known: DataFrame, registries: Prepared) -> DataFrame:
     """The results of ``known_facts``."""
     text, head = F.col("text"), F.col("headfoot")
     plain = jstor.parse_cover(F.col("jstor_text")).isNull() & (F.col("norm_text") != "")
     # The lookups name the row they are for doc_id.
     asked = known.where(plain).withColumn("doc_id", F.col("row"))
-    own_doi = lookup.extract_doi(asked.select("doc_id", "text"), registry)
-    meta = asked.where(F.col("meta_title").isNotNull()).select("doc_id", F.lit(-1).alias("cand"), normalize(F.col("meta_title")).alias("title_key"))
-    scanned = asked.select("doc_id", F.posexplode("candidates").alias("cand", "title_key"))
-    hits = lookup.lookup_titles(meta.unionAll(scanned), registry, asked.select("doc_id", "norm_text"))
+    matches = lookup.doi_matches(asked.select("doc_id", "text"))
+    looked = lookup.longest_prefix_by_length(matches, registries.dois, registries.lengths) if registries.bucketed else lookup.longest_registered_prefix(matches, registries.dois)
+    own_doi = lookup.doi_of_matches(looked)
+    meta = asked.where("meta_key IS NOT NULL").select("doc_id", F.lit(-1).alias("cand"), F.col("meta_key").alias("title_key"))
+    scanned = asked.select("doc_id", F.posexplode("candidates").alias("cand", "title_key")).where("title_key IS NOT NULL")
+    hits = lookup.confirmed_titles(meta.unionAll(scanned), registries.titles, asked.select("doc_id", "norm_text"))
     # Of the scanned titles the last hit counts.
     by_title = hits.groupBy("doc_id").agg(F.max(F.when(F.col("cand") < 0, F.col("doi"))).alias("doi_meta"), F.max_by("doi", F.when(F.col("cand") >= 0, F.col("cand"))).alias("doi_title"))
-    journal = lookup.last_journal(asked.select("doc_id", head.alias("text")), journals)
-    named = titles(known.where(plain), words).withColumnRenamed("title", "t_title").withColumnRenamed("authors", "t_authors")
+    journal = lookup.last_journal(asked.select("doc_id", head.alias("text")), registries.journals)
+    named = titles(known.where(plain), registries.words).withColumnRenamed("title", "t_title").withColumnRenamed("authors", "t_authors")
 
     base = known.select(
         "row", "doc_id", "malformed", "abstract", "pages", "meta_title", F.coalesce(plain, F.lit(False)).alias("plain"), jstor.parse_cover(F.col("jstor_text")).alias("j"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quirelight.carriers import LAYOUT_SQL, layout_words, table
 from quirelight.functions import identifiers, jstor, text
 from quirelight.operators import layout, lookup, pages
+from quirelight.operators.rows import written
 from quirelight.registered import ORACLES, QUERIES, query  # noqa: F401
 from quirelight.sources import registries
 
@@ -452,6 +453,7 @@ def title_lookup(spark, sf_dir):
     lines = F.split(F.col("text"), "\n")
     norm = lambda c: text.normalize(c)
     d = _docs(spark, sf_dir).select("doc_id", norm(F.col("text")).alias("norm_text"), norm(F.element_at(lines, 1)).alias("title_key"), norm(F.element_at(lines, -1)).alias("author1_key"), norm(F.try_element_at(lines, F.lit(2))).alias("author2_key"))
+    d = written(d, "titles")  # normalised once
     registry = d.select("title_key", "author1_key", "author2_key", F.concat(F.lit("10.5555/d"), F.col("doc_id").cast("string")).alias("doi"), F.col("doc_id").alias("ord"))
     return lookup.lookup_titles(d.select("doc_id", F.lit(0).alias("cand"), "title_key"), registry, d.select("doc_id", "norm_text"))
 

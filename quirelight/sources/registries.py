@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelight.functions.identifiers import LONG_DOI
+from quirelight.operators import lookup
+from quirelight.operators.filters import KeyFilter, key_filter
+from quirelight.operators.rows import dealt_again, shared_folder, written
+
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """``title_key, author1_key, author2_key, doi, ord``: keys are normalised texts."""
@@ -17,7 +25,7 @@ def read_journals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def journal_set(names: DataFrame) -> DataFrame:
-    return names.select("name_key").where("name_key IS NOT NULL").dropDuplicates(["name_key"])
+    return dealt_again(names.select("name_key").where("name_key IS NOT NULL").dropDuplicates(["name_key"]), "name_key")
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -26,4 +34,42 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def word_counts(words: DataFrame) -> DataFrame:
     """``word_key, a, b, c``; counts of rows with one key add up."""
-    return words.where("word_key IS NOT NULL").groupBy("word_key").agg(*(F.sum(c).cast("long").alias(c) for c in "abc"))
+    return dealt_again(words.where("word_key IS NOT NULL").groupBy("word_key").agg(*(F.sum(c).cast("long").alias(c) for c in "abc")), "word_key")
+
+
+@dataclass
+class Prepared:
+    """Registries as the recognition asks for them, each written once.
+
+    ``titles`` has entries of unambiguous titles only, ``dois`` distinct DOIs short enough to be looked up,
+    ``journals`` and ``words`` one row a key. ``lengths`` are those of the DOIs. ``bucketed`` tables lie in the
+    partitions that joins on their key ask for, so that no join moves them: right for many small batches against large
+    registries. Else joins deal them out, and adaptive execution can split keys that one large batch has very often."""
+
+    titles: DataFrame
+    dois: DataFrame
+    journals: DataFrame
+    words: DataFrame
+    lengths: list[int]
+    registered: KeyFilter
+    bucketed: bool
+
+
+def _bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def prepare(titles: DataFrame, journals: DataFrame, words: DataFrame, buckets: int | None = None) -> Prepared:
+    """``titles`` as of ``read_titles``, ``journals`` a set of names, ``words`` counts by key. With ``buckets`` the
+    tables are bucketed; the number should be near the shuffle partitions of the batches."""
+
+    def put(df: DataFrame, key: str, name: str) -> DataFrame:
+        return _bucketed(df, key, name, buckets) if buckets else written(df, name)
+
+    clear = put(lookup.clear_titles(titles), "title_key", "titles")
+    dois = put(titles.select("doi").where(F.octet_length("doi") < LONG_DOI).distinct(), "doi", "dois")
+    lengths = [r[0] for r in dois.select(F.length("doi").alias("n")).distinct().collect()]  # 63 at most
+    return Prepared(clear, dois, put(journals, "name_key", "journals"), put(words, "word_key", "words"), lengths, key_filter(clear, "title_key"), bool(buckets))

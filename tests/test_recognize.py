@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from quirelight.functions import text
 from quirelight.operators import lookup
 from quirelight.plans.recognize import facts, known_facts, recognize, recognized
 from quirelight.sources import requests
+from quirelight.sources.registries import prepare
 from quirelight.streaming.recognize import read_stream, recognize_stream
 
 
@@ -67,7 +69,7 @@ def test_rows_are_told_apart_whatever_their_ids(spark):
 def test_bodies_are_neither_shuffled_nor_parsed_twice(spark):
     rows = spark.createDataFrame([(1, payload(block("Ann", 10)))], "doc_id long, body string")
     assert "Exchange" not in facts(rows)._jdf.queryExecution().executedPlan().toString()
-    rest = recognized(known_facts(rows), *registries(spark))._jdf.queryExecution().optimizedPlan().toString()
+    rest = recognized(known_facts(rows), prepare(*registries(spark)))._jdf.queryExecution().optimizedPlan().toString()
     assert "body" not in rest
 
 
@@ -144,5 +146,68 @@ def test_files_and_stream(spark, tmp_path):
     assert requests.read_payloads(spark, str(source)).count() == 2
     query = recognize_stream(read_stream(spark, str(source)), *registries(spark), out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"), once=True)
     query.awaitTermination(180)
+    # What was sent in an earlier batch gives no second result; what is new does.
+    (source / "c.json").write_text(payload(block("Ann", 10)))
+    (source / "d.json").write_text(payload(block("Cy", 10)))
+    query = recognize_stream(read_stream(spark, str(source)), *registries(spark), out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"), once=True)
+    query.awaitTermination(180)
     out = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(out) == 2 and all(json.loads(r.result)["type"] == "journal-article" for r in out)
+    assert len(out) == 3 and all(json.loads(r.result)["type"] == "journal-article" for r in out)
+
+
+def test_bucketed_registries_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(1, payload(block("written by Brown as all know", 300), title="A Study of Pages")), (2, payload(block("A Longer Study of the Printed Page", 100, 20), block("Ann Brown, Bob Lee", 140, 12), block("doi:10.1000/tuv", 300)))], "doc_id long, body string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        prepared = prepare(*registries(spark), buckets=4)
+        known = known_facts(rows, prepared.registered)
+        found = recognized(known, prepared)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        results = {r.doc_id: r.doi for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert results == {1: "10.1000/t", 2: "10.1000/tuv"}  # a registered DOI of nine bytes is not trusted
+    # Below an exchange stands a scan of the facts, never one of a registry.
+    lines = [(m.end(), x) for x in plan.split("\n") if (m := re.match(r"[ :]*[+:]- ", x))]
+    scans = [i for i, (_, x) in enumerate(lines) if re.search("FileScan parquet spark_catalog.*(dois|journals|words)_", x)]
+    assert len(scans) == 3  # hits of titles are written before
+    for i in scans:
+        at, above = lines[i][0], []
+        for depth, x in reversed(lines[:i]):
+            if depth < at:
+                at = depth
+                above.append(x)
+        joins = next(k for k, x in enumerate(above) if "Join" in x)
+        assert not any("Exchange" in x for x in above[:joins])
+
+
+def test_longest_prefixes_are_merged_in_order(spark):
+    """Against all prefixes of each match, with ranges so narrow that prefixes fall into earlier ones."""
+    import random
+
+    rng = random.Random(4)
+    text_ = lambda n: "10." + "".join(rng.choice("ab/é") for _ in range(n))
+    dois = sorted({text_(rng.randrange(1, 9)) for _ in range(150)}) + ["10.", "10.a", None]
+    rows = [(i % 40, i, rng.choice([text_(rng.randrange(1, 14)), (rng.choice(dois) or "11.").upper() + "Q", "10.A" + "b" * 70])) for i in range(600)] + [(None, 0, "10.aaa")] * 3
+    registry = spark.createDataFrame([(d,) for d in dois], "doi string").repartition(3)
+    matches = spark.createDataFrame(rows, "doc_id long, match_no int, match string").repartition(3)
+    ascii_ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = lambda m: m.translate(ascii_)
+    best = lambda m: max((d for d in dois if d and len(low(m).encode()) < 64 and low(m).startswith(d)), key=len, default=None)
+    expected = sorted((str(i), n, m, str(best(m))) for i, n, m in rows)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lookup.longest_registered_prefix(matches, registry).collect()
+        # One row of each match and DOI is dealt out.
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((str(r.doc_id), r.match_no, r.match, str(r.doi)) for r in found) == expected
+    lengths = sorted({len(d) for d in dois if d})
+    by_length = lookup.longest_prefix_by_length(matches.where("doc_id IS NOT NULL"), registry, lengths).collect()
+    assert sorted((str(r.doc_id), r.match_no, r.match, str(r.doi)) for r in by_length) == [x for x in expected if x[0] != "None"]
