@@ -17,8 +17,6 @@ carried along, may repeat or be null, and joins nothing. A malformed payload kee
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +25,7 @@ from quirelight.functions.text import normalize_text, trim_title
 from quirelight.operators import document, lookup
 from quirelight.operators.filters import KeyFilter
 from quirelight.operators.rows import map_rows, written
+from quirelight.sources import requests
 from quirelight.sources.registries import Prepared, prepare
 from quirelight.sources.requests import MAX_PAGES, MAX_TITLE_BYTES, RESULT_FIELDS
 
@@ -37,20 +36,9 @@ _FACTS = """doc_id long, malformed boolean, total_pages int, meta_title string,
 _AUTHORS = "array<struct<firstName:string,lastName:string>>"
 
 
-def _refused(constant: str):
-    raise ValueError(constant)
-
-
 def load(body: str | None) -> tuple[dict, list]:
-    """The JSON object of a request and its pages; both empty if there is none. NaN, infinities and halves
-    of surrogate pairs are no JSON."""
-    try:
-        found = json.loads(body or "", parse_constant=_refused)
-        if "\\ud" in (body or "").lower():
-            json.dumps(found, ensure_ascii=False).encode()
-    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
-        found = None
-    found = found if isinstance(found, dict) else {}
+    """The JSON object of a request and its pages; both empty if there is none."""
+    found = requests.load(body) or {}
     pages = found.get("pages")
     return found, pages if isinstance(pages, list) else []
 

@@ -6,6 +6,8 @@ so that SQL can state what the rules must find in each variant of the layout.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,22 @@ def words(spark, sf_dir):
     return decoded.select(*_WORD_COLUMNS.split(", "))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2) THEN NULL ELSE 9 END::INT AS total_pages, CASE WHEN doc_id % 7 IN (1, 2, 4) THEN NULL ELSE 'Title ' || doc_id END AS meta_title,
-  doc_id % 7 IN (1, 2, 3) AS malformed, doc_id % 7 NOT IN (1, 2) AS complete FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 12 IN (1, 2, 5, 9) THEN NULL WHEN doc_id % 12 = 6 THEN 4 WHEN doc_id % 12 IN (7, 10) THEN 0 ELSE 9 END::INT AS total_pages,
+  CASE WHEN doc_id % 12 IN (1, 2, 4, 5, 8, 9) THEN NULL ELSE 'Title ' || doc_id END AS meta_title,
+  doc_id % 12 IN (1, 2, 3, 5) AS malformed, doc_id % 12 NOT IN (1, 2, 5, 9) AS complete FROM documents""")
 def parse_requests(spark, sf_dir):
-    """Requests cut in half, of a list, without pages, and with a title that is too long."""
+    """Requests cut in half, in a list, without pages, with too long a title, with text after them, with a key
+    given twice, and with values of other kinds."""
 
     def row(doc_id, text):
-        title = f"Title {doc_id}" if doc_id % 7 != 4 else "x" * (requests.MAX_TITLE_BYTES + 1)
-        body = request([[blocks] for blocks in layout_pages(doc_id % 3, words_of(text))], title)
-        return {1: body[: len(body) // 2], 2: f"[{body}]", 3: body.replace('"pages"', '"sheets"')}.get(doc_id % 7, body)
+        kind = doc_id % 12
+        title = f"Title {doc_id}" if kind != 4 else "x" * (requests.MAX_TITLE_BYTES + 1)
+        sent = json.loads(request([[blocks] for blocks in layout_pages(doc_id % 3, words_of(text))], title))
+        sent |= {7: {"totalPages": 3.0}, 8: {"metadata": {"Title": 7}}, 9: {"metadata": None}, 10: {"totalPages": "3"}}.get(kind, {})
+        if kind == 3:
+            sent["sheets"] = sent.pop("pages")
+        body = json.dumps(sent)
+        return {1: body[: len(body) // 2], 2: f"[{body}]", 5: body + " x", 6: body[:-1] + ', "totalPages": 4}', 11: body + " \n"}.get(kind, body)
 
     return requests.parse(composed(_docs(spark, sf_dir), row, "text")).select("doc_id", "total_pages", "meta_title", "malformed", "complete")
 

@@ -39,12 +39,12 @@ def word_counts(words: DataFrame) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """Registries as the recognition asks for them, each written once.
+    """Registries as the recognition asks for them.
 
-    ``titles`` has entries of unambiguous titles only, ``dois`` distinct DOIs short enough to be looked up,
-    ``journals`` and ``words`` one row a key. ``lengths`` are those of the DOIs. ``bucketed`` tables lie in the
-    partitions that joins on their key ask for, so that no join moves them: right for many small batches against large
-    registries. Else joins deal them out, and adaptive execution can split keys that one large batch has very often."""
+    ``titles`` has entries of unambiguous titles only, ``journals`` and ``words`` one row a key. ``bucketed`` tables
+    are written in the partitions that joins on their key ask for, so that no join moves them: right for many small
+    batches against large registries; ``dois`` are then distinct and ``lengths`` theirs. Else joins deal tables out,
+    and adaptive execution can split keys that one large batch has very often."""
 
     titles: DataFrame
     dois: DataFrame
@@ -66,10 +66,12 @@ def prepare(titles: DataFrame, journals: DataFrame, words: DataFrame, buckets: i
     """``titles`` as of ``read_titles``, ``journals`` a set of names, ``words`` counts by key. With ``buckets`` the
     tables are bucketed; the number should be near the shuffle partitions of the batches."""
 
-    def put(df: DataFrame, key: str, name: str) -> DataFrame:
-        return _bucketed(df, key, name, buckets) if buckets else written(df, name)
-
+    if not buckets:
+        # Each of the others is read by one join, or by one scan.
+        clear = written(lookup.clear_titles(titles), "titles")
+        return Prepared(clear, titles.select("doi"), journals, words, [], key_filter(clear, "title_key"), False)
+    put = lambda df, key, name: _bucketed(df, key, name, buckets)
     clear = put(lookup.clear_titles(titles), "title_key", "titles")
     dois = put(titles.select("doi").where(F.octet_length("doi") < LONG_DOI).distinct(), "doi", "dois")
     lengths = [r[0] for r in dois.select(F.length("doi").alias("n")).distinct().collect()]  # 63 at most
-    return Prepared(clear, dois, put(journals, "name_key", "journals"), put(words, "word_key", "words"), lengths, key_filter(clear, "title_key"), bool(buckets))
+    return Prepared(clear, dois, put(journals, "name_key", "journals"), put(words, "word_key", "words"), lengths, key_filter(clear, "title_key"), True)

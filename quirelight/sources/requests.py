@@ -5,60 +5,138 @@ Malformed payloads (no JSON object) keep their row, with ``malformed`` set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_PAGES = 5
 MAX_TITLE_BYTES = 1024
 KEYS = ("page_no", "flow_no", "block_no", "line_no", "word_no")
 
 
+def _refused(constant: str):
+    raise ValueError(constant)
+
+
+def load(body: str | None) -> dict | None:
+    """The JSON object of a request; None if there is none. NaN, infinities and halves of surrogate
+    pairs are no JSON."""
+    try:
+        found = json.loads(body or "", parse_constant=_refused)
+        if "\\ud" in (body or "").lower():
+            json.dumps(found, ensure_ascii=False).encode()
+    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
+        found = None
+    return found if isinstance(found, dict) else None
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One payload a file; gzip is told by the suffix. ``doc_id`` is a hash of the file's name."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("body"))
 
 
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _is_number(v: Column) -> Column:
+    """Fractions and integers up to 10**15 either way; others count as 0 (see ``document``)."""
+    return _kind(v).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+
+
+def _get(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _number(v: Column) -> Column:
+    n = F.try_variant_get(v, "$", "double")
+    whole = _kind(v).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))")
+    return F.coalesce(F.when(_is_number(v) & (~whole | (F.abs(n) < 1e15)), n), F.lit(0.0))
+
+
+def _whole(v: Column) -> Column:
+    """An integer that is written as one; a fraction, a truth value or a text counts as 0."""
+    return F.coalesce(F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "long")), F.lit(0).cast("long"))
+
+
+def _text(v: Column) -> Column:
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def parse(payloads: DataFrame) -> DataFrame:
-    """``doc_id, total_pages, meta_title, pages`` (a variant), ``malformed``."""
-    parsed = payloads.select("doc_id", F.try_parse_json("body").alias("v"))
-    field = lambda path, kind: F.try_variant_get("v", path, kind)
-    title = field("$.metadata.Title", "string")
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    """``doc_id, total_pages, meta_title, pages`` (a variant), ``complete``, ``malformed``.
+
+    The rules are those of ``plans.recognize.load`` and ``operators.document.parse_pages``: a body is one JSON object
+    and white space, of equal keys the last counts, values have the kind they are written in (no number is read
+    from a text), and what has another kind counts as 0 or as nothing."""
+    parsed = payloads.select("doc_id", parsed_body(F.col("body")).alias("v"))
+    title = _text(_get(F.col("v"), "$.metadata.Title"))
+    is_object = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
+    filled = lambda path: is_object & _get(F.col("v"), path).isNotNull() & ~F.coalesce(F.is_variant_null(_get(F.col("v"), path)), F.lit(True))
+    total = _whole(_get(F.col("v"), "$.totalPages"))
+    complete = filled("$.metadata") & filled("$.totalPages")
     return parsed.select(
         "doc_id",
-        field("$.totalPages", "int").alias("total_pages"),
+        F.when(complete, F.when(F.abs(total) < 1 << 31, total).otherwise(0)).cast("int").alias("total_pages"),
         F.when(F.octet_length(title) <= MAX_TITLE_BYTES, title).alias("meta_title"),
-        field("$.pages", "variant").alias("pages"),
-        (field("$.metadata", "variant").isNotNull() & field("$.totalPages", "int").isNotNull()).alias("complete"),
-        (~is_object | field("$.pages", "variant").isNull()).alias("malformed"),
+        F.when(is_object, _get(F.col("v"), "$.pages")).alias("pages"),
+        complete.alias("complete"),
+        (~is_object | (is_object & _get(F.col("v"), "$.pages").isNull())).alias("malformed"),
     )
 
 
+@F.pandas_udf(StringType())
+def _plain(texts: pd.Series) -> pd.Series:
+    def one(body):
+        found = load(body)
+        return None if found is None else json.dumps(found, ensure_ascii=False)
+
+    return texts.map(one, na_action="ignore")
+
+
+def parsed_body(body: Column) -> Column:
+    """A body as a variant, NULL if it is no request. The JVM's reader stops at the end of a value, whatever follows;
+    inside an object with a mark at its end it reads the whole body or fails. What it refuses (a key given
+    twice, say, or very deep nesting) and halves of surrogate pairs are left to ``load``, whose objects it reads again."""
+    wrapped = lambda c: F.try_parse_json(F.concat(F.lit('{"body":'), c, F.lit(',"end":true}')))
+    whole = lambda v: F.when(F.try_variant_get(v, "$.end", "boolean"), _get(v, "$.body"))
+    sure = ~F.contains(F.lower(body), F.lit("\\ud")) & F.coalesce(F.try_variant_get(wrapped(body), "$.end", "boolean"), F.lit(False))
+    return whole(wrapped(F.when(sure, body).otherwise(_plain(F.when(~F.coalesce(sure, F.lit(False)), body)))))
+
+
+def _exploded(rows: DataFrame, array: Column, keep: list[str], position: str) -> DataFrame:
+    """One row for each element of a variant that is an array; none for other kinds."""
+    own = F.when(_kind(array).startswith("ARRAY"), array)
+    return rows.withColumn("_array", own).where("_array IS NOT NULL").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_array").outer())).select(*keep, F.col("pos").alias(position), F.col("value").alias("_value"))
+
+
 def decode_pages(parsed: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
     """``doc_id, page_no, width, height, flows``; pages without words keep their row."""
-    parsed.createOrReplaceTempView("parsed_of_requests")
-    pages = parsed.sparkSession.sql("""
-        SELECT doc_id, p.pos AS page_no, try_variant_get(p.value, '$[0]', 'double') AS width,
-               try_variant_get(p.value, '$[1]', 'double') AS height, try_variant_get(p.value, '$[2]', 'variant') AS flows
-        FROM parsed_of_requests, LATERAL variant_explode(pages) p""")
+    pages = _exploded(parsed.select("doc_id", "pages"), F.col("pages"), ["doc_id"], "page_no")
+    at = lambda i: _get(F.col("_value"), f"$[{i}]")
+    pages = pages.select("doc_id", "page_no", _number(at(0)).alias("width"), _number(at(1)).alias("height"), at(2).alias("flows"))
     return pages.where(F.col("page_no") < max_pages) if max_pages else pages
 
 
 def decode_words(parsed: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-    """The canonical ``words`` table: reading-order keys, geometry, typography, text."""
-    decode_pages(parsed, max_pages).createOrReplaceTempView("pages_of_requests")
-    number = lambda i, name: f"try_variant_get(w.value, '$[{i}]', 'double') AS {name}"
-    return parsed.sparkSession.sql(f"""
-        SELECT doc_id, page_no, f.pos AS flow_no, b.pos AS block_no, l.pos AS line_no, w.pos AS word_no,
-               {number(0, "x_min")}, {number(1, "y_min")}, {number(2, "x_max")}, {number(3, "y_max")}, {number(4, "font_size")},
-               coalesce(try_variant_get(w.value, '$[5]', 'int'), 0) <> 0 AS space, {number(6, "baseline")},
-               coalesce(try_variant_get(w.value, '$[9]', 'int'), 0) <> 0 AS bold,
-               coalesce(try_variant_get(w.value, '$[12]', 'int'), 0) AS font, try_variant_get(w.value, '$[13]', 'string') AS text
-        FROM pages_of_requests, LATERAL variant_explode(flows) f,
-             LATERAL variant_explode(try_variant_get(f.value, '$[0]', 'variant')) b,
-             LATERAL variant_explode(try_variant_get(b.value, '$[4]', 'variant')) l,
-             LATERAL variant_explode(try_variant_get(l.value, '$[0]', 'variant')) w""")
+    """The canonical ``words`` table: reading-order keys, geometry, typography, text. Values that a word lacks
+    count as 0 or as an empty text."""
+    keys: list[str] = ["doc_id", "page_no"]
+    rows, array = decode_pages(parsed, max_pages).select(*keys, "flows"), F.col("flows")
+    for name, path in (("flow_no", "$[0]"), ("block_no", "$[4]"), ("line_no", "$[0]"), ("word_no", None)):
+        rows = _exploded(rows, array, keys, name)
+        keys = [*keys, name]
+        if path:
+            array = _get(F.col("_value"), path)
+    at = lambda i: F.when(_kind(F.col("_value")).startswith("ARRAY"), _get(F.col("_value"), f"$[{i}]"))
+    return rows.select(
+        *keys, *(_number(at(i)).alias(c) for i, c in enumerate(("x_min", "y_min", "x_max", "y_max", "font_size"))),
+        (_whole(at(5)) != 0).alias("space"), _number(at(6)).alias("baseline"), (_whole(at(9)) != 0).alias("bold"), _whole(at(12)).cast("int").alias("font"), F.coalesce(_text(at(13)), F.lit("")).alias("text"),
+    )
 
 
 def authors_struct(col):

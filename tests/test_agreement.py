@@ -63,3 +63,44 @@ def test_block_rules_agree(spark, decoded):
             for n, b in enumerate(page.blocks):
                 t = b.text()
                 assert found[k, p, n] == (document.separated(page.blocks, n), document.shadowed(page.blocks, n), document.alphabetic_percent(t), document._simple_heading(t), document._structured_heading(t))
+
+
+def _odd_bodies():
+    """Bodies on which JSON readers disagree: the rule is the same for tables and for the plan."""
+    word = [0, 0, 9, 10, 10, 1, 8, 0, 0, 0, 0, 0, 3, "word"]
+
+    def body(total="9", meta='{"Title": "A title"}', word=word, pages=None, extra=""):
+        import json
+
+        page = json.dumps(pages if pages is not None else [[612, 792, [[[[0, 0, 9, 10, [[[word]]]]]]]]])
+        return f'{{"metadata": {meta}, "totalPages": {total}, "pages": {page}{extra}}}'
+
+    changed = lambda **at: [at.get(f"w{i}", v) for i, v in enumerate(word)]
+    return [
+        body(), body() + " \n", body() + "x", body() + " {}", body() + "}", body() + "]}", body() + ', "end": true', body() + ', "end": true, "x": {}', " " + body(), body(extra=', "totalPages": 4'), body(extra=', "pages": []'), body("3.0"), body('"3"'), body("true"), body("null"),
+        body(meta='{"Title": 7}'), body(meta="null"), body(meta="7"), body(meta='{"Title": "a", "Title": "b"}'), body(meta='{"Title": "\\ud83d\\ude00"}'), body(meta='{"Title": "\\ud83d"}'), body(meta='{"Title": "NaN }{"}'),
+        body(word=changed(w13=5)), body(word=changed(w0="12")), body(word=changed(w12=1.7)), body(word=changed(w5=True)), body(word=changed(w4=None)), body(word=changed(w0=10**20)), body(word=changed(w0=1e20)),
+        body(word=[1, 2, 3]), body(word="x"), body(word=changed(w13="a\\n\"b")), body(pages={"0": 1}), body(pages=[7, [1], [1, 2, 3], ["5", None, []]]), body(pages=[]), body().replace("9", "NaN"), body("1e2"), body("-0"), "", "[]", "{}", "null", None,
+    ]
+
+
+def test_odd_bodies_agree(spark):
+    from quirelight.plans.recognize import _facts
+
+    sent = spark.createDataFrame(list(enumerate(_odd_bodies())), "doc_id long, body string")
+    parsed = requests.parse(sent)
+    heads = {r.doc_id: r for r in parsed.drop("pages").collect()}
+    sheets = {(r.doc_id, r.page_no): (r.width, r.height) for r in requests.decode_pages(parsed).collect()}
+    rows = {}
+    for r in requests.decode_words(parsed).collect():
+        rows.setdefault((r.doc_id, r.page_no), []).append((r.x_min, r.y_min, r.x_max, r.y_max, r.font_size, r.space, r.baseline, r.bold, r.font, r.text))
+    for i, body in enumerate(_odd_bodies()):
+        found, raw = load(body)
+        facts = _facts(i, body)
+        assert heads[i].malformed == facts["malformed"], body
+        assert heads[i].complete == (found.get("metadata") is not None and found.get("totalPages") is not None), body
+        if raw and heads[i].complete:
+            assert heads[i].total_pages == facts["total_pages"] and heads[i].meta_title == facts["meta_title"], body
+        own = document.parse_pages(raw)
+        assert {p: (x.width, x.height) for p, x in enumerate(own)} == {p: v for (k, p), v in sheets.items() if k == i}, body
+        assert {p: [tuple(w) for line in x.lines for w in line.words] for p, x in enumerate(own) if x.lines} == {p: v for (k, p), v in rows.items() if k == i}, body
