@@ -10,7 +10,8 @@ their parameters are averaged by the number of words, in the executors.
 
 The network's probability is the base that smooths exact counts, PRIOR occurrences of it in each
 context: the probability of a word is the mean of two estimates, by the counts of (left, word) and of
-(word, right) in all documents. The sum of its logarithms over a document is the document's score.
+(word, right) in all other documents. The sum of its logarithms over a document is the document's score. Texts that
+are not among the documents counted are scored by all of these.
 
 Documents are dealt by hash into blocks. A block asks once for each of its distinct words and
 pairs; equal keys meet in the part of their range, and totals go back to the block, which sums the
@@ -43,8 +44,8 @@ SIDE, DIMS = 2, 12
 ROUNDS, STEP, RATE = 2, 8192, 0.1
 #: Tasks that add up the parameters, or merge the most frequent words, of all others.
 ADDERS = 16
-#: Occurrences that the base distribution counts for in each context.
-PRIOR = 1.0
+#: Occurrences that the network's probability counts for in each context: it decides but for the commonest contexts.
+PRIOR = 128.0
 #: Bytes of text in a block, and of the corpus in a part of the counts; blocks and parts at least.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 #: The id of the outside of a text.
@@ -190,6 +191,11 @@ class Network:
         #: Sums of squared gradients.
         self.seen = {k: np.full(shape[:1] if k == "embed" else shape, 1e-6, np.float32) for k, shape in self.SHAPES.items()}
 
+    def copy(self) -> Network:
+        out = object.__new__(Network)
+        out.p, out.seen = ({k: v.copy() for k, v in x.items()} for x in (self.p, self.seen))
+        return out
+
     def packed(self) -> bytes:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES]).astype("<f4").tobytes()
 
@@ -286,8 +292,8 @@ def _trained(docs: DataFrame, text: str, top: np.ndarray, network: Network) -> N
         shared = context.broadcast((top, network))  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            top, own = shared.value
-            words = 0
+            top, start = shared.value
+            own, words = start.copy(), 0  # what is shared serves other tasks of this worker, too
             for batch in batches:
                 for part in _parts(batch):
                     ids, counts = word_slots(part)
@@ -347,19 +353,26 @@ class Block:
         part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
 
-    def values(self, model: Model, pair_n: np.ndarray, word_n: np.ndarray) -> np.ndarray:
-        """log P(word | left, right) of every word, by the corpus' counts of the block's keys."""
+    def values(self, model: Model, pair_n: np.ndarray, word_n: np.ndarray, counted: bool) -> np.ndarray:
+        """log P(word | left, right) of every word, by the corpus' counts of the block's keys. If the block's texts
+        are ``counted`` there, the occurrences in a word's own text are left out: what a text alone says of its words
+        proves nothing."""
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        own_n = _times(text, self.word_at) * counted
+        last_of, first_of = np.zeros(len(self.counts), np.int64), np.zeros(len(self.counts), np.int64)
+        last_of[text[self.last]], first_of[text[self.first]] = self.word_at[self.last], self.word_at[self.first]
         n, begins, ends = (x[self.word_at] for x in word_n)
+        n, begins, ends = n - own_n, begins - counted * (self.word_at == first_of[text]), ends - counted * (self.word_at == last_of[text])
         places = places_of(self.ids, model.top)
         occurrences, types = model.totals[:, places]
         share = np.where(places < OWN, 1.0, (n + 0.5) / (occurrences + 0.5 * (types + 1)))
         base = np.exp(model.network.logs(places, windows(places, self.counts))) * share
-        of_pair = pair_n[self.pair_at]
+        of_pair = pair_n[self.pair_at] - _times(np.concatenate([text, text[self.first]]), self.pair_at) * counted
         after = of_pair[: len(n)].astype(np.float64)
         before = np.concatenate([[0.0], after[:-1]])
         before[self.first] = of_pair[len(n) :]
         # How often the left neighbour has a word after it, and the right one a word before it.
-        outside = model.texts
+        outside = model.texts - counted
         of_left = np.concatenate([[0], (n - ends)[:-1]])
         of_left[self.first] = outside
         of_right = np.concatenate([(n - begins)[1:], [0]])
@@ -367,6 +380,15 @@ class Block:
         return np.log(0.5 * (before + PRIOR * base) / (of_left + PRIOR) + 0.5 * (after + PRIOR * base) / (of_right + PRIOR))
 
 
+def _times(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each value occurs in its own text."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    key = text * (int(at.max()) + 1) + at
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    return times[inverse]
+
+
 def _number(docs: DataFrame, text: str) -> int:
     size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
     return max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
@@ -503,7 +525,7 @@ def score(docs: DataFrame, model: Model | None = None, text: str = "text", key:
                 found = np.frombuffer(_opened(n), "<i8")
                 pair_n.append(found[:pairs])
                 word_n.append(found[pairs:].reshape(3, -1))
-            values = own.values(shared.value, np.concatenate(pair_n), np.concatenate(word_n, axis=1))
+            values = own.values(shared.value, np.concatenate(pair_n), np.concatenate(word_n, axis=1), same)
         ends = np.concatenate([[0.0], np.cumsum(values)])
         stop, n = np.cumsum(own.counts), own.counts
         total = ends[stop] - ends[stop - n]
