@@ -1,21 +1,21 @@
 """Operator 8: near-duplicate embeddings by sorted projection passes.
 
 Equal vectors of a label are collapsed first. Each pass orders the classes by (label, concatenated
-random-hyperplane bits) and compares every one with its WINDOW neighbours on each side. The rows that
+random-hyperplane bits) and compares every one with its WINDOW neighbours on each side. Hyperplanes go through
+the mean of the label's unit vectors, since vectors with a common direction lie on one side of most others. The rows that
 are sorted carry no vectors but their values in one byte each, with the exact error that this makes,
 so that a window drops only pairs that cannot reach the threshold. Pairs that remain are collected
 over all passes once, fetch their vectors, and are verified in double precision.
 
+How many passes are enough is measured. A first group of passes has as many as vectors without structure would need;
+a further group, of hyperplanes of its own, is then a sample of pairs: as long as more than a share of ``fresh`` of its
+pairs is new, the next group, twice as large, follows.
+
 A class most of whose window is near, in any pass, stands in a dense group, in which bounded windows
 would miss pairs and all pairs would be too many rows. Of such pairs a window tells only a chain;
 groups of chained dense classes are compared exactly, in tiles of their vectors, and tell counts and a
 forest of links. Verified pairs and these links are united into components.
 
-The bits follow the logarithm of the number of vectors, and the number of passes is such that a pair
-at the threshold is in no common window with probability below ``miss``, if neighbours in order are
-those with the longest common keys (a pair of cosine c agrees in a bit with probability
-1 - arccos(c) / pi).
-
 Defined results: null labels and vectors that are null, zero, or hold null or non-finite components
 link with nothing and form their own component; vectors of different lengths never link; rows
 that repeat an id link by their own vectors, and equal ones with each other like copies.
@@ -43,7 +43,9 @@ BATCH = 8192
 
 
 def plan_passes(count: int, threshold: float, miss: float) -> tuple[int, int]:
-    """Bits of a key and number of passes for ``count`` vectors of one label."""
+    """Bits of a key, and the passes of the first group, for ``count`` vectors of one label: as many as leave a pair
+    at the threshold in no common window with probability ``miss``, if vectors have all directions and few neighbours
+    (a pair of cosine c then agrees in a bit with probability 1 - arccos(c) / pi)."""
     bits = min(62, max(8, math.ceil(math.log2(max(2, count))) + 8))
     depth = max(0.0, math.log2(max(1, count) / (WINDOW / 2)))
     agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** depth
@@ -116,7 +118,43 @@ def _classes(marked: DataFrame) -> DataFrame:
     return checkpoint(packed.withColumns({"node": F.monotonically_increasing_id(), "room": F.xxhash64("label", "width")}))
 
 
-def _sorted_rows(classes: DataFrame, bits: int, passes: int, seed: int) -> DataFrame:
+def _unit(body: list[bytes], width: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(body), np.float64).reshape(-1, width)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _centred(classes: DataFrame) -> DataFrame:
+    """``room, node, width, body, centre``: each class with the mean of its label's unit vectors. Tasks add up what
+    they have of a label, and a label's sums, one a task, meet by name."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            rooms, bodies = [k[0] for k in sums], [v.tobytes() for v in sums.values()]
+            return pa.RecordBatch.from_arrays([pa.array(rooms, pa.int64()), pa.array(bodies, pa.binary())], ["room", "sums"])
+
+        for batch in batches:
+            rooms, widths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for room, width in set(zip(rooms.tolist(), widths.tolist())):
+                own = _unit(batch.column(2).filter(pa.array((rooms == room) & (widths == width))).to_pylist(), width)
+                part = np.append(own.sum(axis=0), len(own))
+                sums[room, width] = sums[room, width] + part if (room, width) in sums else part
+            if len(sums) > 1000:
+                yield told()
+                sums.clear()
+        yield told()
+
+    def mean(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
+        return pa.table({"room": table.column("room").slice(0, 1), "centre": pa.array([(total[:-1] / total[-1]).tobytes()], pa.binary())})
+
+    told = classes.select("room", "width", "body").mapInArrow(add, "room long, sums binary")
+    means = told.groupBy("room").applyInArrow(mean, "room long, centre binary")
+    return classes.select("room", "node", "width", "body").join(dealt_again(means, "room"), "room")
+
+
+def _sorted_rows(centred: DataFrame, bits: int, passes: range, seed: int) -> DataFrame:
     """``pass, room, sort_key, node, q, factor, error`` of each class in each pass, in order."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,22 +164,23 @@ def _sorted_rows(classes: DataFrame, bits: int, passes: int, seed: int) -> DataF
             for width in np.unique(widths).tolist():
                 part = batch.take(pa.array(np.flatnonzero(widths == width)))
                 x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(-1, width)
+                away = _unit(part.column(3).to_pylist(), width) - np.frombuffer(b"".join(part.column(4).to_pylist()), np.float64).reshape(-1, width)
                 step = np.abs(x).max(1) / 127
                 q = np.rint(x / step[:, None])
                 length = np.sqrt(np.einsum("ij,ij->i", x, x))
                 factor = step / length
                 error = np.sqrt(np.square(x / length[:, None] - q * factor[:, None]).sum(1))
                 packed = pa.array([r.tobytes() for r in q.astype(np.int8)], pa.binary())
-                for k in range(passes):
+                for k in passes:
                     planes = np.random.default_rng([seed, k, width]).standard_normal((width, bits))
-                    keys = ((x @ planes) > 0) @ powers
+                    keys = ((away @ planes) > 0) @ powers
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), k, np.int32)), part.column(0), pa.array(keys), part.column(1), packed, pa.array(factor.astype(np.float32)), pa.array(error.astype(np.float32))],
                         ["pass", "room", "sort_key", "node", "q", "factor", "error"],
                     )
 
     order = ["pass", "room", "sort_key", "node"]
-    rows = classes.select("room", "node", "width", "body").mapInArrow(project, "pass int, room long, sort_key long, node long, q binary, factor float, error float")
+    rows = centred.select("room", "node", "width", "body", "centre").mapInArrow(project, "pass int, room long, sort_key long, node long, q binary, factor float, error float")
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
@@ -228,7 +267,28 @@ def _dense_links(chained: DataFrame, classes: DataFrame, threshold: float) -> Da
     return checkpoint(dealt_pairs.mapInArrow(run, "node long, links long, root long"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4, seed: int = 11, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def _collected(classes: DataFrame, threshold: float, miss: float, fresh: float, seed: int) -> DataFrame:
+    """``a, b`` of pairs to verify, and rows with b null for dense classes, from as many passes as it takes."""
+    bits, first = plan_passes(classes.groupBy("room").count().agg(F.max("count")).first()[0] or 0, threshold, miss)
+    centred = checkpoint(_centred(classes))
+    group = lambda passes: checkpoint(_sorted_rows(centred, bits, passes, seed).mapInArrow(_windows(threshold), "a long, b long").distinct())
+    found, done, size = group(range(first)), first, max(2, first // 3)
+    while True:
+        more = group(range(done, done + size))
+        done, size = done + size, 2 * size
+        both = checkpoint(found.unionAll(more).distinct())
+        dense = both.where("b IS NULL").select("a").distinct()
+        # Pairs of dense classes are told by other means.
+        counted = more.where("b IS NOT NULL").join(found.where("b IS NOT NULL").withColumn("seen", F.lit(1)), ["a", "b"], "left")
+        for n in "ab":
+            counted = counted.join(dense.select(F.col("a").alias(n), F.lit(1).alias(f"dense_{n}")), n, "left")
+        total, new = counted.where("dense_a IS NULL OR dense_b IS NULL").agg(F.count("*"), F.count_if(F.col("seen").isNull())).first()
+        found = both
+        if new <= fresh * total:
+            return found
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-2, fresh: float = 2e-3, seed: int = 11, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     raw = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[vector].cast("array<double>").alias("v"))
     fit = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -236,8 +296,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     marked = raw.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("v", F.when(F.col("fit"), F.transform("v", lambda x: x + F.lit(0.0))))
     marked = marked.withColumn("class", F.when(F.col("fit"), F.sha2(F.concat_ws("\x00", "label", F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), 256)))
     classes = _classes(marked)
-    bits, passes = plan_passes(classes.groupBy("room").count().agg(F.max("count")).first()[0] or 0, threshold, miss)
-    found = checkpoint(_sorted_rows(classes, bits, passes, seed).mapInArrow(_windows(threshold), "a long, b long").distinct())
+    found = _collected(classes, threshold, miss, fresh, seed)
     dense = found.where("b IS NULL").select(F.col("a").alias("node"))
     pairs = found.where("b IS NOT NULL")
     counted, forest = [], []

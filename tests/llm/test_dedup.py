@@ -227,3 +227,38 @@ def test_recall_of_planted_groups(spark, width, spread):
     rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int")
     got = np.array([r.n_links for r in sorted(embeddings.near_duplicates(rows).collect())])
     assert wanted.sum() > 1000 and (got <= wanted).all() and got.sum() >= 0.999 * wanted.sum()
+
+
+def _cap(rng, n, width, radius):
+    """Points spread evenly in a ball around one direction."""
+    x = rng.standard_normal((n, width - 1))
+    x *= (radius * rng.random(n) ** (1 / (width - 1)) / np.linalg.norm(x, axis=1))[:, None]
+    return np.column_stack([np.ones(n), x])
+
+
+def _common_direction(rng, pairs, width, share, cosine):
+    """Vectors of mean cosine ``share``, in pairs of the given cosine."""
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    common = unit(rng.standard_normal((1, width)))
+    x = unit(np.sqrt(share) * common + np.sqrt(1 - share) * unit(rng.standard_normal((pairs, width))))
+    away = rng.standard_normal((pairs, width))
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    return np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * away])
+
+
+@pytest.mark.parametrize("kind", ["cap", "low_cap", "common", "half"])
+def test_recall_on_shifted_and_smooth_vectors(spark, kind):
+    rng = np.random.default_rng(8)
+    if kind == "cap":
+        x = _cap(rng, 2500, 9, 0.34)
+    elif kind == "low_cap":
+        x = _cap(rng, 1500, 5, 0.5)
+    else:
+        x = _common_direction(rng, 4000, 64, 0.9 if kind == "common" else 0.5, 0.983)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    true = linked.sum(axis=1)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    mine = np.array([got[i] for i in range(len(x))])
+    assert (mine <= true).all() and mine.sum() >= 0.99 * true.sum(), (kind, mine.sum() / true.sum(), true.mean())
