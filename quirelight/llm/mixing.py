@@ -140,20 +140,25 @@ def _size(text: Column) -> Column:
 
 
 def _sized(docs: DataFrame, source: str, text: str, key: str) -> DataFrame:
-    return checkpoint(docs.select(docs[key].cast("long").alias("id_of_mix"), docs[source].cast("string").alias("source_of_mix"), _size(docs[text]).alias("size_of_mix")))
+    return checkpoint(docs.select(docs[key].cast("long").alias("id_of_mix"), docs[source].cast("string").alias("source_of_mix"), _size(docs[text]).alias("size_of_mix"), _spread(docs[key], docs[text]).alias("spread_of_mix")))
+
+
+def _spread(key: Column, text: Column) -> Column:
+    """What blocks are dealt by: ids may be null or repeat, in a third of all rows, say."""
+    return F.xxhash64(key.cast("long"), text)
 
 
 def _drawn(sized: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, shards: int | None, seed: int, ties: tuple[Column, ...] = ()) -> DataFrame:
-    """``rows`` (id_of_mix, source_of_mix, size_of_mix, as in ``sized``, and any others) with
+    """``rows`` (id_of_mix, source_of_mix, size_of_mix, spread_of_mix, as in ``sized``, and any others) with
     source_size_of_mix, target_of_mix and draws_of_mix: (copy, shard, words) of each time the mix
     takes the row. Rows join blocks of their source, never each other. ``ties`` order rows of one id and size."""
-    sized = sized.toDF("id", "source", "size")
+    sized = sized.toDF("id", "source", "size", "spread")
     n_rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks_each = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
     wanted = shards or max(LEAST_SHARDS, 1 << int(share * words / SHARD_WORDS).bit_length())
     leaves, parts = min(wanted, MOST_LEAVES), max(1, wanted // MOST_LEAVES)
-    block_of = lambda id_: F.pmod(F.xxhash64(F.lit(seed), id_), F.lit(blocks_each)).cast("int")
-    blocks = checkpoint(sized.groupBy("source", block_of(F.col("id")).alias("block")).agg(F.sum("size").alias("words")))
+    block_of = lambda spread: F.pmod(F.xxhash64(F.lit(seed), spread), F.lit(blocks_each)).cast("int")
+    blocks = checkpoint(sized.groupBy("source", block_of(F.col("spread")).alias("block")).agg(F.sum("size").alias("words")))
     aimed = (
         targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -181,7 +186,7 @@ def _drawn(sized: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: f
         F.col("target").alias("target_of_mix"), F.col("passes").alias("passes_of_mix"), "own_rest", whole.alias("whole_of_mix"), last.alias("last_of_mix"),
     )
     drawn = checkpoint(drawn)
-    dealt = rows.withColumn("block_of_mix", block_of(F.col("id_of_mix")))
+    dealt = rows.withColumn("block_of_mix", block_of(F.col("spread_of_mix")))
     joined = dealt.join(drawn, F.col("source_of_mix").eqNullSafe(F.col("block_source")) & (F.col("block_of_mix") == F.col("own_block")), "left")
     # In the block where a source's target ends, its rows are taken in hashed order up to it.
     cut = (F.col("own_rest") > 0) & (F.col("own_rest") < F.col("block_words"))
@@ -206,20 +211,24 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     it a shard gets about SHARD_WORDS, and there are LEAST_SHARDS at least."""
     sized = _sized(docs, source, text, key)
     found = _drawn(sized, sized, weights, share, most, shards, seed)
-    found = found.toDF("doc_id", "source", "size", "source_size", "target", "draws")
+    found = found.drop("spread_of_mix").toDF("doc_id", "source", "size", "source_size", "target", "draws")
     return found.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The mixed rows: the columns of ``docs``, once per draw, with ``mix_shard``; a draw of fewer
     words than the text has holds its first words, with the white space between them. Rows of a shard come in
-    hashed order. Names ending in ``_of_mix`` are used inside and must not be among the columns."""
-    own = docs.withColumns({"id_of_mix": docs[key].cast("long"), "source_of_mix": docs[source].cast("string"), "size_of_mix": _size(docs[text])})
-    found = _drawn(_sized(docs, source, text, key), own, weights, share, most, shards, seed, (F.xxhash64(text),)).where(F.size("draws_of_mix") > 0)
+    hashed order. Columns may have any names but ``mix_shard``."""
+    # Columns go under names of their own, which no inner name can clash with.
+    flat = docs.toDF(*(f"c{i}_of_mix" for i in range(len(docs.columns))))
+    text_, key_, source_ = (flat.columns[docs.columns.index(c)] for c in (text, key, source))
+    own = flat.withColumns({"id_of_mix": F.col(key_).cast("long"), "source_of_mix": F.col(source_).cast("string"), "size_of_mix": _size(F.col(text_)), "spread_of_mix": _spread(F.col(key_), F.col(text_))})
+    found = _drawn(_sized(docs, source, text, key), own, weights, share, most, shards, seed, (F.xxhash64(text_),)).where(F.size("draws_of_mix") > 0)
     rows = found.select(*own.columns, F.explode("draws_of_mix").alias("draw_of_mix"))
     words = F.col("draw_of_mix.words")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(SPACED_WORD_PATTERN), F.lit(0)), F.lit(1), words.cast("int")), "")
-    rows = rows.withColumn(text, F.when(words < F.col("size_of_mix"), first).otherwise(F.col(text)))
-    order = F.xxhash64(F.lit(seed + 4), F.col(key), F.col("draw_of_mix.copy"))
-    rows = rows.select(*docs.columns, F.col("draw_of_mix.shard").alias("mix_shard"), order.alias("order_of_mix"))
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "order_of_mix").drop("order_of_mix")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_), F.lit(SPACED_WORD_PATTERN), F.lit(0)), F.lit(1), words.cast("int")), "")
+    rows = rows.withColumn(text_, F.when(words < F.col("size_of_mix"), first).otherwise(F.col(text_)))
+    order = F.xxhash64(F.lit(seed + 4), F.col(key_), F.col("draw_of_mix.copy"))
+    rows = rows.select(*flat.columns, F.col("draw_of_mix.shard").alias("shard_of_mix"), order.alias("order_of_mix"))
+    dealt = rows.repartition("shard_of_mix").sortWithinPartitions("shard_of_mix", "order_of_mix").drop("order_of_mix")
+    return dealt.toDF(*docs.columns, "mix_shard")

@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = usable.select(labels[key].cast("long").alias("id"), labels[label].cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # At most ``rows`` short rows are broadcast, so that the documents need not move. An id that several
     # rows share gives the text of least hash.
-    named = docs.join(F.broadcast(chosen), docs[key].cast("long") == F.col("id")).select("id", "y", F.coalesce(docs[text], F.lit("")).alias("body"))
+    bodies = docs.select(docs[key].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("body"))
+    named = bodies.join(F.broadcast(chosen), "id")
     sample = checkpoint(named.groupBy("id", "y").agg(F.min_by("body", F.struct(F.xxhash64("body"), F.length("body"))).alias("body")))
     sizes = sample.select("id", F.octet_length("body").alias("size"), F.xxhash64("id").alias("place")).collect()
     room, taken = TRAIN_BYTES, []

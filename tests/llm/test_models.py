@@ -79,6 +79,21 @@ def test_mix_takes_what_the_plan_says_of_repeated_rows(spark):
     assert all(text.startswith(r.text) for r in rows if r.source == "a") and any(r.text != text for r in rows if r.doc_id == 1)
 
 
+def test_clashing_names(spark, awkward):
+    clash = awkward.withColumns({c: F.lit(1) for c in ("id", "y", "body", "own_rest", "own_block", "block_words", "block_source", "draws_of_mix", "shard_of_mix", "spread_of_mix", "starts")})
+    assert sorted(map(str, mixing.mix(clash).select(*awkward.columns).collect())) == sorted(map(str, mixing.mix(awkward).select(*awkward.columns).collect()))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    assert sorted(map(str, quality.classify(clash, labels).collect())) == sorted(map(str, quality.classify(awkward, labels).collect()))
+    assert quality.keep(clash, quality.fit(clash, labels)).columns == clash.columns
+
+
+def test_rows_without_ids_are_spread_over_blocks(spark):
+    rows = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    blocks = mixing._sized(rows, "source", "text", "doc_id").groupBy(F.pmod(F.xxhash64(F.lit(7), "spread_of_mix"), F.lit(8))).count().collect()
+    assert len(blocks) == 8 and max(r["count"] for r in blocks) < 1000
+    assert abs(mixing.plan(rows).agg(F.sum("taken")).first()[0] - 1.5 * 18000) <= 3
+
+
 def test_leaves_are_cut_into_shards(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_LEAVES", 4)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
