@@ -1,4 +1,4 @@
-"""Batch recognition: ``python -m quirelight IN OUT --titles T --journals J --words W [--form json]``."""
+"""Batch recognition: ``python -m quirelight IN OUT --titles T --journals J --words W [--packed] [--form json]``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quirelight.plans.recognize import recognize
-from quirelight.sources import registries, requests
+from quirelight.sources import packed, registries, requests
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -16,11 +16,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("payloads", help="folder of .json or .json.gz files, one request each")
     parser.add_argument("out", help="folder of the results")
     for name, what in (("titles", "registered titles and DOIs"), ("journals", "journal names"), ("words", "counts of words")):
-        parser.add_argument(f"--{name}", required=True, help=f"Parquet table of {what}")
+        parser.add_argument(f"--{name}", required=True, help=f"{what}: a Parquet table, or what --packed says")
+    parser.add_argument("--packed", action="store_true", help="registries are a database of titles and files of hashed records")
     parser.add_argument("--form", default="json", choices=("json", "parquet", "text"))
     given = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("quirelight").getOrCreate()
-    tables = (registries.read_titles(spark, given.titles), registries.read_journals(spark, given.journals), registries.read_words(spark, given.words))
+    form = packed if given.packed else registries
+    tables = (form.read_titles(spark, given.titles), form.read_journals(spark, given.journals), form.read_words(spark, given.words))
     found = recognize(requests.read_payloads(spark, given.payloads), *tables)
     requests.write_results(found, given.out, given.form)
 

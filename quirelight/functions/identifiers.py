@@ -20,6 +20,8 @@ JOURNAL = r"(?U)[\p{IsAlphabetic}'.]++(?:\s[\p{IsAlphabetic}'.]++)*+"
 
 #: DOIs from this length on are not looked up; registered ones up to SHORT_DOI are not trusted.
 LONG_DOI, SHORT_DOI = 64, 10
+#: Bytes of the longest DOI that a registry of hashes gives out.
+MOST_DOI_BYTES = 512
 
 
 def raw_dois(col: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import identifiers
+from quirelight.functions.hashed import has_hashed_author, hash_key_of
 from quirelight.functions.text import ascii_lower, normalize
 from quirelight.operators.filters import likely_in
 from quirelight.operators.rows import checkpoint, dealt_again
@@ -97,11 +98,12 @@ def doi_of_matches(looked: DataFrame) -> DataFrame:
     return looked.groupBy("doc_id").agg(F.min_by(known, F.when(F.col("doi").isNotNull(), F.col("match_no"))).alias("known"), F.max_by(plain, "match_no").alias("last")).select("doc_id", F.coalesce("known", "last").alias("doi"))
 
 
-def last_journal(texts: DataFrame, journals: DataFrame) -> DataFrame:
+def last_journal(texts: DataFrame, journals: DataFrame, hashed: bool = False) -> DataFrame:
     """``doc_id, journal``: the last run of words in ``text`` whose normalised form is a journal. ``journals`` are taken
-    as they lie, bucketed by ``name_key`` or not."""
+    as they lie, bucketed by ``name_key`` or not; their keys may be ``hashed``."""
     runs = texts.select("doc_id", F.posexplode(identifiers.journal_candidates(F.col("text"))).alias("pos", "journal"))
-    keyed = runs.withColumn("name_key", normalize(F.col("journal")))
+    normal = normalize(F.col("journal"))
+    keyed = runs.withColumn("name_key", hash_key_of(normal) if hashed else normal)
     return keyed.join(journals, "name_key", "left_semi").groupBy("doc_id").agg(F.max_by("journal", "pos").alias("journal"))
 
 
@@ -122,12 +124,20 @@ def lookup_titles(titles: DataFrame, registry: DataFrame, texts: DataFrame, most
 
 def confirmed_titles(titles: DataFrame, clear: DataFrame, texts: DataFrame) -> DataFrame:
     """``lookup_titles`` with entries that are ``clear``. Hits are written first; only texts of documents that
-    have one take part in the exchange that brings them together."""
-    able = (F.octet_length("author1_key") >= 4) | (F.octet_length("author2_key") >= 4)
-    hits = checkpoint(titles.join(clear, "title_key").where(able).select("doc_id", "cand", "author1_key", "author2_key", "doi", "ord"))
+    have one take part in the exchange that brings them together. Entries name authors by text, or by length and
+    hash (``author1_len, author1_hash`` and so on), which is tried at each place of the text."""
+    if "author1_hash" in clear.columns:
+        fields = ("author1_len", "author1_hash", "author2_len", "author2_hash")
+        able = (F.col("author1_len") >= 4) | (F.col("author2_len") >= 4)
+        confirmed = has_hashed_author("norm_text", *fields) & (F.octet_length("doi") <= identifiers.MOST_DOI_BYTES)
+    else:
+        fields = ("author1_key", "author2_key")
+        able = (F.octet_length("author1_key") >= 4) | (F.octet_length("author2_key") >= 4)
+        inside = lambda key: F.coalesce((F.octet_length(key) >= 4) & F.expr(f"contains(substr(norm_text, 1, length(norm_text) - 1), {key})"), F.lit(False))
+        confirmed = inside("author1_key") | inside("author2_key")
+    hits = checkpoint(titles.join(clear, "title_key").where(able).select("doc_id", "cand", *fields, "doi", "ord"))
     joined = hits.join(likely_in(texts, "doc_id", hits, "doc_id"), "doc_id")
-    inside = lambda key: (F.octet_length(key) >= 4) & F.expr(f"contains(substr(norm_text, 1, length(norm_text) - 1), {key})")
-    return joined.where(F.coalesce(inside("author1_key"), F.lit(False)) | F.coalesce(inside("author2_key"), F.lit(False))).groupBy("doc_id", "cand").agg(F.min_by("doi", "ord").alias("doi"))
+    return joined.where(confirmed).groupBy("doc_id", "cand").agg(F.min_by("doi", "ord").alias("doi"))
 
 
 def word_type(a, b, c):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import identifiers, jstor
+from quirelight.functions.hashed import hash_key
 from quirelight.functions.text import normalize_text, trim_title
 from quirelight.operators import document, lookup
 from quirelight.operators.filters import KeyFilter
@@ -51,8 +52,14 @@ def heads_of_document(pages: list[document.Page], start: int) -> tuple[list[docu
     return heads, evidence
 
 
-def _facts(doc_id: int, body: str | None, registered: KeyFilter | None = None) -> dict:
-    may_have = registered.may_have if registered else lambda key: True
+def _key(normal: str, hashed: bool) -> str:
+    """The registries' key of a normalised text."""
+    return hash_key(normal) if hashed else normal
+
+
+def _facts(doc_id: int, body: str | None, registered: KeyFilter | None = None, hashed: bool = False) -> dict:
+    own_key = lambda normal: _key(normal, hashed) if normal else None
+    asked = lambda key: key if key and (not registered or registered.may_have(key)) else None
     found, raw = load(body)
     meta, total = found.get("metadata"), found.get("totalPages")
     row = {"doc_id": doc_id, "malformed": "pages" not in found}
@@ -62,7 +69,7 @@ def _facts(doc_id: int, body: str | None, registered: KeyFilter | None = None) -
     pages = document.parse_pages(raw, MAX_PAGES)
     title = meta.get("Title") if isinstance(meta, dict) else None
     title = title if isinstance(title, str) and len(title.encode()) <= MAX_TITLE_BYTES else None
-    key = normalize_text(title) if title else None
+    key = own_key(normalize_text(title)) if title else None
     text = document.document_text(pages, total)
     start, span = document.page_range(pages, total)
     heads, evidence = heads_of_document(pages, start)
@@ -70,7 +77,7 @@ def _facts(doc_id: int, body: str | None, registered: KeyFilter | None = None) -
     return row | {
         "total_pages": total,
         "meta_title": title,
-        "meta_key": key if key and may_have(key) else None,
+        "meta_key": asked(key),
         "jstor_text": document.jstor_text(pages[0], jstor.URL_PREFIX),
         "text": text,
         "norm_text": normalize_text(text),
@@ -78,42 +85,43 @@ def _facts(doc_id: int, body: str | None, registered: KeyFilter | None = None) -
         "pages": span,
         "headfoot": document.headfoot_text(pages),
         # Places in the list tell the last hit, so that titles which cannot be registered leave a gap.
-        "candidates": [c if may_have(c) else None for c in document.title_candidates(pages)],
-        "names": sorted(names - {""}),
+        "candidates": [asked(own_key(c)) for c in document.title_candidates(pages)],
+        "names": sorted(_key(n, hashed) for n in names - {""}),
         "heads": [{"text": h.text, "options": [{"in_row": a, "in_face": b} for a, b in h.options]} for h in heads],
         "evidence": [[[a._asdict() for a in line] for line in block] for block in evidence],
     }
 
 
-def facts(payloads: DataFrame, registered: KeyFilter | None = None) -> DataFrame:
-    """What a payload (doc_id, body) tells without any registry; titles that ``registered`` cannot have are left out."""
+def facts(payloads: DataFrame, registered: KeyFilter | None = None, hashed: bool = False) -> DataFrame:
+    """What a payload (doc_id, body) tells without any registry; titles that ``registered`` cannot have are left out.
+    Keys for registries are texts, or ``hashed``."""
     shared = payloads.sparkSession.sparkContext.broadcast(registered)
-    return map_rows(payloads.select(F.col("doc_id").cast("long"), F.col("body").cast("string")), lambda doc_id, body: _facts(doc_id, body, shared.value), _FACTS)
+    return map_rows(payloads.select(F.col("doc_id").cast("long"), F.col("body").cast("string")), lambda doc_id, body: _facts(doc_id, body, shared.value, hashed), _FACTS)
 
 
-def known_facts(payloads: DataFrame, registered: KeyFilter | None = None) -> DataFrame:
+def known_facts(payloads: DataFrame, registered: KeyFilter | None = None, hashed: bool = False) -> DataFrame:
     """``facts`` with a key for each ``row``, written once to the shared folder, so that the keys stay as they are."""
-    return written(facts(payloads, registered).withColumn("row", F.monotonically_increasing_id()), "facts")
+    return written(facts(payloads, registered, hashed).withColumn("row", F.monotonically_increasing_id()), "facts")
 
 
-def _titled(row: int, heads: list, evidence: list, types: list | None) -> dict:
+def _titled(row: int, heads: list, evidence: list, types: list | None, hashed: bool = False) -> dict:
     known = {t["key"]: t["type"] for t in types or []}
     choices = [(h["text"], [(o["in_row"], o["in_face"]) for o in h["options"]]) for h in heads]
     blocks = [[[(a["names"], a["marked"]) for a in line] for line in block] for block in evidence]
-    found = document.chosen_title(choices, blocks, lambda name: known.get(normalize_text(name), 0))
+    found = document.chosen_title(choices, blocks, lambda name: known.get(_key(normalize_text(name), hashed), 0))
     if not found:
         return {"row": row}
     return {"row": row, "title": found[0], "authors": [{"firstName": " ".join(a[:-1]) or None, "lastName": a[-1]} for a in found[1]]}
 
 
-def titles(known: DataFrame, words: DataFrame) -> DataFrame:
+def titles(known: DataFrame, words: DataFrame, hashed: bool = False) -> DataFrame:
     """``row, title, authors`` of the rows of ``known_facts`` that may have a title; ``words`` is the
     dictionary."""
     open_ = known.where(F.size("heads") > 0)
     asked = open_.select("row", F.explode("names").alias("word_key"))
     told = lookup.word_types(asked, words).where("word_type <> 0").groupBy("row").agg(F.collect_list(F.struct(F.col("word_key").alias("key"), F.col("word_type").alias("type"))).alias("types"))
     joined = open_.select("row", "heads", "evidence").join(told, "row", "left")
-    return map_rows(joined.select("row", "heads", "evidence", "types"), _titled, f"row long, title string, authors {_AUTHORS}")
+    return map_rows(joined.select("row", "heads", "evidence", "types"), lambda *values: _titled(*values, hashed), f"row long, title string, authors {_AUTHORS}")
 
 
 def recognize(payloads: DataFrame, registry: DataFrame, journals: DataFrame, words: DataFrame) -> DataFrame:
@@ -123,7 +131,7 @@ def recognize(payloads: DataFrame, registry: DataFrame, journals: DataFrame, wor
 
 def recognize_with(payloads: DataFrame, registries: Prepared) -> DataFrame:
     """``recognize`` with registries that are written already."""
-    return recognized(known_facts(payloads, registries.registered), registries)
+    return recognized(known_facts(payloads, registries.registered, registries.hashed), registries)
 
 
 def recognized(known: DataFrame, registries: Prepared) -> DataFrame:
@@ -140,8 +148,8 @@ def recognized(known: DataFrame, registries: Prepared) -> DataFrame:
     hits = lookup.confirmed_titles(meta.unionAll(scanned), registries.titles, asked.select("doc_id", "norm_text"))
     # Of the scanned titles the last hit counts.
     by_title = hits.groupBy("doc_id").agg(F.max(F.when(F.col("cand") < 0, F.col("doi"))).alias("doi_meta"), F.max_by("doi", F.when(F.col("cand") >= 0, F.col("cand"))).alias("doi_title"))
-    journal = lookup.last_journal(asked.select("doc_id", head.alias("text")), registries.journals)
-    named = titles(known.where(plain), registries.words).withColumnRenamed("title", "t_title").withColumnRenamed("authors", "t_authors")
+    journal = lookup.last_journal(asked.select("doc_id", head.alias("text")), registries.journals, registries.hashed)
+    named = titles(known.where(plain), registries.words, registries.hashed).withColumnRenamed("title", "t_title").withColumnRenamed("authors", "t_authors")
 
     base = known.select(
         "row", "doc_id", "malformed", "abstract", "pages", "meta_title", F.coalesce(plain, F.lit(False)).alias("plain"), jstor.parse_cover(F.col("jstor_text")).alias("j"),

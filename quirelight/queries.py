@@ -188,10 +188,16 @@ j AS (SELECT DISTINCT 'journalof' || lower(r_name) AS name_key FROM region UNION
 runs AS (SELECT doc_id, unnest(m) AS journal, generate_subscripts(m, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}''.]+(?:\\s[\\p{{L}}''.]+)*') AS m FROM t))
 SELECT doc_id, max_by(journal, pos) AS journal FROM runs WHERE contains(journal, ' ') AND {_NORM.format("journal")} IN (SELECT name_key FROM j) GROUP BY doc_id""")
 def extract_journal(spark, sf_dir):
+    texts, names = journal_inputs(spark, sf_dir)
+    return lookup.last_journal(texts, registries.journal_set(names))
+
+
+def journal_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with journals, and names of journals."""
     region = table(spark, sf_dir, "region")
-    j = registries.journal_set(region.selectExpr("explode(array('journalof' || lower(r_name), 'annalsof' || lower(r_name))) AS name_key"))
+    names = region.selectExpr("explode(array('journalof' || lower(r_name), 'annalsof' || lower(r_name))) AS name_key")
     joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).join(region, F.expr("n_regionkey = r_regionkey"))
-    return lookup.last_journal(joined.selectExpr("c_custkey AS doc_id", f"{_JOURNAL_TEXT} AS text"), j)
+    return joined.selectExpr("c_custkey AS doc_id", f"{_JOURNAL_TEXT} AS text"), names
 
 
 # Archive covers
@@ -450,24 +456,33 @@ r AS (SELECT title_key, author1_key, author2_key, '10.5555/d' || doc_id AS doi,
 h AS (SELECT d.doc_id, r.doi, r.ord FROM d JOIN r ON d.title_key = r.title_key AND n <= 5 WHERE (strlen(r.author1_key) >= 4 AND contains(substr(norm_text, 1, length(norm_text) - 1), r.author1_key)) OR (strlen(r.author2_key) >= 4 AND contains(substr(norm_text, 1, length(norm_text) - 1), r.author2_key)))
 SELECT doc_id, 0 AS cand, min_by(doi, ord) AS doi FROM h GROUP BY doc_id""")
 def title_lookup(spark, sf_dir):
+    texts, registry = title_inputs(spark, sf_dir)
+    return lookup.lookup_titles(texts.select("doc_id", F.lit(0).alias("cand"), "title_key"), registry, texts.select("doc_id", "norm_text"))
+
+
+def title_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Normalised texts with their titles, and a registry of these."""
     lines = F.split(F.col("text"), "\n")
     norm = lambda c: text.normalize(c)
     d = _docs(spark, sf_dir).select("doc_id", norm(F.col("text")).alias("norm_text"), norm(F.element_at(lines, 1)).alias("title_key"), norm(F.element_at(lines, -1)).alias("author1_key"), norm(F.try_element_at(lines, F.lit(2))).alias("author2_key"))
     d = written(d, "titles")  # normalised once
-    registry = d.select("title_key", "author1_key", "author2_key", F.concat(F.lit("10.5555/d"), F.col("doc_id").cast("string")).alias("doi"), F.col("doc_id").alias("ord"))
-    return lookup.lookup_titles(d.select("doc_id", F.lit(0).alias("cand"), "title_key"), registry, d.select("doc_id", "norm_text"))
+    return d, d.select("title_key", "author1_key", "author2_key", F.concat(F.lit("10.5555/d"), F.col("doc_id").cast("string")).alias("doi"), F.col("doc_id").alias("ord"))
 
 
 @query(f"""WITH w AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents), k AS (SELECT {_NORM.format("w")} AS word_key, regexp_matches(w, '^\\p{{Lu}}') AS up, length(w) > 6 AS long FROM w),
 d AS (SELECT word_key, count(*) FILTER (WHERE NOT up) AS a, count(*) FILTER (WHERE up AND NOT long) AS b, count(*) FILTER (WHERE up AND long) AS c FROM k WHERE word_key <> '' GROUP BY word_key)
 SELECT word_key, (CASE WHEN b + c = 0 THEN -a WHEN a = 0 THEN b + c WHEN b + c > a THEN (b + c) // a WHEN b + c < a THEN -(a // (b + c)) ELSE 0 END)::BIGINT AS word_type FROM d""")
 def word_type(spark, sf_dir):
+    dictionary = registries.word_counts(word_inputs(spark, sf_dir))
+    return lookup.word_types(dictionary.select("word_key"), dictionary)
+
+
+def word_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of words in three columns, several rows a key."""
     w = _docs(spark, sf_dir).select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w"))
     counted = w.groupBy("w").agg(F.count("*").alias("n"))
     up, long_ = F.col("w").rlike(r"^\p{Lu}"), F.length("w") > 6
-    each = counted.select(text.normalize(F.col("w")).alias("word_key"), *(F.when(c, F.col("n")).otherwise(0).alias(k) for k, c in (("a", ~up), ("b", up & ~long_), ("c", up & long_)))).where("word_key <> ''")
-    dictionary = registries.word_counts(each)
-    return lookup.word_types(dictionary.select("word_key"), dictionary)
+    return counted.select(text.normalize(F.col("w")).alias("word_key"), *(F.when(c, F.col("n")).otherwise(0).alias(k) for k, c in (("a", ~up), ("b", up & ~long_), ("c", up & long_)))).where("word_key <> ''")
 
 
-from quirelight import recognition_queries  # noqa: E402, F401  (registers the queries over requests)
+from quirelight import packed_queries, recognition_queries  # noqa: E402, F401  (register the queries over hashed registries and over requests)

@@ -53,6 +53,8 @@ class Prepared:
     lengths: list[int]
     registered: KeyFilter
     bucketed: bool
+    #: Keys are hashes, see ``functions.hashed``.
+    hashed: bool = False
 
 
 def _bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
@@ -64,14 +66,18 @@ def _bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
 
 def prepare(titles: DataFrame, journals: DataFrame, words: DataFrame, buckets: int | None = None) -> Prepared:
     """``titles`` as of ``read_titles``, ``journals`` a set of names, ``words`` counts by key. With ``buckets`` the
-    tables are bucketed; the number should be near the shuffle partitions of the batches."""
+    tables are bucketed; the number should be near the shuffle partitions of the batches. If titles come from databases
+    (``sources.packed``), names and words have hashed keys as well: read from records, or by ``hash_keys``."""
+    hashed = "author1_hash" in titles.columns
+    if hashed:  # databases cannot prune columns, and are read once
+        titles = written(titles, "entries")
 
     if not buckets:
         # Each of the others is read by one join, or by one scan.
         clear = written(lookup.clear_titles(titles), "titles")
-        return Prepared(clear, titles.select("doi"), journals, words, [], key_filter(clear, "title_key"), False)
+        return Prepared(clear, titles.select("doi"), journals, words, [], key_filter(clear, "title_key"), False, hashed)
     put = lambda df, key, name: _bucketed(df, key, name, buckets)
     clear = put(lookup.clear_titles(titles), "title_key", "titles")
     dois = put(titles.select("doi").where(F.octet_length("doi") < LONG_DOI).distinct(), "doi", "dois")
     lengths = [r[0] for r in dois.select(F.length("doi").alias("n")).distinct().collect()]  # 63 at most
-    return Prepared(clear, dois, put(journals, "name_key", "journals"), put(words, "word_key", "words"), lengths, key_filter(clear, "title_key"), True)
+    return Prepared(clear, dois, put(journals, "name_key", "journals"), put(words, "word_key", "words"), lengths, key_filter(clear, "title_key"), True, hashed)

@@ -38,7 +38,7 @@ def recognize_stream(payloads: DataFrame, registry: DataFrame, journals: DataFra
     prepared = prepare(registry, journals, words, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batch: DataFrame, number: int) -> None:
-        known = known_facts(batch, prepared.registered)
+        known = known_facts(batch, prepared.registered, prepared.hashed)
         to_result_json(recognized(known, prepared)).write.mode("overwrite").parquet(f"{out}/batch={number}")
         forget(known)
 
