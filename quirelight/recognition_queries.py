@@ -6,17 +6,20 @@ so that SQL can state what the rules must find in each variant of the layout.
 
 from __future__ import annotations
 
+import gzip
 import json
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight import carriers
 from quirelight.carriers import LAYOUT_SQL, composed, layout_pages, layout_words, request, table, text_block, words_of
 from quirelight.operators import document
+from quirelight.operators import line_blocks as folds
 from quirelight.operators.rows import map_rows
 from quirelight.plans import recognize as plan
-from quirelight.registered import query
+from quirelight.registered import ORACLES, query
 from quirelight.sources import registries, requests
 
 #: Words of each document, and the letters that stand for its number.
@@ -67,6 +70,22 @@ def parse_requests(spark, sf_dir):
     return requests.parse(composed(_docs(spark, sf_dir), row, "text")).select("doc_id", "total_pages", "meta_title", "malformed", "complete")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 4) THEN sha256(text) END AS body_sha256, CASE WHEN doc_id % 5 IN (0, 1, 4) THEN strlen(text)::INT END AS n_bytes FROM documents")
+def payload_bodies(spark, sf_dir):
+    """Bodies plain, in gzip, in gzip that is cut off, with a byte that is no UTF-8, and in gzip with bytes after it."""
+
+    @F.pandas_udf("binary")
+    def sent(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(i, text):
+            zipped = gzip.compress(text.encode(), mtime=0)
+            return (text.encode(), zipped, zipped[: 10 + len(zipped) // 2], b"\xff" + text.encode(), zipped + b"more")[i % 5]
+
+        return pd.Series([None if t is None else one(i, t) for i, t in zip(ids, texts)])
+
+    found = requests.bodies(_docs(spark, sf_dir).select("doc_id", sent("doc_id", "text").alias("content")))
+    return found.select("doc_id", F.sha2("body", 256).alias("body_sha256"), F.octet_length("body").alias("n_bytes"))
+
+
 # Line blocks
 
 #: By doc_id % 8: pitch of lines, extra distance of blocks, and size, font and weight of a block.
@@ -88,17 +107,30 @@ l AS (SELECT doc_id, (i // 200)::INT AS page_no, (i % 200 // 10)::INT AS line, s
 g AS (SELECT *, CASE WHEN doc_id % 8 IN (0, 3, 7) THEN 0 WHEN doc_id % 8 = 6 THEN line ELSE line // 5 END AS own FROM l)
 SELECT doc_id, page_no, (dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY own) - 1)::INT AS block_no, string_agg(text, ' ' ORDER BY line) AS text FROM g GROUP BY doc_id, page_no, own""")
 def line_blocks(spark, sf_dir):
+    def row(doc_id, body):
+        pages = document.parse_pages(plan.load(body)[1])
+        return {"doc_id": doc_id, "blocks": [{"page_no": p, "block_no": n, "text": b.text()} for p, page in enumerate(pages) for n, b in enumerate(page.blocks)]}
+
+    found = map_rows(_faced(spark, sf_dir), row, "doc_id long, blocks array<struct<page_no:int,block_no:int,text:string>>")
+    return found.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+
+
+def _faced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the layouts of ``_FACES``."""
+
     def sent(doc_id, text):
         pitch, extra, style = _FACES[doc_id % 8]
         tokens = [f"{'W' if doc_id % 8 == 7 else 'w'}{i}" for i in range(len(words_of(text)))]
         return request([[blocks] for blocks in layout_pages(0, tokens, pitch=pitch, extra=extra, style=style)])
 
-    def row(doc_id, body):
-        pages = document.parse_pages(plan.load(body)[1])
-        return {"doc_id": doc_id, "blocks": [{"page_no": p, "block_no": n, "text": b.text()} for p, page in enumerate(pages) for n, b in enumerate(page.blocks)]}
+    return composed(_docs(spark, sf_dir), sent, "text")
 
-    found = map_rows(composed(_docs(spark, sf_dir), sent, "text"), row, "doc_id long, blocks array<struct<page_no:int,block_no:int,text:string>>")
-    return found.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+
+@query(ORACLES["line_blocks"])
+def line_blocks_fold(spark, sf_dir):
+    """The same blocks, folded in the JVM from the words table."""
+    found = folds.line_blocks(requests.decode_words(requests.parse(_faced(spark, sf_dir))))
+    return found.select("doc_id", "page_no", F.col("lb_no").alias("block_no"), "text")
 
 
 # Titles and authors

@@ -6,14 +6,17 @@ Malformed payloads (no JSON object) keep their row, with ``malformed`` set.
 from __future__ import annotations
 
 import json
+import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MAX_PAGES = 5
 MAX_TITLE_BYTES = 1024
+#: Bytes of a body beyond which a gzip stream is refused, and the bytes such a stream starts with (a fixed value).
+MOST_UNZIPPED, GZIP = 64 << 20, b"\x1f\x8b"
 KEYS = ("page_no", "flow_no", "block_no", "line_no", "word_no")
 
 
@@ -39,6 +42,36 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("body"))
 
 
+def unzipped(content: bytes) -> str | None:
+    """The text of the first gzip member; None if it is broken, incomplete, too long or no UTF-8."""
+    stream = zlib.decompressobj(31)
+    try:
+        body = stream.decompress(content, MOST_UNZIPPED)
+        return body.decode() if stream.eof else None
+    except (zlib.error, UnicodeDecodeError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _unzipped(contents: pd.Series) -> pd.Series:
+    return contents.map(unzipped, na_action="ignore")
+
+
+def bodies(payloads: DataFrame) -> DataFrame:
+    """Payloads with binary ``content`` as ``doc_id, body``. Gzip is told by its first bytes, whatever the name of a file; a
+    body that cannot be read keeps its row and is NULL, which is malformed. Others stay in the JVM."""
+    content = F.col("content")
+    zipped = F.coalesce(F.substring(content, 1, 2) == F.lit(GZIP), F.lit(False))
+    plain = F.try_validate_utf8(F.when(~zipped, content).cast("string"))
+    return payloads.select("doc_id", F.when(zipped, _unzipped(F.when(zipped, content))).otherwise(plain).alias("body"))
+
+
+def read_contents(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_payloads``, with gzip told by content. An empty file has no row, as with any file source."""
+    files = spark.read.format("binaryFile").load(path)
+    return bodies(files.select(F.xxhash64("path").alias("doc_id"), "content"))
+
+
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -154,9 +187,17 @@ def to_result_json(results: DataFrame) -> DataFrame:
     return results.select("doc_id", F.to_json(F.struct(*fields)).alias("result"))
 
 
-def write_results(results: DataFrame, path: str, form: str = "json") -> None:
-    """``form`` text writes one result object a line, others the columns."""
-    if form == "text":
-        to_result_json(results).select("result").write.text(path)
+def write_results(results: DataFrame, path: str, form: str = "json", batch: str | None = None) -> dict[str, int]:
+    """``form`` text writes one result object a line, others the columns. Returns how many ``rows`` were written, how
+    many of them ``malformed`` and how many with a title or a DOI (``titled``, ``with_doi``).
+
+    With a ``batch`` the results become that partition of ``path``: a batch that is run again replaces its own
+    results and leaves other batches alone; one without rows leaves what there is."""
+    seen, some = Observation(), lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    observed = results.observe(seen, F.count(F.lit(1)).alias("rows"), some(F.col("malformed"), "malformed"), some(F.col("title").isNotNull(), "titled"), some(F.col("doi").isNotNull(), "with_doi"))
+    out = to_result_json(observed).select("result") if form == "text" else observed
+    if batch is None:
+        out.write.format(form).save(path)
     else:
-        getattr(results.write, form)(path)
+        out.withColumn("batch", F.lit(batch)).write.format(form).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").save(path)
+    return seen.get

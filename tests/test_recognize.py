@@ -211,3 +211,35 @@ def test_longest_prefixes_are_merged_in_order(spark):
     lengths = sorted({len(d) for d in dois if d})
     by_length = lookup.longest_prefix_by_length(matches.where("doc_id IS NOT NULL"), registry, lengths).collect()
     assert sorted((str(r.doc_id), r.match_no, r.match, str(r.doi)) for r in by_length) == [x for x in expected if x[0] != "None"]
+
+
+def test_bodies_by_content(spark, tmp_path):
+    whole = gzip.compress(b'{"a": 1}')
+    files = {"plain.gz": b'{"a": 1}', "zipped.json": whole, "cut": whole[:-9], "early": whole[:1], "broken": whole[:8] + b"xxxxxx" + whole[14:], "bytes": b"\xff{}", "inside": gzip.compress(b"\xff"), "empty": b"", "none": gzip.compress(b""), "twice": whole + whole}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = spark.read.format("binaryFile").load(str(tmp_path)).select(F.xxhash64("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("name"))
+    found = {r.name: r.body for r in requests.read_contents(spark, str(tmp_path)).join(rows, "doc_id").collect()}
+    good = '{"a": 1}'
+    # An empty file has no row.
+    assert found == {"plain.gz": good, "zipped.json": good, "cut": None, "early": "\x1f", "broken": None, "bytes": None, "inside": None, "none": "", "twice": good}
+    assert requests.bodies(spark.createDataFrame([(1, None)], "doc_id long, content binary")).first().body is None
+
+
+def test_long_streams_are_refused(monkeypatch):
+    monkeypatch.setattr(requests, "MOST_UNZIPPED", 1000)
+    assert requests.unzipped(gzip.compress(b"x" * 999)) == "x" * 999 and requests.unzipped(gzip.compress(b"x" * 5000)) is None
+
+
+def test_a_batch_that_runs_again_leaves_one_copy(spark, tmp_path):
+    sent = [payload(block("Ann Brown doi:10.1234/ABC", 100)), "{", None]
+    results = recognize(spark.createDataFrame(list(enumerate(sent)), "doc_id long, body string"), *registries(spark)).persist()
+    for form in ("parquet", "json", "text"):
+        path = str(tmp_path / form)
+        for batch in ("a", "b", "a"):
+            assert requests.write_results(results, path, form, batch) == {"rows": 3, "malformed": 2, "titled": 0, "with_doi": 1}
+        # Names of folders are all that a reader needs.
+        assert {r.batch: r["count"] for r in spark.read.format(form).load(path).groupBy("batch").count().collect()} == {"a": 3, "b": 3}
+        assert requests.write_results(results.limit(0), path, form, "a") == {"rows": 0, "malformed": 0, "titled": 0, "with_doi": 0}
+        assert spark.read.format(form).load(path).count() == 6
+    assert requests.write_results(results, str(tmp_path / "plain"), "parquet")["rows"] == 3
