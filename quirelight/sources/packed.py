@@ -288,11 +288,11 @@ def write_words(words: DataFrame, path: str) -> None:
 
 
 def write_titles(titles: DataFrame, path: str, parts: int | None = None) -> None:
-    """A registry of texts (see ``registries.read_titles``) as databases, entries of one title together and in order of
-    ``ord``, DOIs without a title too; an author's text of more than 255 bytes does not fit and is left out."""
+    """A registry of texts (see ``registries.read_titles``) as databases in order of title and ``ord``, so
+    that a title with very many entries spreads over tasks and entries keep their order; DOIs without a title too; an author's text of more than 255 bytes does not fit and is left out."""
     length = lambda c: F.when(F.octet_length(c) < 256, F.octet_length(c)).otherwise(0).cast("long")
     top = lambda c: F.shiftrightunsigned(signed_hash_of(F.col(c)), 32)
-    together = F.coalesce("title_key", "doi")
-    dealt = (titles.repartition(parts, together) if parts else titles.repartition(together)).sortWithinPartitions("title_key", "ord")
+    order = ("title_key", "ord", "doi")
+    dealt = (titles.repartitionByRange(parts, *order) if parts else titles.repartitionByRange(*order)).sortWithinPartitions(*order)
     fields = [F.coalesce(f(f"author{n}_key"), F.lit(0).cast("long")).alias(f"author{n}_{c}") for n in (1, 2) for c, f in (("len", length), ("hash", top))]
     _write(dealt.select(signed_hash_of(F.col("title_key")).alias("title_hash"), *fields, "doi"), DATABASE, path)
