@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quirelight import queries
 from quirelight.functions.hashed import hash_key_of
 from quirelight.operators import lookup
-from quirelight.operators.rows import shared_folder
+from quirelight.operators.rows import shared_folder, written
 from quirelight.registered import ORACLES, query
 from quirelight.sources import packed
 
@@ -30,7 +30,7 @@ def extract_journal_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["word_type"])
 def word_type_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each, path = queries.word_inputs(spark, sf_dir), _folder(spark, "words")
+    each, path = written(queries.word_inputs(spark, sf_dir), "counted"), _folder(spark, "words")  # counted once
     # As in such files, one word may have several records.
     packed.write_words(each, path)
     asked = each.select("word_key").distinct().select(F.col("word_key").alias("text"), hash_key_of(F.col("word_key")).alias("word_key"))
