@@ -76,19 +76,16 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _is_number(v: Column) -> Column:
-    """Fractions and integers up to 10**15 either way; others count as 0 (see ``document``)."""
-    return _kind(v).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-
-
 def _get(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
 def _number(v: Column) -> Column:
-    n = F.try_variant_get(v, "$", "double")
-    whole = _kind(v).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))")
-    return F.coalesce(F.when(_is_number(v) & (~whole | (F.abs(n) < 1e15)), n), F.lit(0.0))
+    """Fractions and integers up to 10**15 either way; others count as 0 (see ``document``)."""
+    n, kind = F.try_variant_get(v, "$", "double"), _kind(v)
+    decimal = kind.startswith("DECIMAL")
+    fraction = kind.isin("DOUBLE", "FLOAT") | (decimal & ~kind.endswith(",0)"))
+    return F.coalesce(F.when(((F.abs(n) < 1e15) | fraction) & (kind.isin("BIGINT", "DOUBLE", "FLOAT") | decimal), n), F.lit(0.0))
 
 
 def _whole(v: Column) -> Column:
@@ -106,9 +103,9 @@ def parse(payloads: DataFrame) -> DataFrame:
     The rules are those of ``plans.recognize.load`` and ``operators.document.parse_pages``: a body is one JSON object
     and white space, of equal keys the last counts, values have the kind they are written in (no number is read
     from a text), and what has another kind counts as 0 or as nothing."""
-    parsed = payloads.select("doc_id", parsed_body(F.col("body")).alias("v"))
+    parsed = _as_variants(payloads)
     title = _text(_get(F.col("v"), "$.metadata.Title"))
-    is_object = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
+    is_object = F.col("v").isNotNull()
     filled = lambda path: is_object & _get(F.col("v"), path).isNotNull() & ~F.coalesce(F.is_variant_null(_get(F.col("v"), path)), F.lit(True))
     total = _whole(_get(F.col("v"), "$.totalPages"))
     complete = filled("$.metadata") & filled("$.totalPages")
@@ -131,20 +128,31 @@ def _plain(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-def parsed_body(body: Column) -> Column:
-    """A body as a variant, NULL if it is no request. The JVM's reader stops at the end of a value, whatever follows;
-    inside an object with a mark at its end it reads the whole body or fails. What it refuses (a key given
+def _once(rows: DataFrame, col: Column, name: str, *keep: str) -> DataFrame:
+    """``col`` as a column that later filters and selections read and never compute again: these are not moved below a
+    generator, while they would each take a copy of an expression."""
+    return rows.select(*keep, F.explode(F.array(col)).alias(name))
+
+
+def _as_variants(payloads: DataFrame) -> DataFrame:
+    """``doc_id`` and ``v``, a body as a variant, NULL if it is no request. The JVM's reader stops at the end of a value, whatever
+    follows; inside an object with a mark at its end it reads the whole body or fails. What is no object or what it refuses (a key given
     twice, say, or very deep nesting) and halves of surrogate pairs are left to ``load``, whose objects it reads again."""
     wrapped = lambda c: F.try_parse_json(F.concat(F.lit('{"body":'), c, F.lit(',"end":true}')))
-    whole = lambda v: F.when(F.try_variant_get(v, "$.end", "boolean"), _get(v, "$.body"))
-    sure = ~F.contains(F.lower(body), F.lit("\\ud")) & F.coalesce(F.try_variant_get(wrapped(body), "$.end", "boolean"), F.lit(False))
-    return whole(wrapped(F.when(sure, body).otherwise(_plain(F.when(~F.coalesce(sure, F.lit(False)), body)))))
+    ended = lambda v: F.coalesce(F.try_variant_get(v, "$.end", "boolean"), F.lit(False))
+    read = _once(payloads, wrapped(F.col("body")), "_read", "doc_id", "body")
+    is_object = F.col("body").rlike(r"^[ \t\r\n]*\{")
+    sure = F.coalesce(is_object & ~F.contains(F.lower("body"), F.lit("\\ud")) & ended(F.col("_read")), F.lit(False))
+    read = read.select("doc_id", sure.alias("_sure"), F.when(sure, F.col("_read")).alias("_read"), F.when(~sure, F.col("body")).alias("_rest"))
+    again = wrapped(_plain(F.col("_rest")))
+    value = F.when(F.col("_sure"), _get(F.col("_read"), "$.body")).otherwise(F.when(ended(again), _get(again, "$.body")))
+    return _once(read, value, "v", "doc_id")
 
 
 def _exploded(rows: DataFrame, array: Column, keep: list[str], position: str) -> DataFrame:
-    """One row for each element of a variant that is an array; none for other kinds."""
-    own = F.when(_kind(array).startswith("ARRAY"), array)
-    return rows.withColumn("_array", own).where("_array IS NOT NULL").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_array").outer())).select(*keep, F.col("pos").alias(position), F.col("value").alias("_value"))
+    """One row for each element of a variant that is an array; none for other kinds (fields of an object have a key)."""
+    each = rows.withColumn("_array", array).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_array").outer()))
+    return each.where("key IS NULL").select(*keep, F.col("pos").alias(position), F.col("value").alias("_value"))
 
 
 def decode_pages(parsed: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
@@ -165,7 +173,7 @@ def decode_words(parsed: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFr
         keys = [*keys, name]
         if path:
             array = _get(F.col("_value"), path)
-    at = lambda i: F.when(_kind(F.col("_value")).startswith("ARRAY"), _get(F.col("_value"), f"$[{i}]"))
+    at = lambda i: _get(F.col("_value"), f"$[{i}]")
     return rows.select(
         *keys, *(_number(at(i)).alias(c) for i, c in enumerate(("x_min", "y_min", "x_max", "y_max", "font_size"))),
         (_whole(at(5)) != 0).alias("space"), _number(at(6)).alias("baseline"), (_whole(at(9)) != 0).alias("bold"), _whole(at(12)).cast("int").alias("font"), F.coalesce(_text(at(13)), F.lit("")).alias("text"),
