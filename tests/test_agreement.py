@@ -104,3 +104,9 @@ def test_odd_bodies_agree(spark):
         own = document.parse_pages(raw)
         assert {p: (x.width, x.height) for p, x in enumerate(own)} == {p: v for (k, p), v in sheets.items() if k == i}, body
         assert {p: [tuple(w) for line in x.lines for w in line.words] for p, x in enumerate(own) if x.lines} == {p: v for (k, p), v in rows.items() if k == i}, body
+
+
+def test_bodies_are_parsed_once(spark):
+    """Filters and selections on decoded values take no copies of the parser (one for all bodies, two for those that the first refuses)."""
+    words = requests.decode_words(requests.parse(spark.createDataFrame([], "doc_id long, body string")))
+    assert words._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 3
