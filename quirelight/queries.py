@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirelight.carriers import LAYOUT_SQL, layout_words, table
 from quirelight.functions import identifiers, jstor, text
 from quirelight.operators import layout, lookup, pages
-from quirelight.operators.rows import written
+from quirelight.operators.rows import dealt, written
 from quirelight.registered import ORACLES, QUERIES, query  # noqa: F401
 from quirelight.sources import registries
 
@@ -207,7 +207,8 @@ _BOOK_COVER = "'x\\nChapter Title: ' || p_name || '\\nChapter Author(s): Ann ' |
 
 
 def _cover(spark, sf_dir, cover):
-    t = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{cover} AS cover").select("p_partkey", jstor.parse_cover(F.col("cover")).alias("j"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"), "p_partkey")  # few row groups hold many covers
+    t = parts.selectExpr("p_partkey", f"{cover} AS cover").select("p_partkey", jstor.parse_cover(F.col("cover")).alias("j"))
     names = F.array_join(F.transform("j.authors", lambda a: F.concat_ws("/", a["firstName"], a["lastName"])), ";")
     return t.select("p_partkey", *(F.col(f"j.{c}") for c in ("type", "title", "container", "publisher", "volume", "issue", "year", "pages", "doi", "url")), names.alias("authors"))
 
