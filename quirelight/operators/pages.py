@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelight.functions import identifiers
 from quirelight.operators import layout
+from quirelight.operators.rows import checkpoint
 
 #: Distances of a running header or footer between pages, and to the page's edge.
 NEAR, EDGE = 10.0, 15.0
@@ -15,8 +16,11 @@ NEAR, EDGE = 10.0, 15.0
 def headfoot_pairs(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks of equal text and place on pages p and p + 1 or p + 2: (doc_id, page_no, flow_no,
     block_no, other_page, text), once per pair. An equi-join on document, text and page distance
-    with a band as residual."""
-    full = layout.blocks(words).join(layout.block_text(words), layout.BLOCK).select(*layout.BLOCK, "x_min", "y_min", "x_max", "y_max", "text")
+    with a band as residual, of texts that stand on several pages of their document; others have no pair."""
+    full = layout.block_texts(words, layout.fed(), "").select(*layout.BLOCK, "x_min", "y_min", "x_max", "y_max", "text")
+    same_text = Window.partitionBy("doc_id", "text")
+    full = full.withColumn("spread", F.max("page_no").over(same_text) - F.min("page_no").over(same_text)).where("spread > 0").drop("spread")
+    full = checkpoint(full)  # few of many blocks, asked for by both sides
     inner = full.join(pages.select(*layout.PAGE, "height"), layout.PAGE).where((F.col("y_min") >= EDGE) & (F.col("y_max") <= F.col("height") - EDGE))
     left = inner.withColumn("other_page", F.explode(F.array(F.col("page_no") + 1, F.col("page_no") + 2)))
     right = full.select("doc_id", F.col("page_no").alias("other_page"), "text", *(F.col(c).alias(f"{c}2") for c in ("x_min", "y_min", "x_max", "y_max")))

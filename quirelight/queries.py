@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.carriers import LAYOUT_SQL, layout_words, table
+from quirelight.carriers import LAYOUT_SQL, layout_page_rows, layout_words, table
 from quirelight.functions import identifiers, jstor, text
 from quirelight.operators import layout, lookup, pages
 from quirelight.operators.rows import dealt, written
@@ -32,6 +32,20 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_words(table(spark, sf_dir, "documents"))
 
 
+def _dealt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words, dealt out as whole texts before they become rows, so that what groups lines, blocks or pages
+    deals out nothing and sorts small parts."""
+    return layout_words(_dealt_docs(spark, sf_dir))
+
+
+def _dealt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+
+
+def _dealt_page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_page_rows(_dealt_docs(spark, sf_dir)).select("doc_id", "page_no", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -68,7 +82,7 @@ def dot_last(spark, sf_dir):
 @query(layout_sql("""SELECT doc_id, page_no, flow_no, block_no, line_no,
   coalesce(100 * length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) // nullif(length(regexp_replace(text, '[^\\p{Lu}\\p{Ll}]', '', 'g')), 0) >= 90, false) AS upper FROM lines"""))
 def line_upper(spark, sf_dir):
-    return layout.line_upper(_words(spark, sf_dir))
+    return layout.line_upper(_dealt_words(spark, sf_dir))
 
 
 _PART_HEADINGS = "CASE p_size % 6 WHEN 0 THEN 'Abstract' WHEN 1 THEN 'SUMMARY' WHEN 2 THEN 'abstract' WHEN 3 THEN 'Methods' WHEN 4 THEN 'CONCLUSIONS' ELSE 'Results' END || ' ' || p_name"
@@ -244,7 +258,7 @@ def jstor_other_covers(spark, sf_dir):
 
 @query(layout_sql("SELECT * EXCLUDE (text), text AS line_text FROM lines"))
 def lines_bbox(spark, sf_dir):
-    return layout.lines(_words(spark, sf_dir)).withColumnRenamed("text", "line_text")
+    return layout.lines(_dealt_words(spark, sf_dir)).withColumnRenamed("text", "line_text")
 
 
 @query(layout_sql("SELECT * FROM blocks"))
@@ -269,7 +283,7 @@ def doc_text(spark, sf_dir):
 
 @query(layout_sql("SELECT doc_id, page_no, flow_no, block_no, string_agg(chr(10) || text || chr(10), '' ORDER BY line_no) AS text FROM lines GROUP BY ALL"))
 def block_text(spark, sf_dir):
-    return layout.block_text(_words(spark, sf_dir))
+    return layout.block_text(_dealt_words(spark, sf_dir))
 
 
 @query(layout_sql("SELECT doc_id, page_no, floor(font_size)::INT AS font_size, sum(strlen(text))::BIGINT AS n_bytes FROM words GROUP BY doc_id, page_no, floor(font_size)::INT"))
@@ -344,10 +358,8 @@ def blocks_by_font(spark, sf_dir):
   SELECT b.doc_id, b.page_no, b.block_no AS lb_no, font_size_max, t.text FROM blocks b JOIN (SELECT doc_id, page_no, block_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM lines GROUP BY ALL) t
     ON b.doc_id = t.doc_id AND b.page_no = t.page_no AND b.block_no = t.block_no) WHERE 100 * length(regexp_replace(text, '[^\\p{L} ‐-‒]', '', 'g')) // nullif(length(text), 0) >= 70) WHERE r = 1""").replace("block_no AS lb_no", "block_no::INT AS lb_no"))
 def largest_block(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    texts = layout.lines(w).groupBy(*layout.BLOCK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text"))
-    sized = layout.blocks(w).join(texts, layout.BLOCK).select("doc_id", "page_no", F.col("block_no").alias("lb_no"), F.col("font_size_max").alias("font_size"), "text")
-    return layout.largest_block(sized)
+    sized = layout.block_texts(_dealt_words(spark, sf_dir), F.col("text"), " ")
+    return layout.largest_block(sized.select("doc_id", "page_no", F.col("block_no").alias("lb_no"), F.col("font_size_max").alias("font_size"), "text"))
 
 
 # Pages
@@ -361,9 +373,9 @@ def _page_table(words_df):
 
 def _with_headers(spark, sf_dir):
     """The layout with one running header line on every page, in flow 1."""
-    w = _words(spark, sf_dir)
-    header = _docs(spark, sf_dir).selectExpr("doc_id", f"split({_HEADER_WORDS}, ' ') AS h")
-    lines = w.select("doc_id", "page_no").distinct().join(header, "doc_id").select("doc_id", "page_no", F.posexplode("h").alias("word_no", "text"))
+    w = _dealt_words(spark, sf_dir)
+    pages_of = layout_page_rows(_dealt_docs(spark, sf_dir), "source")
+    lines = pages_of.select("doc_id", "page_no", F.posexplode(F.expr(f"split({_HEADER_WORDS}, ' ')")).alias("word_no", "text"))
     x = F.lit(72.0) + 40 * F.col("word_no")
     own = lines.select("doc_id", "page_no", F.lit(1).alias("flow_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), "word_no", x.alias("x_min"), F.lit(30.0).alias("y_min"), (x + 20).alias("x_max"), F.lit(40.0).alias("y_max"),
                        F.lit(8.0).alias("font_size"), F.lit(True).alias("space"), F.lit(38.0).alias("baseline"), F.lit(False).alias("bold"), F.lit(1).alias("font"), "text")
@@ -380,8 +392,7 @@ f AS (SELECT blocks.*, t.text FROM blocks JOIN t USING (doc_id, page_no, flow_no
 SELECT DISTINCT a.doc_id, a.page_no, a.flow_no, a.block_no, b.page_no AS other_page, a.text FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.text = b.text AND b.page_no BETWEEN a.page_no + 1 AND a.page_no + 2
 WHERE a.y_min >= 15 AND a.y_max <= 777 AND abs(a.x_min - b.x_min) < 10 AND abs(a.y_min - b.y_min) < 10 AND abs(a.x_max - a.x_min - b.x_max + b.x_min) < 10 AND abs(a.y_max - a.y_min - b.y_max + b.y_min) < 10""")
 def headfoot_pairs(spark, sf_dir):
-    w = _with_headers(spark, sf_dir)
-    return pages.headfoot_pairs(w, _page_table(w))
+    return pages.headfoot_pairs(_with_headers(spark, sf_dir), _dealt_page_table(spark, sf_dir))
 
 
 @query(f"""{_HEADED} SELECT doc_id, CAST(doc_id % 90 + 1 AS VARCHAR) AS volume, CAST(doc_id % 12 + 1 AS VARCHAR) AS issue, CAST(1950 + doc_id % 70 AS VARCHAR) AS year,
@@ -393,7 +404,7 @@ def headfoot_fields(spark, sf_dir):
     w = _with_headers(spark, sf_dir).withColumn("flow_no", 1 - F.col("flow_no"))
     known = _docs(spark, sf_dir).where("source NOT LIKE '%1%'")
     journals = registries.journal_set(known.select(F.concat(F.lit("journalof"), F.translate("source", "0123456789", "abcdefghij"), F.lit("studies")).alias("name_key")))
-    return pages.headfoot_fields(pages.headfoot_text(pages.headfoot_pairs(w, _page_table(w))), journals)
+    return pages.headfoot_fields(pages.headfoot_text(pages.headfoot_pairs(w, _dealt_page_table(spark, sf_dir))), journals)
 
 
 def _numbered(spark, sf_dir):

@@ -43,3 +43,19 @@ def test_parts_grow_with_the_table(spark):
     few = dealt(spark.range(1000), "id").rdd.getNumPartitions()
     many = dealt(spark.range(1000), "id", part_bytes=100).rdd.getNumPartitions()
     assert few == spark.sparkContext.defaultParallelism and many == 80
+
+
+def test_tables_of_unknown_size_are_dealt_out_by_spark(spark):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(10)]), "id long")
+    assert dealt(rows, "id").count() == 10
+
+
+@pytest.mark.parametrize("name, most", [("lines_bbox", 1), ("line_upper", 1), ("block_text", 1), ("largest_block", 1)])
+def test_words_are_not_shuffled(spark, name, most):
+    """Texts are dealt out whole; lines, blocks and pages are grouped where their words lie."""
+    from places import DATA
+
+    from quirelight.queries import QUERIES
+
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == most and "Join" not in plan
