@@ -13,7 +13,7 @@ from quirelight.functions import identifiers
 from quirelight.functions.hashed import has_hashed_author, hash_key_of
 from quirelight.functions.text import ascii_lower, normalize
 from quirelight.operators.filters import likely_in
-from quirelight.operators.rows import checkpoint, dealt_again
+from quirelight.operators.rows import checkpoint, dealt_again, parts_of
 
 
 def registered(dois: DataFrame, registry: DataFrame) -> DataFrame:
@@ -57,7 +57,9 @@ def longest_registered_prefix(matches: DataFrame, registry: DataFrame) -> DataFr
     blank = [F.lit(None).cast(kinds[c]).alias(c) for c in ("doc_id", "match_no", "match")]
     order = [F.col("low"), F.col("match").isNotNull(), F.col("match_no"), F.col("doc_id")]
     both = m.where(able).unionAll(dois.select(*blank, F.col("doi").alias("low")))
-    ranged = both.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Parts grow in number with the tables; joined to parts of 64 MB, as adaptive execution does, rows would be sorted in gigabytes a task.
+    parts = parts_of(both)
+    ranged = (both.repartitionByRange(parts, *order) if parts else both.repartitionByRange(*order)).sortWithinPartitions(*order)
     found = ranged.mapInArrow(_merged, f"doc_id {kinds['doc_id']}, match_no {kinds['match_no']}, match string, doi string, first string")
     firsts = found.where("first IS NOT NULL").select("first").distinct()
     prefixes = firsts.select("first", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.substr(F.col("first"), F.lit(1), n))).alias("prefix"))

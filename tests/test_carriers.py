@@ -59,3 +59,15 @@ def test_words_are_not_shuffled(spark, name, most):
 
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == most and "Join" not in plan
+
+
+def test_ranges_of_dois_grow_with_the_tables(spark, monkeypatch):
+    """Adaptive execution would join ranges to parts of 64 MB; a given number stays."""
+    from places import DATA
+
+    from quirelight.operators import lookup
+    from quirelight.queries import QUERIES
+
+    monkeypatch.setattr(lookup, "parts_of", lambda df: 37)
+    plan = QUERIES["doi_longest_prefix"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert ", 37), REPARTITION_BY_NUM" in plan
