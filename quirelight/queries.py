@@ -485,16 +485,18 @@ def title_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 d AS (SELECT word_key, count(*) FILTER (WHERE NOT up) AS a, count(*) FILTER (WHERE up AND NOT long) AS b, count(*) FILTER (WHERE up AND long) AS c FROM k WHERE word_key <> '' GROUP BY word_key)
 SELECT word_key, (CASE WHEN b + c = 0 THEN -a WHEN a = 0 THEN b + c WHEN b + c > a THEN (b + c) // a WHEN b + c < a THEN -(a // (b + c)) ELSE 0 END)::BIGINT AS word_type FROM d""")
 def word_type(spark, sf_dir):
-    dictionary = registries.word_counts(word_inputs(spark, sf_dir))
+    dictionary = written(registries.word_counts(word_inputs(spark, sf_dir)), "dictionary")  # counted once
     return lookup.word_types(dictionary.select("word_key"), dictionary)
 
 
 def word_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of words in three columns, several rows a key."""
-    w = _docs(spark, sf_dir).select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w"))
+    w = _docs(spark, sf_dir).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counted = w.groupBy("w").agg(F.count("*").alias("n"))
     up, long_ = F.col("w").rlike(r"^\p{Lu}"), F.length("w") > 6
-    return counted.select(text.normalize(F.col("w")).alias("word_key"), *(F.when(c, F.col("n")).otherwise(0).alias(k) for k, c in (("a", ~up), ("b", up & ~long_), ("c", up & long_)))).where("word_key <> ''")
+    # A filter on the key would be moved below the count and normalise each occurrence of a word; an array that is empty stays here.
+    kept = F.explode(F.filter(F.array(text.normalize(F.col("w"))), lambda key: key != ""))
+    return counted.select(kept.alias("word_key"), *(F.when(c, F.col("n")).otherwise(0).alias(k) for k, c in (("a", ~up), ("b", up & ~long_), ("c", up & long_))))
 
 
 from quirelight import packed_queries, recognition_queries  # noqa: E402, F401  (register the queries over hashed registries and over requests)
