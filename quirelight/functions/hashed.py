@@ -6,12 +6,14 @@ hexadecimal digits, a string like the keys of other registries, so that filters,
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelight.functions.slices import each
+
 
 def hash_key(text: str) -> str:
     return xxhash.xxh64_hexdigest(text.encode())
@@ -23,14 +25,14 @@ def signed_hash(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@F.pandas_udf(T.StringType())
-def hash_key_of(texts: pd.Series) -> pd.Series:
-    return texts.map(hash_key, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def hash_key_of(texts: pa.Array) -> pa.Array:
+    return each(lambda t: None if t is None else hash_key(t), pa.string(), texts)
 
 
-@F.pandas_udf(T.LongType())
-def signed_hash_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else signed_hash(t) for t in texts], dtype="Int64")
+@F.arrow_udf(T.LongType())
+def signed_hash_of(texts: pa.Array) -> pa.Array:
+    return each(lambda t: None if t is None else signed_hash(t), pa.int64(), texts)
 
 
 def key_of_hash(value: Column) -> Column:
@@ -50,12 +52,11 @@ def author_in(text: bytes, length: int | None, top: int | None) -> bool:
     return any(xxhash.xxh64_intdigest(text[i : i + length]) >> 32 == top for i in range(len(text) - length))
 
 
-@F.pandas_udf(T.BooleanType())
-def has_hashed_author(texts: pd.Series, len1: pd.Series, hash1: pd.Series, len2: pd.Series, hash2: pd.Series) -> pd.Series:
-    whole = lambda v: None if pd.isna(v) else int(v)
-    found = []
-    for text, *fields in zip(texts, len1, hash1, len2, hash2):
-        a, b, c, d = map(whole, fields)
-        body = (text or "").encode()
-        found.append(author_in(body, a, b) or author_in(body, c, d))
-    return pd.Series(found, dtype=bool)
+def _has_author(text: str | None, len1: int | None, hash1: int | None, len2: int | None, hash2: int | None) -> bool:
+    body = (text or "").encode()
+    return author_in(body, len1, hash1) or author_in(body, len2, hash2)
+
+
+@F.arrow_udf(T.BooleanType())
+def has_hashed_author(texts: pa.Array, len1: pa.Array, hash1: pa.Array, len2: pa.Array, hash2: pa.Array) -> pa.Array:
+    return each(_has_author, pa.bool_(), texts, len1, hash1, len2, hash2)

@@ -31,8 +31,8 @@ from quirelight.functions.hashed import key_of_hash, signed_hash_of
 from quirelight.sources.registries import journal_set, word_counts
 
 RECORDS, DATABASE = "quirelight_records", "quirelight_database"
-#: Bytes and rows of a part that one task reads, rows handed on at once, rows of a database that is written.
-SPLIT_BYTES, SPLIT_ROWS, BATCH_ROWS, FILE_ROWS = 32 << 20, 1 << 20, 1 << 16, 1 << 18
+#: Bytes and rows of a part that one task reads, records and rows of a database handed on at once, rows of a database that is written.
+SPLIT_BYTES, SPLIT_ROWS, BATCH_ROWS, FETCHED_ROWS, FILE_ROWS = 32 << 20, 1 << 20, 1 << 16, 1 << 13, 1 << 18
 #: Layouts of records, table and columns of the database.
 LAYOUTS = {"journals": [("hash", "<i8")], "words": [("hash", "<i8"), ("a", "<u4"), ("b", "<u4"), ("c", "<u4")]}
 TABLE = "doidata"
@@ -196,7 +196,7 @@ class _DatabaseReader(DataSourceReader):
         named = ", ".join('"' + places[c].replace('"', '""') + '"' for c in self.columns)
         within, bounds = ("", ()) if partition.start is None else (" WHERE rowid >= ? AND rowid < ?", (partition.start, partition.end))
         rows = database.execute(f"SELECT rowid, {named} FROM {TABLE}{within} ORDER BY rowid", bounds)
-        while got := rows.fetchmany(BATCH_ROWS):
+        while got := rows.fetchmany(FETCHED_ROWS):
             ids, *values = zip(*got)
             arrays = [pa.array(v, pa.string() if COLUMNS[c] == "string" else pa.int64()) for c, v in zip(self.columns, values)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([(partition.number << 40) + i for i in ids], pa.int64())], [*self.columns, "ord"])
