@@ -47,18 +47,33 @@ def headfoot_fields(texts: DataFrame, journals: DataFrame) -> DataFrame:
     return found.join(last_journal(texts, journals), "doc_id", "left").select("doc_id", "volume", "issue", "year", F.col("journal").alias("container"))
 
 
-def page_numbers(words: DataFrame, edges: DataFrame, heights: DataFrame, page_step: int = 2, value_step: int = 1) -> DataFrame:
+def page_numbers(words: DataFrame, edges: DataFrame | None, heights: DataFrame, page_step: int = 2, value_step: int = 1) -> DataFrame:
     """First page number found, per document: (doc_id, page_no, number). A numeric word in a line
     that lies as a whole near the top or bottom, near the left or right edge of the content or its (uncorrected) centre,
     whose value + ``value_step`` stands in about the same place ``page_step`` pages on, in such a line
-    too."""
-    in_line = layout.lines(words).select(*layout.LINE, F.col("y_min").alias("line_top"), F.col("y_max").alias("line_bottom"))
-    numbers = words.where(F.col("text").rlike("^[0-9]+$")).withColumn("number", F.expr("try_cast(text AS bigint)")).where("number > 0")
+    too.
+
+    One pass over the words: the numbers of a line and the box of its other words are rows of one aggregation, in which
+    all is a number, and boxes of lines and pages (unless ``edges`` are given) are windows over them. Where documents are dealt out by
+    ``doc_id``, none of it deals them out again. The few numbers that are left are written, since both sides ask for them."""
+    value = F.when(F.col("text").rlike("^[0-9]+$"), F.expr("try_cast(text AS bigint)"))
+    number = F.when(value > 0, value)
+    parts = words.select(*layout.LINE, "x_min", "y_min", "x_max", "y_max", number.alias("number"), F.when(number.isNotNull(), F.col("word_no")).alias("word_no"))
+    boxes = parts.groupBy(*layout.LINE, "word_no", "number").agg(*(f(c).alias(c) for f, c in ((F.min, "x_min"), (F.min, "y_min"), (F.max, "x_max"), (F.max, "y_max"))))
+    # Both windows in one order, so that rows are sorted once.
+    line, page = Window.partitionBy(*layout.LINE), Window.partitionBy(*layout.PAGE).orderBy(*layout.LINE[2:]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = boxes.withColumn("line_top", F.min("y_min").over(line)).withColumn("line_bottom", F.max("y_max").over(line))
+    if edges is None:
+        placed = placed.withColumn("content_x_left", F.min("x_min").over(page)).withColumn("content_x_right", F.max("x_max").over(page))
     margin = (F.col("line_bottom") < 100) | (F.col("line_top") > F.col("height") - 100)
-    numeric = numbers.join(in_line, layout.LINE).join(heights.select(*layout.PAGE, "height"), layout.PAGE).where(margin)
     centre = (F.col("content_x_right") - F.col("content_x_left")) / 2
     place = (F.abs(F.col("x_min") - F.col("content_x_left")) < 5) | (F.abs(F.col("x_max") - F.col("content_x_right")) < 5) | (F.abs((F.col("x_min") + F.col("x_max")) / 2 - centre) < 5)
-    left = numeric.join(edges, layout.PAGE).where(place).select(*layout.LINE, "word_no", "x_min", "y_min", "number", (F.col("page_no") + page_step).alias("p2"), (F.col("number") + value_step).alias("n2"))
+    numeric = placed.where("number IS NOT NULL")
+    if edges is not None:
+        numeric = numeric.join(edges, layout.PAGE)
+    numeric = numeric.join(heights.select(*layout.PAGE, "height"), layout.PAGE).where(margin)
+    numeric = checkpoint(numeric.select(*layout.LINE, "word_no", "x_min", "y_min", "number", place.alias("at_edge")))
+    left = numeric.where("at_edge").select(*layout.LINE, "word_no", "x_min", "y_min", "number", (F.col("page_no") + page_step).alias("p2"), (F.col("number") + value_step).alias("n2"))
     right = numeric.select("doc_id", F.col("page_no").alias("p2"), F.col("number").alias("n2"), F.col("x_min").alias("x2"), F.col("y_min").alias("y2"))
     hits = left.join(right, ["doc_id", "p2", "n2"]).where((F.abs(F.col("y_min") - F.col("y2")) < 1) & (F.abs(F.col("x_min") - F.col("x2")) < 15))
     first = F.min_by(F.struct("page_no", "number"), F.struct(*layout.LINE[1:], "word_no"))

@@ -409,8 +409,9 @@ def headfoot_fields(spark, sf_dir):
 
 def _numbered(spark, sf_dir):
     """The layout with a page number at the left edge of every page, in flow 2."""
-    w = _words(spark, sf_dir)
-    p = w.groupBy("doc_id", "page_no").agg(F.min("x_min").alias("x"))
+    w = _dealt_words(spark, sf_dir)
+    # A page starts with a word in the first column.
+    p = layout_page_rows(_dealt_docs(spark, sf_dir)).select("doc_id", "page_no", (F.lit(72.0) + F.col("doc_id") % 3).cast("double").alias("x"))
     number = (1 + F.col("doc_id") % 50 + F.floor(F.col("page_no") / 2)).cast("string")
     own = p.select("doc_id", "page_no", F.lit(2).alias("flow_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("word_no"), F.col("x").alias("x_min"), F.lit(760.0).alias("y_min"), (F.col("x") + 10).alias("x_max"), F.lit(770.0).alias("y_max"),
                    F.lit(8.0).alias("font_size"), F.lit(False).alias("space"), F.lit(768.0).alias("baseline"), F.lit(False).alias("bold"), F.lit(1).alias("font"), number.alias("text"))
@@ -429,8 +430,7 @@ hits AS (SELECT a.*, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.page_no
 
 @query(f"{_NUMBERED} SELECT doc_id, page_no, number FROM hits WHERE k = 1")
 def page_numbers(spark, sf_dir):
-    w = _numbered(spark, sf_dir)
-    return pages.page_numbers(w, layout.page_edges(w), _page_table(w))
+    return pages.page_numbers(_numbered(spark, sf_dir), None, _dealt_page_table(spark, sf_dir))
 
 
 @query(f"""{_NUMBERED}, s AS (SELECT doc_id, max(page_no) + 3 AS total FROM plain GROUP BY doc_id),
@@ -438,10 +438,10 @@ r AS (SELECT s.doc_id, total, page_no AS start, number, CASE WHEN number = 1 THE
   CASE WHEN number = 2 AND page_no >= 1 THEN 1 ELSE number END AS n FROM s LEFT JOIN (SELECT * FROM hits WHERE k = 1) h USING (doc_id))
 SELECT doc_id, first_page::INT AS first_page, CASE WHEN n > 1 THEN n || '-' || (n + total - first_page - 1) WHEN n = 1 THEN CAST(n + total - first_page - 1 AS VARCHAR) ELSE CAST(total AS VARCHAR) END AS pages FROM r""")
 def page_range(spark, sf_dir):
-    w = _numbered(spark, sf_dir)
-    totals = w.groupBy("doc_id").agg((F.max("page_no") + 3).alias("total_pages"))
+    sheets = written(_dealt_page_table(spark, sf_dir), "sheets")  # counted once
+    totals = sheets.groupBy("doc_id").agg((F.max("page_no") + 3).alias("total_pages"))
     none = totals.select("doc_id", F.lit(0).alias("first_page"))
-    return pages.page_range(pages.page_numbers(w, layout.page_edges(w), _page_table(w)), none, totals)
+    return pages.page_range(pages.page_numbers(_numbered(spark, sf_dir), None, sheets), none, totals)
 
 
 @query(f"""WITH p AS (SELECT DISTINCT doc_id, page_no, CASE WHEN page_no < doc_id % 4 THEN 500.0 + page_no % 2 ELSE 612.0 END AS width FROM ({LAYOUT_SQL})), w AS (SELECT doc_id, list(width ORDER BY page_no) AS w, count(*) AS n FROM p GROUP BY doc_id)
