@@ -10,6 +10,7 @@ from test_agreement import _odd_bodies
 from quirelight import recognition_queries as rq
 from quirelight.carriers import composed, layout_json, layout_pages, pages_json, table
 from quirelight.operators import document
+from quirelight.operators import line_blocks as folds
 from quirelight.plans.recognize import load
 from quirelight.registered import QUERIES
 from quirelight.sources import requests
@@ -79,6 +80,12 @@ def test_pages_hold_the_same_words(spark, sent):
     assert _told(words) == _told(requests.read_words(sent))
 
 
+def test_pages_and_rows_of_words_fold_alike(spark, sent):
+    found = folds.line_blocks_of_pages(requests.read_pages(sent))
+    expected = folds.line_blocks(requests.read_words(sent))
+    assert found.columns == expected.columns and _told(found) == _told(expected)
+
+
 def _plan(spark, name):
     return QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().lower()
 
@@ -88,6 +95,11 @@ def test_the_query_reads_no_variants(spark):
     assert "variant" not in plan and "parse_json" not in plan and plan.count("exchange") == 1  # documents are dealt out
 
 
+def test_pages_fold_without_variants_and_are_not_dealt_out(spark):
+    plan = _plan(spark, "line_blocks_fold")
+    assert "variant" not in plan and "parse_json" not in plan and plan.count("exchange") == 1  # that of the documents
+
+
 def test_words_with_blanks_and_marks_are_composed_alike():
     dice = random.Random(5)
     for blank in (" ", "_"):
